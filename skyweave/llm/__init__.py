@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import decontaminate
+from skyweave.llm import bpe_codec, decontaminate, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": decontaminate.op2_decontaminate}
+    return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op5_token_count": token_count.op5_token_count,
+        "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
