@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe_codec, decontaminate, token_count
+from skyweave.llm import bpe_codec, decontaminate, html_extract, pii, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_pii": pii.op3_pii,
         "op5_token_count": token_count.op5_token_count,
+        "op8_html_extract": html_extract.op8_html_extract,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
     }
 
