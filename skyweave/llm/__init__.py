@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe_codec, decontaminate, html_extract, pii, token_count
+from skyweave.llm import bpe_codec, decontaminate, html_extract, pii, quality_rules, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": pii.op3_pii,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_token_count": token_count.op5_token_count,
         "op8_html_extract": html_extract.op8_html_extract,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL}
