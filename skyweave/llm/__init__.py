@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe_codec, decontaminate, html_extract, pii, quality_rules, token_count
+from skyweave.llm import bpe_codec, decontaminate, html_extract, license_scan, pii, quality_rules, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": quality_rules.op4_quality_rules,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
