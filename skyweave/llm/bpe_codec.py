@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Pre-tokens that are whole entries of the rank table take one id. Every other pre-token is a linked list of byte
-positions: each mergeable neighbour pair sits in the bucket of its merge rank, a three-level bitmap over the ranks gives
-the next rank by find-first-set, the leftmost position of that bucket is merged, and entries whose pair has changed since
-are skipped as stale. A merge costs a bitmap descent and a bucket pop whatever the pre-token's length, so pre-tokens of
-megabytes stay near-linear. Work is per document, without a shuffle; a bounded per-task table remembers pre-tokens.
+Pre-tokens that are whole entries of the rank table take one id. All other new pre-tokens of a batch share one linked
+list of byte positions (no pair spans two of them): each mergeable neighbour pair sits in the bucket of its merge rank, a
+three-level bitmap over the ranks gives the next rank by find-first-set, that bucket's positions are merged from the left,
+and entries whose pair has changed since are skipped as stale. A merge costs a bucket append and a table lookup whatever
+the pre-token's length, so pre-tokens of megabytes stay near-linear. Work is per document, without a shuffle; a bounded
+per-task table remembers pre-tokens.
 
 Defined results: a null text encodes as an empty text does, to no ids; special-token strings are ordinary text; repeated
 rows are encoded each; a null `ids` decodes to no bytes; input columns named like an output column are replaced. Ids are
@@ -14,8 +15,8 @@ packed as little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from heapq import heappop, heappush
+import struct
+from collections.abc import Iterable, Iterator
 from itertools import islice
 from pathlib import Path
 
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from skyweave.llm.common import append_columns, table
 
-#: Pre-tokens remembered by a task, and pre-tokens handled at a time within one text.
-MEMORY, CHUNK = 200_000, 100_000
+#: Pre-tokens remembered by a task, pre-tokens of text handled at a time, and bytes merged at a time.
+MEMORY, CHUNK, BYTES = 400_000, 200_000, 500_000
 _LOW = 63
 
 
@@ -40,11 +41,9 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
         self.leaves, self.middle, self.top = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1), 0
 
-    def push(self, rank: int, position: int) -> None:
-        if rank in self.buckets:
-            heappush(self.buckets[rank], position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Start a bucket for a rank that has none."""
+        self.buckets[rank] = positions
         self.leaves[rank >> 6] |= 1 << (rank & _LOW)
         self.middle[rank >> 12] |= 1 << ((rank >> 6) & _LOW)
         self.top |= 1 << (rank >> 12)
@@ -59,19 +58,15 @@ class RankQueue:
         word = self.leaves[b]
         return (b << 6) | ((word & -word).bit_length() - 1)
 
-    def pop(self, rank: int) -> int:
-        """The leftmost position of a rank's bucket; empty buckets leave the bitmap."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            b, a = rank >> 6, rank >> 12
-            self.leaves[b] &= ~(1 << (rank & _LOW))
-            if not self.leaves[b]:
-                self.middle[a] &= ~(1 << (b & _LOW))
-                if not self.middle[a]:
-                    self.top &= ~(1 << a)
-        return position
+    def take(self, rank: int) -> list[int]:
+        """A rank's bucket, from the left; the rank leaves the bitmap."""
+        b, a = rank >> 6, rank >> 12
+        self.leaves[b] &= ~(1 << (rank & _LOW))
+        if not self.leaves[b]:
+            self.middle[a] &= ~(1 << (b & _LOW))
+            if not self.middle[a]:
+                self.top &= ~(1 << a)
+        return sorted(self.buckets.pop(rank))
 
 
 class Codec:
@@ -79,58 +74,128 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.longest = max(map(len, ranks), default=0)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.pieces = {r: b for b, r in ranks.items()}
+        self.two = np.full(1 << 16, -1, dtype=np.int64)
+        for b, r in ranks.items():
+            if len(b) == 2:
+                self.two[b[0] << 8 | b[1]] = r
+        self.longest = max(map(len, ranks), default=0)
         self.known: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        get, queue, longest, n = self.ranks.get, self.queue, self.longest, len(piece)
-        after, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-
-        def offer(i: int, end: int) -> None:
-            rank = get(piece[i:end], -1) if end - i <= longest else -1
-            rank_at[i] = rank
-            if rank >= 0:
-                queue.push(rank, i)
-
-        for i in range(n - 1):
-            offer(i, i + 2)
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token, all merged through one queue."""
+        data, get, queue, buckets, longest = b"".join(pieces), self.ranks.get, self.queue, self.queue.buckets, self.longest
+        n, raw = len(data), np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum([len(p) for p in pieces])
+        first = np.full(n, -1, dtype=np.int64)  # the rank of each neighbour pair; none across two pre-tokens
+        first[:-1] = self.two[raw[:-1] << 8 | raw[1:]]
+        first[ends - 1] = -1
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        if len(order):
+            cuts = np.flatnonzero(np.r_[True, np.diff(first[order]) != 0])
+            for some in np.split(order, cuts[1:]):
+                queue.open(int(first[some[0]]), some.tolist())
+        rank_at = first.tolist()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.zeros(n + 1, dtype=bool)  # places where a pre-token starts (or all end)
+        last[ends] = True
+        before[last[:-1]] = -1
+        if n:
+            before[0] = -1
+        after, before, edge = after.tolist(), before.tolist(), last.tolist()
         while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
-            if rank_at[i] != rank:
-                continue
-            gone = after[i]
-            end = after[gone]
-            after[i], rank_at[gone], rank_at[i] = end, -1, -1
-            if end < n:
-                before[end] = i
-                offer(i, after[end])
-            if before[i] >= 0:
-                offer(before[i], end)
+            held = queue.take(rank)
+            for k, i in enumerate(held):
+                if rank_at[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                end = after[gone]
+                after[i] = end
+                rank_at[gone] = -1
+                lower = False
+                if edge[end]:
+                    rank_at[i] = -1
+                else:
+                    before[end] = i
+                    stop = after[end]
+                    new = get(data[i:stop], -1) if stop - i <= longest else -1
+                    rank_at[i] = new
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            queue.open(new, [i])
+                        lower = new < rank
+                p = before[i]
+                if p >= 0:
+                    new = get(data[p:end], -1) if end - p <= longest else -1
+                    rank_at[p] = new
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(p)
+                        else:
+                            queue.open(new, [p])
+                        lower = lower or new < rank
+                if lower and k + 1 < len(held):  # a lower rank goes first; what is left of this one waits
+                    if rank in buckets:
+                        buckets[rank] += held[k + 1 :]
+                    else:
+                        queue.open(rank, held[k + 1 :])
+                    break
         out, i = [], 0
-        while i < n:
-            out.append(get(piece[i : after[i]]))
-            i = after[i]
+        for end in ends.tolist():
+            ids = []
+            while i < end:
+                stop = after[i]
+                ids.append(get(data[i:stop]))
+                i = stop
+            out.append(ids)
         return out
 
-    def _ids(self, token: str) -> bytes:
-        piece = token.encode()
-        whole = self.ranks.get(piece)
-        ids = np.array([whole] if whole is not None else self.merge(piece), dtype="<u4").tobytes()
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        if len(token) <= 64:
-            self.known[token] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a whole text."""
-        get, own, out = self.known.get, self._ids, bytearray()
-        for tokens in _chunks(m.group() for m in self.pattern.finditer(text)) if len(text) > CHUNK * 8 else [self.pattern.findall(text)]:
-            out += b"".join([get(t) or own(t) for t in tokens])
-        return bytes(out)
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Remember the ids of pre-tokens that aren't known yet."""
+        whole, some, held = self.ranks.get, [], 0
+        for t in tokens:
+            piece = t.encode()
+            if (rank := whole(piece)) is not None:
+                self.known[t] = rank.to_bytes(4, "little")
+                continue
+            some.append((t, piece))
+            held += len(piece)
+            if held >= BYTES:
+                self._learn(some)
+                some, held = [], 0
+        if some:
+            self._learn(some)
+
+    def _learn(self, some: list[tuple[str, bytes]]) -> None:
+        for (t, _), ids in zip(some, self.merge([p for _, p in some]), strict=True):
+            self.known[t] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        out, waiting, held = [bytearray() for _ in texts], [], 0
+
+        def settle() -> None:
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            known = self.known
+            self.learn({t for _, some in waiting for t in some if t not in known})
+            for n, some in waiting:
+                out[n] += b"".join(map(known.__getitem__, some))
+            waiting.clear()
+
+        for n, t in enumerate(texts):
+            for some in [self.pattern.findall(t)] if len(t) <= CHUNK else _chunks(m.group() for m in self.pattern.finditer(t)):
+                waiting.append((n, some))
+                held += len(some)
+                if held >= CHUNK:
+                    settle()
+                    held = 0
+        settle()
+        return list(map(bytes, out))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that packed ids stand for."""
@@ -170,7 +235,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
     def make():
         codec = _codec(shared)
-        return lambda col: [pa.array((codec.encode(t or "") for t in map(pa.StringScalar.as_py, col)), pa.binary())]
+        return lambda col: [pa.array(codec.encode([t or "" for t in col.to_pylist()]), pa.binary())]
 
     return append_columns(docs, [text], [T.StructField("ids", T.BinaryType())], make)
 
