@@ -59,8 +59,9 @@ class WordHashes:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for w in {*words} - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
