@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe_codec, decontaminate, html_extract, license_scan, near_dedup, pii, quality_rules, token_count
+from skyweave.llm import bpe_codec, decontaminate, html_extract, license_scan, near_dedup, pii, quality_rules, substring_dedup, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_count": token_count.op5_token_count,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_html_extract": html_extract.op8_html_extract,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
