@@ -1,18 +1,66 @@
-"""The training-data pipeline: documents through the stages of STAGES, each written as Parquet and read again."""
+"""The training-data pipeline: documents through the stages of STAGES, each written as Parquet and read again.
+
+Quality rules and contaminated documents go, one document of each near-duplicate group stays, personal data is replaced,
+and what remains is encoded. Every stage works on all that the one before it kept; all but the last return the columns of
+documents. Rows of a null doc_id pass the near-duplicate stage, as nothing names them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyweave.llm import common
+from skyweave.llm import bpe_codec, common, decontaminate, near_dedup, pii, quality_rules
 
-STAGES: list = []
+#: No SQL engine expresses the keyed pseudonyms and the merges; the stages are tested one by one.
 ORACLE_SQL = None
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    verdict = quality_rules.judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")))
+    return verdict.where("kept").select("row.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    judged = decontaminate.decontaminate(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")), common.table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contaminated")).select("row.*")
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms, and their length."""
+    out = pii.pseudonymize(docs, pii.DEMO_KEY).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, packed, with the digests of ids and of the bytes they decode to."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks, pattern)
+    return both.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", replace_personal_data),
+    ("byte-level BPE", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe_codec, decontaminate, html_extract, license_scan, near_dedup, pii, quality_rules, substring_dedup, token_count
+from skyweave.llm import bpe_codec, decontaminate, html_extract, license_scan, near_dedup, pii, quality_rules, substring_dedup, token_count, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_token_count": token_count.op5_token_count,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
