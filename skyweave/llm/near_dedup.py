@@ -9,8 +9,10 @@ copies cost nothing further. No bucket is ever expanded into its pairs:
    edited copies unlinked without any comparison.
 2. In every bucket the class with the smallest share of such shingles (nearest to what all were copied from) is the hub;
    the others are compared with their hubs on full sets, and links give components.
-3. In buckets that still hold several components, every pair of different components that the bound of 1 admits is
-   compared, those of the largest component with the rest only. The links of 2 and 3 give the final components.
+3. In buckets that still hold several components, every pair of different components is compared that the bound of 1 and
+   a parity sketch admit, those of the largest component with the rest only. (Two sets differ in at least as many
+   shingles as their sketches, the parities of their counts in 1024 hash classes, have different bits.) The links of 2
+   and 3 give the final components.
 
 So a link between two classes that share a bucket is lost only inside one component, where it changes nothing. With 36
 bands of 5 values, two sets of similarity 0.8 share none with probability 6e-7.
@@ -36,6 +38,8 @@ from skyweave.llm.components import components
 WIDTH, BANDS, ROWS, PERCENT = 5, 36, 5, 80
 #: Ids broadcast at most (8 bytes each); beyond, the texts are joined by a shuffle.
 MOST_IDS = 500_000
+#: Hash classes of the parity sketch.
+SKETCH = 1024
 #: Words remembered by a task, and words hashed at a time.
 MEMORY, WORDS = 400_000, 400_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -136,13 +140,23 @@ def _signatures(docs: DataFrame, text: str, width: int, bands: int, rows: int) -
 
 
 def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """The whole shingle set of each text."""
+    """The whole shingle set of each text, and its parity sketch."""
+    longs = T.ArrayType(T.LongType())
+
+    def sketch(s: np.ndarray) -> np.ndarray:
+        odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
     def make():
         hashes = WordHashes()
-        return lambda col: [pa.array([s.view(np.int64) for some in _groups(col, hashes, width) for s in some], pa.list_(pa.int64()))]
 
-    return append_columns(docs, [text], [T.StructField("shingles", T.ArrayType(T.LongType()))], make).drop(text)
+        def run(col: pa.Array) -> list[pa.Array]:
+            sets = [s for some in _groups(col, hashes, width) for s in some]
+            return [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+
+        return run
+
+    return append_columns(docs, [text], [T.StructField("shingles", longs), T.StructField("sketch", longs)], make).drop(text)
 
 
 def _fits(n: Column, u: Column, n2: Column, u2: Column, percent: int) -> Column:
@@ -151,6 +165,12 @@ def _fits(n: Column, u: Column, n2: Column, u2: Column, percent: int) -> Column:
     return 100 * most >= percent * (n + n2 - most)
 
 
+def _sketches_fit(n: Column, a: Column, n2: Column, b: Column, percent: int) -> Column:
+    """Whether two sets' sketches leave room for the similarity: with d shingles apart, it is (n + n2 - d) / (n + n2 + d)."""
+    apart = sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH // 64))
+    return 100 * (n + n2 - apart) >= percent * (n + n2 + apart)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept): groups of documents linked by a similarity of `percent` hundredths or more."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -173,8 +193,8 @@ def _links(base: DataFrame, usable: DataFrame, classes: DataFrame, width: int, p
     wanted = ids.select(F.col("v").alias("id"))
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
     texts = base.where("id is not null").join(wanted, "id", "left_semi")
-    sets = _sets(texts, "text", width).select(F.col("id").alias("v"), "shingles").where("size(shingles) > 0")
-    sets = materialize(sets.groupBy("v").agg(F.min("shingles").alias("shingles")) if _repeats(usable) else sets, "sets")
+    sets = _sets(texts, "text", width).select(F.col("id").alias("v"), "shingles", "sketch").where("size(shingles) > 0")
+    sets = materialize(sets.groupBy("v").agg(F.min(F.struct("shingles", "sketch")).alias("s")).select("v", "s.*") if _repeats(usable) else sets, "sets")
     alone = sets.select("v", F.explode("shingles").alias("s")).groupBy("s").agg(F.max("v").alias("v"), F.count("*").alias("c")).where("c = 1").groupBy("v").agg(F.count("*").alias("u"))
     rated = materialize(ids.join(alone, "v", "left").select("v", "n", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {percent} * n"), "rated")
     members = members.select("bucket", "v").join(rated, "v")
@@ -184,11 +204,11 @@ def _links(base: DataFrame, usable: DataFrame, classes: DataFrame, width: int, p
     near = components(first)
     placed = members.join(near, "v", "left").withColumn("component", F.coalesce("component", "v"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    left = materialize(placed.join(mixed, "bucket"), "mixed")
+    left = materialize(placed.join(mixed, "bucket").join(sets.select("v", "sketch"), "v"), "mixed")
     sizes = left.groupBy("bucket", "component").count()
     largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    x = left.join(largest, "bucket").where("component != largest").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("v", "n", "u", "component")])
-    cross = (F.col("component") != F.col("x_component")) & _fits(F.col("n"), F.col("u"), F.col("x_n"), F.col("x_u"), percent)
+    x = left.join(largest, "bucket").where("component != largest").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("v", "n", "u", "component", "sketch")])
+    cross = (F.col("component") != F.col("x_component")) & _fits(F.col("n"), F.col("u"), F.col("x_n"), F.col("x_u"), percent) & _sketches_fit(F.col("n"), F.col("sketch"), F.col("x_n"), F.col("x_sketch"), percent)
     rest = left.join(x, (left["bucket"] == x["bucket"]) & cross).select(F.least("v", "x_v").alias("a"), F.greatest("v", "x_v").alias("b")).distinct()
     second = _confirm(rest, sets, percent)
     return first.union(second)
