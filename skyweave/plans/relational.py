@@ -1,0 +1,91 @@
+"""Lookups, rollups, diffs and paging that are plain relational plans: one SQL text for Spark, read by DuckDB as well.
+
+Tables stand in braces. Hot keys need no care here: every grouping pre-aggregates, and joins on skewed keys are left to
+adaptive execution.
+"""
+
+from __future__ import annotations
+
+import re
+
+#: Edges of files and cells, files, and units as views of the test tables.
+EDGES = "(SELECT l_suppkey AS layer_id, l_orderkey AS file_id, 8 AS ord, (l_partkey * 2654435761) % 786432 AS ipix, l_shipdate AS seen FROM {lineitem})"
+FILES = "(SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 3 = 0 THEN 's3://' ELSE 'https://' END || 'archive.example/f' || CAST(o_orderkey AS VARCHAR(20)) AS uri, o_orderstatus AS kind, o_totalprice AS size FROM {orders})"
+UNITS = "(SELECT s_suppkey AS unit_id, s_nationkey AS survey_no, (s_suppkey * 2654435761) % 3072 AS coarse_cell, (s_suppkey * 7919) % 786000 AS first_ipix, (s_suppkey * 7919) % 786000 + s_suppkey % 300 AS last_ipix FROM {supplier})"
+REQUEST = "(SELECT DISTINCT (p_partkey * 2654435761) % 3072 AS cell FROM {part} WHERE p_size < 5)"
+PRECISION = "CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_linestatus = 'O' THEN 1 ELSE 0 END"
+
+SQL = {
+    # Joins
+    "jn_layer_registry": "SELECT o_orderkey, r.c_name, CASE WHEN r.c_custkey IS NULL THEN 'unregistered' ELSE 'registered' END AS state FROM {orders} LEFT JOIN (SELECT c_custkey, c_name FROM {customer} WHERE c_acctbal > 0) r ON o_custkey = r.c_custkey",
+    "jn_cell_units": f"SELECT u.unit_id, u.survey_no, q.cell FROM {UNITS} u JOIN {REQUEST} q ON u.coarse_cell = q.cell JOIN {{nation}} ON n_nationkey = u.survey_no JOIN {{region}} ON r_regionkey = n_regionkey",
+    "jn_coarse_semi": f"SELECT unit_id FROM {UNITS} WHERE coarse_cell IN (SELECT cell FROM {REQUEST})",
+    "jn_range_overlap": f"SELECT DISTINCT u.unit_id FROM (SELECT unit_id, first_ipix, last_ipix, explode_block FROM {UNITS} u1 JOIN (SELECT DISTINCT CAST(floor((s_suppkey * 7919) % 786000 / 512) AS BIGINT) AS explode_block FROM {{supplier}}) b ON b.explode_block = CAST(floor(first_ipix / 512) AS BIGINT) OR b.explode_block = CAST(floor(last_ipix / 512) AS BIGINT)) u JOIN (SELECT DISTINCT (p_partkey * 2654435761) % 786432 AS cell FROM {{part}}) q ON CAST(floor(q.cell / 512) AS BIGINT) = u.explode_block AND q.cell BETWEEN u.first_ipix AND u.last_ipix",
+    "jn_descendants": f"SELECT q.cell AS request_cell, e.file_id, e.ord AS source_order, e.ipix AS source_ipix FROM {EDGES} e JOIN {REQUEST} q ON CAST(floor(e.ipix / 256) AS BIGINT) = q.cell",
+    "jn_edge_file": f"SELECT e.layer_id, e.file_id, e.ipix, f.uri, f.uri IS NOT NULL AND f.uri LIKE 'https://%' AS downloadable FROM {EDGES} e LEFT JOIN (SELECT * FROM {FILES} WHERE size > 1000) f ON e.file_id = f.file_id",
+    "jn_alias_resolution": "SELECT public_id, chosen, committed FROM (SELECT o_custkey AS public_id, o_orderkey AS chosen, o_orderstatus = 'F' AS committed, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) AS rn FROM {orders}) r WHERE rn = 1",
+    "jn_unit_scanned_files": f"SELECT u.unit_id, coalesce(f.n, 0) AS files FROM {UNITS} u LEFT JOIN (SELECT layer_id, count(DISTINCT file_id) AS n FROM {EDGES} GROUP BY layer_id) f ON f.layer_id = u.unit_id",
+    "jn_source_layers": f"SELECT DISTINCT file_id, layer_id FROM {EDGES}",
+    "jn_overlay_replace": "SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN n.k IS NOT NULL AND o.k IS NOT NULL THEN 'replaced' WHEN n.k IS NOT NULL THEN 'added' ELSE 'kept' END AS origin FROM (SELECT c_custkey AS k, c_acctbal AS v FROM {customer} WHERE c_custkey % 3 <> 0) o FULL OUTER JOIN (SELECT c_custkey AS k, -c_acctbal AS v FROM {customer} WHERE c_custkey % 2 = 0) n ON o.k = n.k",
+    "jn_diff": "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v = b.v THEN 'unchanged' ELSE 'modified' END AS change FROM (SELECT p_partkey AS k, p_size AS v FROM {part} WHERE p_partkey % 5 <> 0) a FULL OUTER JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS v FROM {part} WHERE p_partkey % 11 <> 0) b ON a.k = b.k",
+    "jn_archive_diff": f"SELECT coalesce(r.file_id, l.file_id) AS file_id, CASE WHEN l.file_id IS NULL THEN 'missing' WHEN r.file_id IS NULL THEN 'extra' WHEN r.size <> l.size THEN 'changed' ELSE 'same' END AS state FROM {FILES} r FULL OUTER JOIN (SELECT file_id + CASE WHEN file_id % 50 = 0 THEN 10000000 ELSE 0 END AS file_id, size + CASE WHEN file_id % 13 = 0 THEN 1 ELSE 0 END AS size FROM {FILES}) l ON r.file_id = l.file_id",
+    "jn_inventory_audit": "SELECT 'unregistered' AS rule, o_custkey AS k FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal >= 0) UNION ALL SELECT 'withoutLayer' AS rule, c_custkey AS k FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "jn_connector_provenance": "SELECT l_orderkey, max(l_linestatus) AS connector FROM {lineitem} GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) = 1",
+    "jn_survey_tree": "SELECT r_name, n_name, count(s_suppkey) AS units, coalesce(round(sum(s_acctbal), 2), 0) AS balance FROM {region} JOIN {nation} ON n_regionkey = r_regionkey LEFT JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY r_name, n_name",
+    "jn_roster_geometry": "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 49) AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)",
+    # Aggregations
+    "agg_composite_cells": f"SELECT layer_id, ord, ipix, count(*) AS n FROM {EDGES} GROUP BY layer_id, ord, ipix",
+    "agg_layer_rollup": f"SELECT layer_id, count(*) AS edges, count(DISTINCT file_id) AS files, CASE WHEN count(DISTINCT ord) = 1 THEN max(ord) END AS single_order FROM {EDGES} GROUP BY layer_id",
+    "agg_scope_completeness": "SELECT l_orderkey AS scope, count(*) AS partitions, max(l_linenumber) AS expected, count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = count(*) AS complete FROM {lineitem} GROUP BY l_orderkey",
+    "agg_file_conflict": "SELECT l_orderkey AS file_id, CASE WHEN count(DISTINCT coalesce(l_returnflag, '-')) > 1 THEN NULL ELSE max(l_returnflag) END AS flag, count(DISTINCT coalesce(l_linestatus, '-')) > 1 AS conflict FROM {lineitem} GROUP BY l_orderkey",
+    "agg_observation": "SELECT l_orderkey AS obsid, min(l_shipdate) AS t_min, max(l_shipdate) AS t_max, count(DISTINCT l_suppkey) AS instruments, count(DISTINCT l_partkey) AS targets FROM {lineitem} GROUP BY l_orderkey",
+    "agg_unit_merge": "SELECT l_suppkey AS unit_id, count(DISTINCT l_partkey) AS cells, min(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 AS complete FROM {lineitem} GROUP BY l_suppkey",
+    "agg_units_by_tile": f"SELECT coarse_cell, count(*) AS units, min(survey_no) = max(survey_no) AS one_survey FROM {UNITS} GROUP BY coarse_cell",
+    "agg_dedup_rows": "SELECT count(*) AS all_rows, count(DISTINCT concat(user_id, '|', event_type)) AS kept, count(*) - count(DISTINCT concat(user_id, '|', event_type)) AS dropped FROM {events}",
+    "agg_precision_fold": f"SELECT l_orderkey, CASE max({PRECISION}) WHEN 0 THEN 'exact' WHEN 1 THEN 'estimated' WHEN 2 THEN 'entrypoint-only' ELSE 'truncated' END AS prec FROM {{lineitem}} GROUP BY l_orderkey",
+    "agg_readiness": "SELECT level, count(*) AS layers FROM (SELECT c_custkey, CASE WHEN max(o_orderkey) IS NULL THEN 'L-1' WHEN min(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) = 1 THEN 'L3' WHEN max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) = 1 THEN 'L2' ELSE 'L1' END AS level FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey) r GROUP BY level",
+    "agg_counts_by_band": "SELECT event_type AS band, count(*) AS n FROM {events} GROUP BY event_type",
+    "agg_release_projection": "SELECT o_orderpriority AS release_id, count(DISTINCT c_mktsegment) AS modalities, count(DISTINCT o_custkey) AS layers FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY o_orderpriority",
+    "agg_monitor": "SELECT user_id, event_id, state, CASE WHEN state = 'failed' AND p1 = 'failed' AND p2 = 'failed' THEN true ELSE false END AS alert FROM (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS p1, lag(state, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS p2 FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 3 = 1 THEN 'drifted' ELSE 'unchanged' END AS state FROM {events}) a) b",
+    "agg_page_receipts": "SELECT l_returnflag AS band, count(*) AS rows_read, count(DISTINCT l_orderkey) AS ids FROM {lineitem} GROUP BY l_returnflag",
+    "agg_usage_tally": "SELECT user_id, count(*) AS requests, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN props IS NULL THEN 1 ELSE 0 END) AS unknown_usage FROM {events} GROUP BY user_id",
+    "agg_order_summary": "SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS complete, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS open, max(o_orderkey) AS newest FROM {orders} GROUP BY o_orderpriority",
+    "agg_sequence_checks": f"SELECT unit_id, first_ipix <= before AS overlaps FROM (SELECT unit_id, first_ipix, max(last_ipix) OVER (PARTITION BY survey_no ORDER BY first_ipix, unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {UNITS}) w WHERE before IS NOT NULL",
+    # Filters and projections
+    "flt_modality": "SELECT doc_id, CASE lower(lang) WHEN 'en' THEN 'imaging' WHEN 'fr' THEN 'spectroscopy' WHEN 'de' THEN 'spectroscopy' ELSE lower(lang) END AS modality FROM {documents}",
+    "flt_excluded": "SELECT doc_id FROM {documents} WHERE NOT (source LIKE 'src1%') AND source NOT IN ('src0', 'src7')",
+    "flt_warehouse_layers": "SELECT o_orderkey FROM {orders} WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority <> '5-LOW'",
+    "flt_selector": "SELECT p_partkey FROM {part} WHERE upper(p_brand) IN ('BRAND#11', 'BRAND#12', 'BRAND#23') OR (p_size BETWEEN 10 AND 20 AND upper(p_type) LIKE 'S%')",
+    "flt_public_url": "SELECT page_id, url LIKE 'http://%' OR url LIKE 'https://%' AS public_url FROM {pages} WHERE url NOT LIKE '%@%'",
+    "prj_url_rules": "SELECT o_orderkey, concat('https://archive.example/', lower(o_orderstatus), '/', lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0'), '.fits') AS url FROM {orders}",
+    # Order, limits and pages
+    "srt_interleave": "SELECT o_orderpriority AS survey_id, o_orderkey AS unit_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS turn FROM {orders}",
+    "srt_natural": "SELECT p_partkey, concat('unit-', lpad(CAST(p_partkey AS VARCHAR(20)), 12, '0')) AS sort_key FROM {part}",
+    "prv_cap": "SELECT survey_no, unit_id FROM (SELECT survey_no, unit_id, row_number() OVER (PARTITION BY survey_no ORDER BY unit_id) AS rn FROM " + UNITS + ") r WHERE rn <= 6",
+    "lim_probe": f"SELECT layer_id, least(n, 20) AS shown, n > 20 AS truncated FROM (SELECT layer_id, count(*) AS n FROM {EDGES} GROUP BY layer_id) r",
+    "pag_plan": f"SELECT kind, k FROM (SELECT 0 AS rank, 'unit' AS kind, unit_id AS k FROM {UNITS} UNION ALL SELECT 1 AS rank, 'file' AS kind, file_id AS k FROM {FILES}) p WHERE k NOT IN (SELECT p_partkey FROM {{part}} WHERE p_size < 10) ORDER BY rank, k LIMIT 500",
+    "pag_footprints": "SELECT unit_id FROM (SELECT unit_id, row_number() OVER (ORDER BY unit_id) AS rn FROM " + UNITS + ") r WHERE rn > 20 AND rn <= 70",
+    "src_keyset": "SELECT o_orderkey FROM {orders} WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 250",
+    # Whole questions
+    "q_plan_merge": f"SELECT file_id, count(DISTINCT ipix) AS cells, max(p) AS prec FROM (SELECT file_id, ipix, 0 AS p FROM {EDGES} WHERE layer_id % 2 = 0 UNION ALL SELECT file_id, ipix, 1 AS p FROM {EDGES} WHERE layer_id % 3 = 0) m GROUP BY file_id",
+    "q_native_units": f"SELECT 'index' AS route, unit_id FROM {UNITS} WHERE coarse_cell IN (SELECT cell FROM {REQUEST}) UNION ALL SELECT 'files' AS route, layer_id AS unit_id FROM (SELECT DISTINCT layer_id FROM {EDGES} WHERE CAST(floor(ipix / 256) AS BIGINT) IN (SELECT cell FROM {REQUEST})) e",
+    "q_hydrate": f"SELECT l_orderkey, l_linenumber, l_suppkey FROM {{lineitem}} WHERE l_suppkey IN (SELECT unit_id FROM {UNITS} WHERE coarse_cell IN (SELECT cell FROM {REQUEST}))",
+    "q_reverse_lookup": f"SELECT u.unit_id, count(DISTINCT e.file_id) AS files, count(DISTINCT e.ipix) AS cells FROM {UNITS} u JOIN {EDGES} e ON e.layer_id = u.unit_id JOIN {REQUEST} q ON CAST(floor(e.ipix / 256) AS BIGINT) = q.cell GROUP BY u.unit_id",
+    "q_path_healpix": "SELECT url, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS pixel, CAST(floor(CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) / 100) AS BIGINT) AS grp FROM {pages} WHERE regexp_extract(url, '/([0-9]+)', 1) <> ''",
+    "q_unique_member": "SELECT user_id, date_trunc('hour', ts) AS hour FROM {events} GROUP BY user_id, date_trunc('hour', ts) HAVING count(*) = 1",
+    "q_build_delta": "SELECT k, origin FROM (SELECT p_partkey AS k, 'base' AS origin FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_suppkey = p_partkey) UNION ALL SELECT s_suppkey AS k, 'delta' AS origin FROM {supplier}) d",
+    "q_survey_index": "SELECT o_orderpriority AS survey_id, c_mktsegment AS product, count(*) AS layers, min(o_orderdate) AS first_seen, round(sum(o_totalprice), 1) AS weight FROM {orders} JOIN {customer} ON c_custkey = o_custkey GROUP BY o_orderpriority, c_mktsegment",
+    "q_usage_quota": "SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS requests FROM {events} GROUP BY date_trunc('minute', ts), user_id",
+}
+_TABLE = re.compile(r"\{(\w+)\}")
+
+
+def register(query) -> None:
+    """Register every text for both engines."""
+    for name, text in SQL.items():
+        used = sorted(set(_TABLE.findall(text)))
+
+        def run(spark, sf_dir, text=text, used=used):
+            return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+        query(name, _TABLE.sub(r"\1", text))(run)
