@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
-from skyweave.operators import depth, overlap, ranges
+from skyweave.operators import depth, overlap, ranges, region
 from skyweave.plans import relational, views
 from skyweave.plans.registry import ORACLES, QUERIES
 
@@ -259,4 +259,45 @@ def q_sky_depth(spark, sf_dir):
     return depth.voxels(points, 4)
 
 
+def _discs(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return views.table(spark, sf_dir, "supplier").select(k.alias("unit_id"), (k * 104729 % 3600000 / F.lit(10000.0)).alias("ra"), (k * 7368787 % 1800001 / F.lit(10000.0) - 90).alias("dec"), (k % 5 + F.lit(0.5)).alias("radius_deg"))
+
+
+@query("hpx_disc_incl")
+def hpx_disc_incl(spark, sf_dir):
+    return region.disc_cells(_discs(spark, sf_dir), 5).select("unit_id", "ipix")
+
+
+@query("jn_spatial_filter_refine")
+def jn_spatial_filter_refine(spark, sf_dir):
+    request = views.table(spark, sf_dir, "part").select((F.col("p_partkey") * views.SCATTER % hpx.cells(6)).alias("ipix"))
+    return region.units_touching(_discs(spark, sf_dir), request, 6)
+
+
+@query("q_rect_cover")
+def q_rect_cover(spark, sf_dir):
+    return region.cover_rectangle(spark, 350.0, 10.0, -5.0, 5.0, target=7)
+
+
+@query("cls_rectangle_cell")
+def cls_rectangle_cell(spark, sf_dir):
+    return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", region.classify(4, F.col("ipix"), 20.0, 300.0, -30.0, 40.0).alias("state"))
+
+
+@query("agg_cone")
+def agg_cone(spark, sf_dir):
+    return region.cone(_good(spark, sf_dir).where("dec > 80"))
+
+
+@query("q_cone_lookup", f"SELECT source_row FROM {OBJECTS} o WHERE ra < 360 AND degrees(acos(greatest(-1e0, least(1e0, sin(radians(dec)) * sin(radians(30e0)) + cos(radians(dec)) * cos(radians(30e0)) * cos(radians(ra - 120e0)))))) <= 12")
+def q_cone_lookup(spark, sf_dir):
+    return region.in_cone(views.objects(spark, sf_dir).where("ra < 360"), 120.0, 30.0, 12.0).select("source_row")
+
+
+@query("prt_batches", f"SELECT ipix, CAST(floor((row_number() OVER (ORDER BY ipix) - 1) / 7) AS BIGINT) AS batch FROM (SELECT DISTINCT ipix FROM {PAIR})")
+def prt_batches(spark, sf_dir):
+    return region.batches(overlap.shared_cells(views.layer_cells(spark, sf_dir), ["1-URGENT", "2-HIGH"]), 4)
+
+
 relational.register(query)
