@@ -142,3 +142,14 @@ def test_pipeline(spark):
         before = docs.count()
     last = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert last.keys() == {r.doc_id for r in docs.collect()}
+
+
+def test_url_trees_on_held_out_urls(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefghilmnorstu", k=rnd.randint(3, 11)))
+    good = [f"https://{rnd.choice(['', 'www.', 'm.'])}{word()}.example.org/{word()}/{k}" for k in range(400)]
+    bad = [f"http://{word()}-{rnd.choice(['casino', 'spam'])}.example.org/{word()}/{k}?page={k}" for k in range(100)]
+    rows = [(k, u, k >= 400) for k, u in enumerate(good + bad)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = url_filter.judge(df, rules=(), sample=150).collect()  # 350 urls are never seen in training
+    assert sum((r.verdict == "block") == r.bad for r in got) >= 0.95 * len(rows)
