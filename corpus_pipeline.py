@@ -26,7 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
     groups = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    gone = common.materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= near_dedup.MOST_IDS else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

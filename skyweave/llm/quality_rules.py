@@ -103,11 +103,12 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     names = (*METRICS, "failed_rules", "base_failed", "kept")
     base = without(docs, set(names) - {text})
     keep = base.columns
-    out = metrics(base, text)
+    # The row number keeps a later filter on the verdict above the metrics, which would be computed again for every rule.
+    out = metrics(base, text).withColumn("__at", F.monotonically_increasing_id())
     failed = F.concat_ws(",", *[F.when(~compile_rule(r), F.lit(r.name)) for r in rules])
     base_failed = ~(compile_rule(RULES[0]) & compile_rule(RULES[1]))
     out = out.withColumns({"failed_rules": failed, "base_failed": base_failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).select(*[F.col(f"`{c}`") for c in keep], *names)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "") & (F.col("__at") >= 0)).select(*[F.col(f"`{c}`") for c in keep], *names)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

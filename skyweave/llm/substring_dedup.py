@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyweave.llm.common import append_columns, as_bytes, materialize, table, without
+from skyweave.llm.common import append_columns, as_bytes, discard, materialize, table, without
 from skyweave.llm.near_dedup import WordHashes
 from skyweave.llm.recompress import REACH, Prefix, mix, representatives
 
@@ -132,18 +132,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row") if rest else F.lit(None).cast("int").alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     keyed = given.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     read = materialize(_fingerprints(keyed.select("k1", "k2", "text"), window).where("size(prints) > 0").withColumn("r", F.monotonically_increasing_id()), "fingerprints")
-    twice = read.select(F.explode("prints").alias("f")).groupBy("f").count().where("count > 1").select("f")
+    # Counts are written before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split.
+    twice = materialize(read.select(F.explode("prints").alias("f")).groupBy("f").count().where("count > 1").select("f"), "twice")
     places = read.select("r", F.explode(F.arrays_zip(F.col("prints").alias("f"), F.col("places").alias("p"))).alias("x")).select("r", "x.f", "x.p")
     some = places.join(twice, "f", "left_semi").groupBy("r").agg(F.collect_set("p").alias("places"))
     some = materialize(read.select("r", "k1", "k2").join(some, "r").groupBy("k1", "k2").agg(F.min_by("places", "r").alias("places")), "places")
+    discard(read)
     few = some.count() <= MOST_KEYS
     keys = some.select("k1", "k2")
     keys = F.broadcast(keys) if few else keys
     apart = materialize(keyed.join(keys, ["k1", "k2"], "left_semi").withColumn("t", F.monotonically_increasing_id()), "texts")
     windows = _windows(apart.select("t", "k1", "k2", "text").join(some, ["k1", "k2"]).select("t", "text", "places"), window)
-    windows = materialize(windows, "windows")
     each = windows.select("t", F.explode(F.arrays_zip("starts", "h", "c")).alias("x")).select("t", "x.starts", "x.h", "x.c")
-    again = each.groupBy("h", "c").count().where("count > 1").select("h", "c")
+    again = materialize(each.groupBy("h", "c").count().where("count > 1").select("h", "c"), "again")
     starts = each.join(again, ["h", "c"], "left_semi").groupBy("t").agg(F.collect_list("starts").alias("starts"))
     cut = _cut(apart.select("t", "row", "text").join(starts, "t", "left").drop("t"), window)
     whole = _cut(keyed.join(keys, ["k1", "k2"], "left_anti").select("row", "text", F.array().cast("array<bigint>").alias("starts")), window)
