@@ -72,7 +72,8 @@ class RankQueue:
 class Codec:
     """A rank table with its pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY, chunk: int = CHUNK):
+        self.memory, self.chunk = memory, chunk
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.pieces = {r: b for b, r in ranks.items()}
@@ -179,7 +180,7 @@ class Codec:
         out, waiting, held = [bytearray() for _ in texts], [], 0
 
         def settle() -> None:
-            if len(self.known) > MEMORY:
+            if len(self.known) > self.memory:
                 self.known.clear()
             known = self.known
             self.learn({t for _, some in waiting for t in some if t not in known})
@@ -188,10 +189,10 @@ class Codec:
             waiting.clear()
 
         for n, t in enumerate(texts):
-            for some in [self.pattern.findall(t)] if len(t) <= CHUNK else _chunks(m.group() for m in self.pattern.finditer(t)):
+            for some in [self.pattern.findall(t)] if len(t) <= self.chunk else _chunks((m.group() for m in self.pattern.finditer(t)), self.chunk):
                 waiting.append((n, some))
                 held += len(some)
-                if held >= CHUNK:
+                if held >= self.chunk:
                     settle()
                     held = 0
         settle()
@@ -202,8 +203,8 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _chunks(tokens: Iterator[str]) -> Iterator[list[str]]:
-    while some := list(islice(tokens, CHUNK)):
+def _chunks(tokens: Iterator[str], size: int) -> Iterator[list[str]]:
+    while some := list(islice(tokens, size)):
         yield some
 
 
@@ -220,12 +221,12 @@ def _shared(docs: DataFrame, ranks_path: str, pattern: str):
 _CODECS: dict[int, Codec] = {}
 
 
-def _codec(shared) -> Codec:
+def _codec(shared, memory: int = MEMORY, chunk: int = CHUNK) -> Codec:
     """A worker builds a vocabulary's codec once."""
     raw, pattern = shared.value
-    key = hash((len(raw), raw, pattern))
+    key = hash((len(raw), raw, pattern, memory, chunk))
     if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(raw), pattern)
+        _CODECS[key] = Codec(read_ranks(raw), pattern, memory, chunk)
     return _CODECS[key]
 
 
@@ -251,6 +252,22 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
     return append_columns(encoded, [ids], [T.StructField("decoded", T.BinaryType())], make)
 
 
+def recode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", memory: int = MEMORY, chunk: int = CHUNK) -> DataFrame:
+    """`docs` with `ids` and `decoded`, as decode(encode(docs)) gives them, by one Python worker a task instead of two."""
+    shared = _shared(docs, ranks_path, pattern)
+
+    def make():
+        codec = _codec(shared, memory, chunk)
+
+        def run(col: pa.Array) -> list[pa.Array]:
+            ids = codec.encode([t or "" for t in col.to_pylist()])
+            return [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
+
+        return run
+
+    return append_columns(docs, [text], [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())], make)
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     """Counts and digests of `ids` and `decoded`."""
     return decoded.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -56,12 +56,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered."""
 
-    def __init__(self):
+    def __init__(self, memory: int = MEMORY):
+        self.memory = memory
         self.known: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > MEMORY:
+        if len(known) > self.memory:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -94,12 +95,12 @@ def _groups(col: pa.Array, hashes: WordHashes, width: int):
         yield some
 
 
-def _signatures(docs: DataFrame, text: str, width: int, bands: int, rows: int) -> DataFrame:
+def _signatures(docs: DataFrame, text: str, width: int, bands: int, rows: int, memory: int) -> DataFrame:
     """n, the set's key (k1, k2) and its buckets."""
     fields = [T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))]
 
     def make():
-        hashes = WordHashes()
+        hashes = WordHashes(memory)
         draw = np.random.Generator(np.random.PCG64(20))
         turns = -(-bands * rows // 2)
         odd = draw.integers(1, 1 << 63, turns, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,7 +140,7 @@ def _signatures(docs: DataFrame, text: str, width: int, bands: int, rows: int) -
     return append_columns(docs, [text], fields, make).drop(text)
 
 
-def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+def _sets(docs: DataFrame, text: str, width: int, memory: int) -> DataFrame:
     """The whole shingle set of each text, and its parity sketch."""
     longs = T.ArrayType(T.LongType())
 
@@ -148,7 +149,7 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
         return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
     def make():
-        hashes = WordHashes()
+        hashes = WordHashes(memory)
 
         def run(col: pa.Array) -> list[pa.Array]:
             sets = [s for some in _groups(col, hashes, width) for s in some]
@@ -171,20 +172,20 @@ def _sketches_fit(n: Column, a: Column, n2: Column, b: Column, percent: int) ->
     return 100 * (n + n2 - apart) >= percent * (n + n2 + apart)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, memory: int = MEMORY) -> DataFrame:
     """(id, n_shingles, component_id, kept): groups of documents linked by a similarity of `percent` hundredths or more."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = materialize(_signatures(base, "text", width, bands, rows), "signatures")
+    signed = materialize(_signatures(base, "text", width, bands, rows, memory), "signatures")
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("v"))
-    found = components(_links(base, usable, classes, width, percent))
+    found = components(_links(base, usable, classes, width, percent, memory))
     named = classes.join(found, "v", "left").select("k1", "k2", F.coalesce("component", "v").alias("component"))
     out = signed.join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
 
 
-def _links(base: DataFrame, usable: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(base: DataFrame, usable: DataFrame, classes: DataFrame, width: int, percent: int, memory: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to give all components."""
     one = usable.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "buckets"), "id").alias("s"), F.min("id").alias("v")).select("v", "s.n", F.explode("s.buckets").alias("bucket"))
     full = one.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("bucket")
@@ -193,7 +194,7 @@ def _links(base: DataFrame, usable: DataFrame, classes: DataFrame, width: int, p
     wanted = ids.select(F.col("v").alias("id"))
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
     texts = base.where("id is not null").join(wanted, "id", "left_semi")
-    sets = _sets(texts, "text", width).select(F.col("id").alias("v"), "shingles", "sketch").where("size(shingles) > 0")
+    sets = _sets(texts, "text", width, memory).select(F.col("id").alias("v"), "shingles", "sketch").where("size(shingles) > 0")
     sets = materialize(sets.groupBy("v").agg(F.min(F.struct("shingles", "sketch")).alias("s")).select("v", "s.*") if _repeats(usable) else sets, "sets")
     alone = sets.select("v", F.explode("shingles").alias("s")).groupBy("s").agg(F.max("v").alias("v"), F.count("*").alias("c")).where("c = 1").groupBy("v").agg(F.count("*").alias("u"))
     rated = materialize(ids.join(alone, "v", "left").select("v", "n", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {percent} * n"), "rated")

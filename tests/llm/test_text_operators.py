@@ -139,6 +139,7 @@ def test_codec_edges(spark, docs):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = bpe_codec.decode(bpe_codec.encode(docs, path, pattern), path, pattern).collect()
     assert sorted(bytes(r.decoded).decode() for r in rows) == sorted(t or "" for _, t, _ in ROWS)
+    assert bpe_codec.recode(docs, path, pattern).select(rows[0].__fields__).collect() == rows
     assert bpe_codec.encode(docs.limit(0), path, pattern).collect() == []
 
 
