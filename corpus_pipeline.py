@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"), memory=200_000)
     gone = common.materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= near_dedup.MOST_IDS else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -46,7 +46,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, packed, with the digests of ids and of the bytes they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks, pattern)
+    both = bpe_codec.recode(docs.select("doc_id", "text"), ranks, pattern, memory=150_000, chunk=100_000)
     return both.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
