@@ -7,7 +7,7 @@ that holds them is the article. All of the article's lines are returned, however
 footers, sidebars, notices, adverts, forms and reader comments (by element, role, or words of id and class).
 
 Defined results: null or empty HTML, or a page of boilerplate alone, gives an empty text; malformed or truncated HTML is
-read as far as it goes; plain text without tags is one line for each of its blocks; repeated rows give equal results;
+read to its end; plain text without tags is one line for each of its blocks; repeated rows give equal results;
 input columns named like an output column are replaced. Work is per page, without a shuffle.
 """
 
@@ -116,6 +116,16 @@ class _Lines(HTMLParser):
             if tag not in BLOCK and self.stack[k][0] in HOLDERS:
                 return  # a stray inline end tag
 
+    def parse_html_declaration(self, i):
+        """As the library, but '<![' opens a bogus comment up to the next '>', as in the HTML standard, whatever keyword follows; in svg and math, CDATA is text."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        if self.rawdata.startswith("<![CDATA[", i) and any(x[0] in ("svg", "math") for x in self.stack):
+            if (end := self.rawdata.find("]]>", i)) >= 0:
+                self.handle_data(self.rawdata[i + 9 : end])
+            return end + 3 if end >= 0 else -1
+        return self.parse_bogus_comment(i, 0)
+
     def handle_data(self, data):
         if not self._state()[0]:
             self.words.append(data)
@@ -125,12 +135,9 @@ class _Lines(HTMLParser):
 
 def read_lines(html: str) -> _Lines:
     parser = _Lines()
-    try:
-        for at in range(0, len(html), PIECE):
-            parser.feed(html[at : at + PIECE])
-        parser.close()
-    except AssertionError:  # the library's parser gives up on some malformed declarations
-        pass
+    for at in range(0, len(html), PIECE):
+        parser.feed(html[at : at + PIECE])
+    parser.close()
     parser.flush()
     return parser
 

@@ -113,6 +113,16 @@ def test_html():
     assert [html_extract.main_text(x) for x in (None, "", "<nav>x</nav>", "just text", "<p>cut <b>off", "<![bad <p>x")][:5] == ["", "", "", "just text", "cut off"]
 
 
+def test_html_reads_past_malformed_declarations():
+    for bad in ("<p>a <![ b</p>", "<![foo[x]]>", "<![endif]-->", "<![CDATA[x]]>", "<![%x]>", "<!x>", "<!>"):
+        text = html_extract.main_text(f"<p>one</p>{bad}<p>rest</p><p>a[0]></p>")
+        assert "one" in text and "rest" in text and "a[0]>" in text, (bad, text)
+        assert "rest" in html_extract.main_text("<p>one</p>" + " " * (html_extract.PIECE - 12) + f"{bad}<p>rest</p>"), bad
+    assert html_extract.main_text("<p>one</p><![bad <p>x").split() == ["one", "x"]
+    assert "kept" in html_extract.main_text("<p>one</p><![bad kept")
+    assert html_extract.main_text("<p><math><![CDATA[a > b]]></math></p>") == "a > b"
+
+
 def test_html_on_pages(spark):
     pages = common.table(spark, SMALL, "pages")
     for r in html_extract.extract(pages).select("html", "text", "n_chars").collect():
