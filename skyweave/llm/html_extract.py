@@ -2,9 +2,11 @@
 
 A page's HTML is fed in pieces to the standard library's streaming parser, whose events become lines (block elements).
 Each line outside boilerplate elements has a text-to-tag ratio, with link text counted as none; the ratios are smoothed
-by a Gaussian and split into two clusters by an iterated mean threshold; the lines above it are content, and the element
-that holds them is the article. All of the article's lines are returned, however short, less those of menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments (by element, role, or words of id and class).
+by a Gaussian and split into two clusters by an iterated mean threshold; the lines above it are content, and the smallest
+article, main or other element that holds nearly all of them is the article. All of the article's lines are returned,
+however short, with the h1 if it stands outside and the content lines outside, less those of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
+element, role, or words of id and class). A named element or form isn't boilerplate if it holds most of the text, or the
+only main, article or h1: it wraps the page.
 
 Defined results: null or empty HTML, or a page of boilerplate alone, gives an empty text; malformed or truncated HTML is
 read to its end; plain text without tags is one line for each of its blocks; repeated rows give equal results;
@@ -27,35 +29,40 @@ from skyweave.llm.common import append_columns, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("script style title head noscript template iframe object svg canvas audio video map".split())
-BOILERPLATE = frozenset("nav menu header footer aside form button select option textarea fieldset dialog label input".split())
+BOILERPLATE = frozenset("nav menu header footer aside button select option textarea dialog label input".split())
+FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail aside widget footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations trending popular comment comments disqus respond reply replies pagination pager toolbar copyright legal disclaimer skip".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_PARAGRAPH = BLOCK - {"br", "html", "body"}
 HOLDERS = frozenset("article main section div td body html blockquote".split())
+READERS = frozenset("comment comments disqus respond reply replies".split())
 SIGMA, PIECE = 1.0, 1 << 16
+#: Shares of the text above which a named element wraps the page: any, and one beside a main or article or named for reader comments, which may outweigh the article.
+WRAPS, BESIDE = 0.5, 0.95
 _WORD, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, link characters, tags, whether boilerplate, holder element)."""
+    """Lines of (text, link characters, tags, whether boilerplate, holder element, innermost named element or form, whether a heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, hidden, boilerplate, holder
+        self.stack: list[tuple[str, bool, bool, int, int]] = []  # tag, hidden, boilerplate, holder, named
         self.parents, self.tags_of = [-1], [""]
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.outer, self.readers, self.named_of = [-1], [False], [0]  # of named elements (0: none), and the named one of a holder
+        self.lines: list[tuple[str, int, int, bool, int, int, bool]] = []
         self.words: list[str] = []
         self.links = self.tags = self.in_link = 0
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def _state(self) -> tuple[bool, bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, 0)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.words)).strip()
         if text:
-            _, poor, holder = self._state()
-            self.lines.append((text, self.links, self.tags, poor, holder))
+            _, poor, holder, named = self._state()
+            self.lines.append((text, self.links, self.tags, poor, holder, named, any(x[0] == "h1" for x in self.stack)))
             self.tags = 0
         self.words, self.links = [], 0
 
@@ -69,18 +76,23 @@ class _Lines(HTMLParser):
             self._close({"p"}, HOLDERS | {"li", "td", "th", "dd", "dt"})
         if tag in CLOSES_ITSELF:
             self._close(CLOSES_ITSELF[tag], {"ul", "ol", "dl", "table", "select", "menu"} | HOLDERS - {"td"})
-        hidden, poor, holder = self._state()
+        hidden, poor, holder, named = self._state()
         hidden = hidden or tag in HIDDEN and not (tag == "head" and self.lines)
-        poor = poor or tag in BOILERPLATE or tag not in ("html", "body", "main", "article") and self._named(attrs)
+        poor = poor or tag in BOILERPLATE
+        if tag in FORMS or tag not in ("html", "body", "main", "article") and self._named(attrs):
+            self.outer.append(named)
+            self.readers.append(any(name in ("class", "id") and value and not READERS.isdisjoint(_WORD.findall(value.lower())) for name, value in attrs))
+            named = len(self.outer) - 1
         if tag in HOLDERS:
             self.parents.append(holder)
             self.tags_of.append(tag)
+            self.named_of.append(named)
             holder = len(self.parents) - 1
         if tag == "a":
             self.in_link += 1
         if tag == "body":
             hidden = False
-        self.stack.append((tag, hidden, poor, holder))
+        self.stack.append((tag, hidden, poor, holder, named))
 
     @staticmethod
     def _named(attrs) -> bool:
@@ -158,33 +170,78 @@ def content(ratios: np.ndarray) -> np.ndarray:
     return smooth >= threshold
 
 
+def _sums(own: list[float], parents: list[int]) -> list[float]:
+    """`own` and that of all descendants; parents come first."""
+    total = list(own)
+    for k in range(len(own) - 1, 0, -1):
+        total[parents[k]] += total[k]
+    return total
+
+
+def wrappers(page: _Lines) -> list[bool]:
+    """Which named elements and forms, with all around them, aren't boilerplate (the first stands for none)."""
+    own, inside = [0.0] * len(page.outer), [0.0] * len(page.parents)
+    for text, links, _, poor, holder, named, _ in page.lines:
+        if not poor:
+            own[named] += max(0, len(text) - links)
+            inside[holder] += max(0, len(text) - links)
+    held = _sums(own, page.outer)
+    wraps = [k == 0 or held[k] > BESIDE * held[0] for k in range(len(held))]
+
+    def free() -> list[bool]:
+        out = [True] * len(wraps)
+        for k in range(1, len(wraps)):
+            out[k] = wraps[k] and out[page.outer[k]]
+        return out
+
+    inside = _sums(inside, page.parents)
+    for kind in ("main", "article", "h1"):
+        now = free()
+        if kind == "h1" and not any(now[page.named_of[h]] for h, tag in enumerate(page.tags_of) if tag in ("main", "article") and inside[h]):
+            wraps = [w or not r and x > WRAPS * held[0] for w, r, x in zip(wraps, page.readers, held, strict=True)]
+        if kind == "h1":
+            marks = [(held[named], named) for _, _, _, poor, _, named, heading in page.lines if heading and not poor]
+        else:
+            marks = [(inside[h], page.named_of[h]) for h, tag in enumerate(page.tags_of) if tag == kind and inside[h]]
+        now = free()
+        if any(now[named] for _, named in marks):
+            continue
+        for _, k in sorted(marks, key=lambda m: -m[0]):
+            chain = []
+            while k:
+                chain.append(k)
+                k = page.outer[k]
+            if kind == "main" or not any(page.readers[c] and not wraps[c] for c in chain):
+                for c in chain:
+                    wraps[c] = True
+                break
+    return free()
+
+
 def main_text(html: str | None) -> str:
     """The article's lines, joined by newlines."""
     if not html:
         return ""
     page = read_lines(html)
-    rich = [x for x in page.lines if not x[3]]
+    free = wrappers(page)
+    rich = [x for x in page.lines if not x[3] and free[x[5]]]
     if not rich:
         return ""
-    mass = np.array([max(0, len(text) - links) for text, links, _, _, _ in rich], dtype=float)
-    chosen = content(mass / np.array([max(1, tags) for _, _, tags, _, _ in rich]))
+    mass = np.array([max(0, len(x[0]) - x[1]) for x in rich], dtype=float)
+    chosen = content(mass / np.array([max(1, x[2]) for x in rich]))
     if not mass[chosen].sum():
         chosen = np.ones(len(rich), dtype=bool)
-    inside: dict[int, float] = {}
-    paths = []
-    for (_, _, _, _, holder), weight in zip(rich, np.where(chosen, mass, 0), strict=True):
-        path = []
-        while holder >= 0:
-            path.append(holder)
-            inside[holder] = inside.get(holder, 0.0) + weight
-            holder = page.parents[holder]
-        paths.append(path)
-    total = inside[0]
-    named = [h for h in inside if page.tags_of[h] == "article"] or [h for h in inside if page.tags_of[h] == "main"]
-    best = max(named, key=lambda h: (inside[h], -h), default=0)
-    if not named or inside[best] < 0.5 * total:
-        best = max((h for h in inside if inside[h] >= 0.9 * total), key=lambda h: h)
-    return "\n".join(x[0] for x, path in zip(rich, paths, strict=True) if best in path)
+    inside = [0.0] * len(page.parents)
+    for x, weight in zip(rich, np.where(chosen, mass, 0), strict=True):
+        inside[x[4]] += float(weight)
+    inside = _sums(inside, page.parents)
+    most = [h for h in range(len(inside)) if inside[h] >= 0.9 * inside[0]]
+    best = max([h for h in most if page.tags_of[h] == "article"] or [h for h in most if page.tags_of[h] == "main"] or most)
+    within = [True] * len(inside) if best == 0 else [False] * len(inside)
+    for h in range(best, len(inside)):
+        within[h] = h == best or page.parents[h] >= 0 and within[page.parents[h]]
+    titled = any(x[6] and within[x[4]] for x in rich)
+    return "\n".join(x[0] for x, is_content in zip(rich, chosen, strict=True) if is_content or within[x[4]] or x[6] and not titled)
 
 
 FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]

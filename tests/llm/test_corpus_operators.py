@@ -123,6 +123,26 @@ def test_html_reads_past_malformed_declarations():
     assert html_extract.main_text("<p><math><![CDATA[a > b]]></math></p>") == "a > b"
 
 
+def test_html_wrappers_and_parts():
+    body = "<h1>The title</h1>" + "".join(f"<p>Paragraph {k} of the article says a number of things at some length.</p>" for k in range(6))
+    side = "<div class=sidebar><p>Side matter</p></div><div id=comments><article><p>A comment</p></article></div>"
+    whole = html_extract.main_text(f"<body>{body}</body>")
+    assert whole.count("\n") == 6
+    for before, after in (
+        ('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div class="site has-sidebar">', "</div>"), ('<div class="no-sidebar"><div id="promo">', "</div></div>"),
+        ("<form action=/ method=post><fieldset>", "</fieldset></form>"), ('<div class="no-comments">', "</div>"), ('<div class="popup"><article>', "</article></div>"),
+    ):
+        got = html_extract.main_text(f"<body><nav><a href=/>Home</a></nav>{before}{body}{side if 'comments' not in before else ''}{after}<footer>Foot</footer></body>")
+        assert got == whole, (before, got)
+    title = '<div class="page-header"><h1>The title</h1></div>'
+    assert html_extract.main_text(f"<body>{title}<main>{body[18:].removeprefix('</h1>')}</main>{side}</body>").startswith("The title\n")
+    parts = html_extract.main_text(f"<body><article>{body}</article><article>{body.replace('Paragraph', 'Further')}</article><p>And an ending outside of both, as long as any of the other paragraphs.</p></body>")
+    assert parts.count("Paragraph") == parts.count("Further") == 6 and "And an ending" in parts
+    long = "<p>A reader says a great deal about the article, more than it says itself.</p>" * 20
+    assert "reader" not in html_extract.main_text(f"<body><article>{body}</article><section id=comments>{long}</section></body>")
+    assert html_extract.main_text("<div class=footer><a href=/>Foot</a></div>") == ""
+
+
 def test_html_on_pages(spark):
     pages = common.table(spark, SMALL, "pages")
     for r in html_extract.extract(pages).select("html", "text", "n_chars").collect():
