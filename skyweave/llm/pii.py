@@ -11,13 +11,16 @@ date (1900 to 2099, ISO, dotted or slashed), ssn, card, phone (country code stay
 
 Defined results: a null text stays null with nothing found, an empty text stays empty; repeated rows get equal results;
 values that don't validate stay; where two kinds overlap, the one named first above wins; input columns named like an
-output column are replaced.
+output column are replaced. A card or iban beside other digits or words is found by trying every reading of the run that
+starts and ends at separators, usual card layouts and then longer readings first. Its pseudonym walks on while it would
+make a reading valid that comes before it, so that it can be inverted; only then it differs from the value's usual one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date, timedelta
 from math import isqrt
@@ -124,17 +127,25 @@ def _numeric(kind: bytes, valid: Callable[[str], bool], fixed: Callable[[str], i
     return swap
 
 
-def _card(value: str, f: Feistel, back: bool) -> str:
+def _card(value: str, f: Feistel, back: bool, ok: Callable[[str], bool] = lambda v: True) -> str:
     digits = re.sub(r"\D", "", value)
-    body = f"{f.permute(int(digits[:-1]), 10 ** (len(digits) - 1), b'card%d' % len(digits), back=back):0{len(digits) - 1}d}"
-    return _refill(value, next(body + c for c in "0123456789" if luhn(body + c)))
 
+    def show(x: int) -> str:
+        body = f"{x:0{len(digits) - 1}d}"
+        return _refill(value, next(body + c for c in "0123456789" if luhn(body + c)))
 
-def _iban(value: str, f: Feistel, back: bool) -> str:
+    return show(f.permute(int(digits[:-1]), 10 ** (len(digits) - 1), b"card%d" % len(digits), lambda x: ok(show(x)), back))
+
+
+def _iban(value: str, f: Feistel, back: bool, ok: Callable[[str], bool] = lambda v: True) -> str:
     plain = value.replace(" ", "")
-    body = _text(b"iban" + plain[:2].encode())(plain[4:], f, back)
-    out = iter(f"{plain[:2]}{98 - _mod97(f'{plain[:2]}00{body}'):02d}{body}")
-    return "".join(c if c == " " else next(out) for c in value)
+    swap = _text(b"iban" + plain[:2].encode())
+    body = plain[4:]
+    while True:
+        body = swap(body, f, back)
+        out = iter(f"{plain[:2]}{98 - _mod97(f'{plain[:2]}00{body}'):02d}{body}")
+        if ok(shown := "".join(c if c == " " else next(out) for c in value)):
+            return shown
 
 
 def _ip(value: str, f: Feistel, back: bool) -> str:
@@ -197,11 +208,11 @@ def _digits(value: str) -> str:
 KINDS = [
     ("email", re.compile(r"(?<![\w.%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), lambda v: True, _text(b"email")),
     ("secret", re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|key|token|secret|password|passwd)\b[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{16,})"), lambda v: True, _text(b"secret", True)),
-    ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), lambda v: 15 <= len(v.replace(" ", "")) <= 34 and _mod97(v.replace(" ", "")) == 1, _iban),
+    ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}[A-Z0-9]*(?: [A-Z0-9]+)*)(?!\w)"), lambda v: 15 <= len(v.replace(" ", "")) <= 34 and _mod97(v.replace(" ", "")) == 1, _iban),
     ("ip", re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"), lambda v: all(int(o) < 256 and str(int(o)) == o for o in v.split(".")), _ip),
     ("date", re.compile(r"(?<![\w./-])(\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?![\w/-]|\.\d)"), lambda v: _parse_date(v) is not None, _date),
     ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), lambda v: _ssn_valid(_digits(v)), _numeric(b"ssn", _ssn_valid)),
-    ("card", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){12,18})(?!\w|-\d)"), lambda v: luhn(_digits(v)) and _digits(v).strip("0") != "", _card),
+    ("card", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){12,})(?!\w|-\d)"), lambda v: luhn(_digits(v)) and _digits(v).strip("0") != "", _card),
     ("phone", re.compile(r"(?<![\w.+-])(\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,5})){1,5}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w|-\d)"), lambda v: _phone_valid(_digits(v), v), _phone),
 ]
 _MAYBE = re.compile(r"[0-9@]|(?i:token|key|secret|passw)")
@@ -209,27 +220,104 @@ _MAYBE = re.compile(r"[0-9@]|(?i:token|key|secret|passw)")
 FIELDS = [T.StructField("n_found", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
 
 
-def find(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of every validated value, in text order, without overlaps."""
+def _card_readings(run: str) -> list[tuple[int, int]]:
+    """Readings of 13 to 19 digits from border to border of digit groups: usual layouts, then longer ones first."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    ranked = []
+    for i, (a, _) in enumerate(groups):
+        sizes: list[int] = []
+        for x, b in groups[i:]:
+            sizes.append(b - x)
+            n = sum(sizes)
+            if n > 19:
+                break
+            if n >= 13:
+                ranked.append((len(sizes) > 1 and sizes not in ([4, 4, 4, 4], [4, 6, 5]), -n, a, b))
+    return [(a, b) for *_, a, b in sorted(ranked)]
+
+
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+
+
+def _iban_readings(run: str) -> list[tuple[int, int]]:
+    """Readings of the form of an iban from border to border of words, longer ones first."""
+    words = [m.span() for m in re.finditer(r"[A-Z0-9]+", run)]
+    ranked = []
+    for i, (a, _) in enumerate(words):
+        for _, b in words[i : i + 10]:
+            if b - a > 44:
+                break
+            if _IBAN.fullmatch(run, a, b):
+                ranked.append((a - b, a, b))
+    return [(a, b) for _, a, b in sorted(ranked)]
+
+
+#: Kinds whose pattern finds runs, of which each reading may be a value.
+READINGS = {"card": _card_readings, "iban": _iban_readings}
+
+
+def _find(text: str) -> tuple[list[tuple[int, int, int]], dict[int, list[tuple[int, int]]]]:
+    """Values as find gives them, and for the start of some the readings before it in order that overlap it and must stay invalid."""
     found: list[tuple[int, int, int]] = []
+    rivals: dict[int, list[tuple[int, int]]] = {}
     if not _MAYBE.search(text):
-        return found
-    for k, (_, form, valid, _) in enumerate(KINDS):
+        return found, rivals
+    for k, (name, form, valid, _) in enumerate(KINDS):
+        before = sorted(found)
+        starts = [x for x, _, _ in before]
+        free = lambda a, b: not (at := bisect_left(starts, b)) or before[at - 1][1] <= a  # noqa: E731, B023
         for m in form.finditer(text):
             a, b = m.span(1)
-            if valid(m[1]) and not any(a < y and x < b for x, y, _ in found):
-                found.append((a, b, k))
-    return sorted(found)
+            if name not in READINGS:
+                if valid(m[1]) and free(a, b):
+                    found.append((a, b, k))
+                continue
+            taken = [-1] * (b - a)  # the value that holds each character
+            losers: dict[int, list[tuple[int, int]]] = {}  # invalid readings by character
+            for x, y in READINGS[name](m[1]):
+                if any(t >= 0 for t in taken[x:y]) or not free(a + x, a + y):
+                    continue
+                if valid(m[1][x:y]):
+                    taken[x:y] = [x] * (y - x)
+                    found.append((a + x, a + y, k))
+                    lost = {r for c in range(x, y) for r in losers.get(c, ())}
+                    if lost:
+                        rivals[a + x] = sorted((a + u, a + v) for u, v in lost)
+                else:
+                    for c in range(x, y):
+                        losers.setdefault(c, []).append((x, y))
+    return sorted(found), rivals
+
+
+def find(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of every validated value, in text order, without overlaps."""
+    return _find(text)[0]
 
 
 def swap(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[str]]:
     """The text with pseudonyms (or, back, with the values again) and the kinds found."""
-    out, at, kinds = [], 0, []
-    for a, b, k in find(text):
-        out += [text[at:a], KINDS[k][3](text[a:b], feistel, back)]
+    found, rivals = _find(text)
+    now = list(text) if rivals else []
+    new = []
+    # Back is the reverse order: a value is swapped among its neighbours as they are then.
+    for a, b, k in reversed(found) if back else found:
+        _, _, valid, change = KINDS[k]
+        if a in rivals:
+
+            def ok(value: str, a=a, b=b, valid=valid) -> bool:
+                now[a:b] = value
+                return not any(valid("".join(now[x:y])) for x, y in rivals[a])
+
+            new.append(change(text[a:b], feistel, back, ok))
+        else:
+            new.append(change(text[a:b], feistel, back))
+        if rivals:
+            now[a:b] = new[-1]
+    out, at = [], 0
+    for (a, b, _), value in zip(found, reversed(new) if back else new, strict=True):
+        out += [text[at:a], value]
         at = b
-        kinds.append(KINDS[k][0])
-    return "".join(out) + text[at:], kinds
+    return "".join(out) + text[at:], [KINDS[k][0] for _, _, k in found]
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", back: bool = False) -> DataFrame:
