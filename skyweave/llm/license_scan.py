@@ -1,6 +1,8 @@
 """License scan: phrases in place, and an exact set-similarity join of text blocks with license templates.
 
-One pass over the texts finds the phrases and reduces each block (line) to the distinct words it shares with any
+A block is a line (its number) or, for notices wrapped over lines, a paragraph of several: lines between those without
+words (-1 less the paragraph's number); a paragraph whose line alone matches a template isn't matched with it again.
+One pass over the texts finds the phrases and reduces each block to the distinct words it shares with any
 template, which is all that containment depends on. Over all blocks the frequency of each such word is counted; words in
 order of frequency give every template a short prefix of its rarest words. Blocks join templates on those prefix words
 only (the prefix index is bounded by the fixed templates, so it is broadcast), with length and positional filters, and
@@ -25,6 +27,7 @@ from skyweave.llm.common import materialize, table, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_PARAGRAPHS = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
 
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -90,10 +93,12 @@ def _read(docs: DataFrame, text: str, kept: list[str], phrases, templates, thres
     vocabulary = sorted({w for _, t in templates for w in _words(t)})
     least = min(_need(len(_words(t)), threshold) for _, t in templates)
     known = F.array(*[F.lit(w) for w in vocabulary])
-    blocks = F.filter(
-        F.transform(F.split("__low", "\n"), lambda x, i: F.struct(i.alias("block"), F.array_intersect(known, F.split(x, SEPARATORS)).alias("words"))),
-        lambda b: F.size(b["words"]) >= least,
-    )
+    shared = lambda x: F.array_intersect(known, F.split(x, SEPARATORS))
+    enough = lambda b: F.size(b["words"]) >= least
+    lines = F.filter(F.transform(F.split("__low", "\n"), lambda x, i: F.struct(i.alias("block"), shared(x).alias("words"), F.array().cast("array<array<string>>").alias("lines"))), enough)
+    wrapped = F.transform(F.split("__low", BETWEEN_PARAGRAPHS), lambda x, i: F.struct((-1 - i).alias("block"), F.when(F.contains(x, F.lit("\n")), shared(x)).otherwise(F.array().cast("array<string>")).alias("words"), x.alias("text")))
+    paragraphs = F.transform(F.filter(wrapped, enough), lambda b: F.struct(b["block"].alias("block"), b["words"].alias("words"), F.transform(F.split(b["text"], "\n"), shared).alias("lines")))
+    blocks = F.concat(lines, paragraphs)
     return out.withColumns({
         "n_words": F.greatest(spaces(F.col("__plain")) - 1, F.lit(0)).cast("long"),
         "n_base": F.when(some, sum(F.regexp_count("__plain", F.lit(f" (?={re.escape(p)} )")) for p, _ in phrases)).otherwise(0).cast("long"),
@@ -119,7 +124,7 @@ def _any(conditions: list):
 def _join(read: DataFrame, templates, threshold: Fraction) -> DataFrame:
     """(__row, block, template, label, containment) of every pair that meets the threshold."""
     spark = read.sparkSession
-    blocks = read.where(F.size("__blocks") > 0).select("__row", F.explode("__blocks").alias("b")).select("__row", "b.block", F.col("b.words").alias("words"))
+    blocks = read.where(F.size("__blocks") > 0).select("__row", F.explode("__blocks").alias("b")).select("__row", "b.block", F.col("b.words").alias("words"), "b.lines")
     words = _inline(spark, ("template", "label", "word", "size", "need"), [(k, label, w, len(ws), _need(len(ws), threshold)) for k, (label, t) in enumerate(templates) for ws in [_words(t)] for w in ws])
     counted = blocks.select(F.explode("words").alias("word")).groupBy("word").count()
     # Bounded by the templates' vocabulary, however many blocks were counted.
@@ -131,11 +136,12 @@ def _join(read: DataFrame, templates, threshold: Fraction) -> DataFrame:
     index = indexed.withColumn("set", F.transform("all", lambda r: F.element_at(known, r + 1))).where(F.col("at") <= F.col("size") - F.col("need")).select("template", "label", "word", "size", "need", "at", "set")
     ordered = blocks.withColumn("words", F.array_intersect(known, "words"))
     sized = ordered.withColumn("n", F.size("words"))
-    probes = sized.select("__row", "block", "words", "n", F.posexplode("words").alias("i", "word"))
+    probes = sized.select("__row", "block", "words", "lines", "n", F.posexplode("words").alias("i", "word"))
     near = probes.join(F.broadcast(index), "word").where((F.col("n") >= F.col("need")) & (F.col("i") <= F.col("n") - F.col("need")) & (1 + F.least(F.col("n") - F.col("i") - 1, F.col("size") - F.col("at") - 1) >= F.col("need")))
     shared = near.withColumn("both", F.array_intersect("words", "set"))
     # A pair is probed once a shared prefix word; only its first shared word counts.
     sure = shared.where((F.size("both") >= F.col("need")) & (F.element_at("both", 1) == F.col("word")))
+    sure = sure.where(~F.exists("lines", lambda x: F.size(F.array_intersect(x, F.col("set"))) >= F.col("need")))
     return sure.select("__row", "block", "template", "label", (F.size("both") / F.col("size")).alias("containment"))
 
 

@@ -73,6 +73,14 @@ def test_decontaminate_spans_and_edges(spark, docs):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    texts = [mit, " * X\n *\n * " + mit.replace("\n", "\n * ") + "\n *\n", "# " + bsd.replace("\n", "\n# "), mit.replace("\n", "\n\n"), mit.replace("\n", " ") + "\nother", ""]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, [m.block for m in r.matches]) for r in rows] == [("mit", [-1]), ("mit", [-2]), ("bsd", [-1]), ("", []), ("mit", [0]), ("", [])]
+
+
 def test_pii_links_validates_and_inverts(spark):
     f = pii.Feistel(b"k")
     values = ["ann.b7@x.org", "token = \"0123456789abcdef0123\"", "DE89370400440532013000", "10.0.200.3", "2024-02-29", "31/12/1999", "12/31/1999", "078-05-1120", "4111 1111 1111 1111", "+1 (499) 555-6503", "(415) 555-2671"]
