@@ -4,9 +4,11 @@ A page's HTML is fed in pieces to the standard library's streaming parser, whose
 Each line outside boilerplate elements has a text-to-tag ratio, with link text counted as none; the ratios are smoothed
 by a Gaussian and split into two clusters by an iterated mean threshold; the lines above it are content, and the smallest
 article, main or other element that holds nearly all of them is the article. All of the article's lines are returned,
-however short, with the h1 if it stands outside and the content lines outside, less those of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
-element, role, or words of id and class). A named element or form isn't boilerplate if it holds most of the text, or the
-only main, article or h1: it wraps the page.
+however short, with the h1 if it stands outside and the content lines outside, less those of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments (by element, role, or words of id and class). A named element or
+form isn't boilerplate if it holds most of the text, or the only main, article or h1: it wraps the page. Words that
+articles use of their own parts too (DOUBTFUL: legal, related, popular) settle nothing: lines there stay if the clusters
+take them for content, or if their element is mostly content, and go otherwise.
 
 Defined results: null or empty HTML, or a page of boilerplate alone, gives an empty text; malformed or truncated HTML is
 read to its end; plain text without tags is one line for each of its blocks; repeated rows give equal results;
@@ -27,14 +29,15 @@ from skyweave.llm.common import append_columns, table
 
 #: Element names and the words of boilerplate ids and classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("script style title head noscript template iframe object svg canvas audio video map".split())
 BOILERPLATE = frozenset("nav menu header footer aside button select option textarea dialog label input".split())
 FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail aside widget footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations trending popular comment comments disqus respond reply replies pagination pager toolbar copyright legal disclaimer skip".split())
+WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social comment comments disqus respond reply replies pagination pager toolbar skip".split())
+DOUBTFUL = frozenset("legal copyright disclaimer related recommended recommendations trending popular rail side foot".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ENDS_PARAGRAPH = BLOCK - {"br", "html", "body"}
+ENDS_PARAGRAPH = BLOCK - {"html", "body"}
 HOLDERS = frozenset("article main section div td body html blockquote".split())
 READERS = frozenset("comment comments disqus respond reply replies".split())
 SIGMA, PIECE = 1.0, 1 << 16
@@ -44,25 +47,26 @@ _WORD, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, link characters, tags, whether boilerplate, holder element, innermost named element or form, whether a heading)."""
+    """Lines of (text, link characters, tags, whether boilerplate, holder element, innermost named element or form, whether a heading, innermost doubtful element)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int, int]] = []  # tag, hidden, boilerplate, holder, named
+        self.stack: list[tuple[str, bool, bool, int, int, int]] = []  # tag, hidden, boilerplate, holder, named, doubtful
         self.parents, self.tags_of = [-1], [""]
         self.outer, self.readers, self.named_of = [-1], [False], [0]  # of named elements (0: none), and the named one of a holder
-        self.lines: list[tuple[str, int, int, bool, int, int, bool]] = []
+        self.doubts = 0
+        self.lines: list[tuple[str, int, int, bool, int, int, bool, int]] = []
         self.words: list[str] = []
         self.links = self.tags = self.in_link = 0
 
-    def _state(self) -> tuple[bool, bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0, 0)
+    def _state(self) -> tuple[bool, bool, int, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, 0, 0)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.words)).strip()
         if text:
-            _, poor, holder, named = self._state()
-            self.lines.append((text, self.links, self.tags, poor, holder, named, any(x[0] == "h1" for x in self.stack)))
+            _, poor, holder, named, doubt = self._state()
+            self.lines.append((text, self.links, self.tags, poor, holder, named, any(x[0] == "h1" for x in self.stack), doubt))
             self.tags = 0
         self.words, self.links = [], 0
 
@@ -71,18 +75,23 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         if tag in VOID:
+            if tag in ("br", "wbr"):
+                self.words.append(" " if tag == "br" else "")
             return
         if tag in ENDS_PARAGRAPH:
             self._close({"p"}, HOLDERS | {"li", "td", "th", "dd", "dt"})
         if tag in CLOSES_ITSELF:
             self._close(CLOSES_ITSELF[tag], {"ul", "ol", "dl", "table", "select", "menu"} | HOLDERS - {"td"})
-        hidden, poor, holder, named = self._state()
+        hidden, poor, holder, named, doubt = self._state()
         hidden = hidden or tag in HIDDEN and not (tag == "head" and self.lines)
         poor = poor or tag in BOILERPLATE
         if tag in FORMS or tag not in ("html", "body", "main", "article") and self._named(attrs):
             self.outer.append(named)
-            self.readers.append(any(name in ("class", "id") and value and not READERS.isdisjoint(_WORD.findall(value.lower())) for name, value in attrs))
+            self.readers.append(self._has(attrs, READERS))
             named = len(self.outer) - 1
+        elif tag not in ("html", "body", "main", "article") and self._has(attrs, DOUBTFUL):
+            self.doubts += 1
+            doubt = self.doubts
         if tag in HOLDERS:
             self.parents.append(holder)
             self.tags_of.append(tag)
@@ -92,7 +101,11 @@ class _Lines(HTMLParser):
             self.in_link += 1
         if tag == "body":
             hidden = False
-        self.stack.append((tag, hidden, poor, holder, named))
+        self.stack.append((tag, hidden, poor, holder, named, doubt))
+
+    @staticmethod
+    def _has(attrs, words: frozenset[str]) -> bool:
+        return any(name in ("class", "id") and value and not words.isdisjoint(_WORD.findall(value.lower())) for name, value in attrs)
 
     @staticmethod
     def _named(attrs) -> bool:
@@ -181,7 +194,7 @@ def _sums(own: list[float], parents: list[int]) -> list[float]:
 def wrappers(page: _Lines) -> list[bool]:
     """Which named elements and forms, with all around them, aren't boilerplate (the first stands for none)."""
     own, inside = [0.0] * len(page.outer), [0.0] * len(page.parents)
-    for text, links, _, poor, holder, named, _ in page.lines:
+    for text, links, _, poor, holder, named, _, _ in page.lines:
         if not poor:
             own[named] += max(0, len(text) - links)
             inside[holder] += max(0, len(text) - links)
@@ -200,7 +213,7 @@ def wrappers(page: _Lines) -> list[bool]:
         if kind == "h1" and not any(now[page.named_of[h]] for h, tag in enumerate(page.tags_of) if tag in ("main", "article") and inside[h]):
             wraps = [w or not r and x > WRAPS * held[0] for w, r, x in zip(wraps, page.readers, held, strict=True)]
         if kind == "h1":
-            marks = [(held[named], named) for _, _, _, poor, _, named, heading in page.lines if heading and not poor]
+            marks = [(held[named], named) for _, _, _, poor, _, named, heading, _ in page.lines if heading and not poor]
         else:
             marks = [(inside[h], page.named_of[h]) for h, tag in enumerate(page.tags_of) if tag == kind and inside[h]]
         now = free()
@@ -219,7 +232,7 @@ def wrappers(page: _Lines) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
-    """The article's lines, joined by newlines."""
+    """The article's blocks, joined by two newlines."""
     if not html:
         return ""
     page = read_lines(html)
@@ -231,6 +244,13 @@ def main_text(html: str | None) -> str:
     chosen = content(mass / np.array([max(1, x[2]) for x in rich]))
     if not mass[chosen].sum():
         chosen = np.ones(len(rich), dtype=bool)
+    whole, good = [0.0] * (page.doubts + 1), [0.0] * (page.doubts + 1)
+    for x, weight in zip(rich, np.where(chosen, mass, 0).tolist(), strict=True):
+        whole[x[7]] += len(x[0])
+        good[x[7]] += weight
+    sure = [k == 0 or 2 * g >= w for k, (g, w) in enumerate(zip(good, whole, strict=True))]
+    kept = [bool(c) or sure[x[7]] for x, c in zip(rich, chosen, strict=True)]
+    rich, mass, chosen = [x for x, k in zip(rich, kept, strict=True) if k], mass[kept], chosen[kept]
     inside = [0.0] * len(page.parents)
     for x, weight in zip(rich, np.where(chosen, mass, 0), strict=True):
         inside[x[4]] += float(weight)
@@ -241,7 +261,7 @@ def main_text(html: str | None) -> str:
     for h in range(best, len(inside)):
         within[h] = h == best or page.parents[h] >= 0 and within[page.parents[h]]
     titled = any(x[6] and within[x[4]] for x in rich)
-    return "\n".join(x[0] for x, is_content in zip(rich, chosen, strict=True) if is_content or within[x[4]] or x[6] and not titled)
+    return "\n\n".join(x[0] for x, is_content in zip(rich, chosen, strict=True) if is_content or within[x[4]] or x[6] and not titled)
 
 
 FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
