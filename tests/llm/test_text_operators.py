@@ -1,5 +1,6 @@
 """License scan, decontamination, pseudonyms, quality rules, token counts and the codec on small tables."""
 
+import hashlib
 import random
 import re
 
@@ -40,31 +41,47 @@ def test_license_blocks_and_phrases(spark):
 
 
 def _judge(text, items):
-    words, hit, found = WORD.findall(fold(text or "")), set(), set()
+    """Every column of the operator, by trying each window at each word."""
+    at = [m.span() for m in WORD.finditer(fold(text or ""))]
+    words, hit, found = [fold(text)[a:b] for a, b in at], set(), []
     for i, item in items:
-        own = WORD.findall(fold(item or ""))
+        own, seen = WORD.findall(fold(item or "")), False
         for k in range(max(1, len(own) - 12) if own else 0):
             piece = own[k : k + 13]
-            for at in range(len(words) - len(piece) + 1):
-                if words[at : at + len(piece)] == piece:
-                    hit.update(range(at, at + len(piece)))
-                    found.add(i)
-    return len(words), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(words)
-
-
-@pytest.mark.parametrize("shard", [26_000_000, 200])
-def test_decontaminate_against_brute_force(spark, shard):
+            for p in range(len(words) - len(piece) + 1):
+                if words[p : p + len(piece)] == piece:
+                    hit.update(range(p, p + len(piece)))
+                    seen = True
+        found += [str(i)] if seen else []
+    runs = [[k, k + 1] for k in sorted(hit) if k - 1 not in hit]
+    for r in runs:
+        while r[1] in hit:
+            r[1] += 1
+    named = sorted(found)
+    sha = hashlib.sha256(",".join(named).encode()).hexdigest()
+    return len(words), len(hit), len(found), named, [(at[a][0], at[b - 1][1]) for a, b in runs], sha, bool(hit) and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize(("most", "piece"), [(decontaminate.MOST, decontaminate.PIECE), (decontaminate.MOST, 3), (400, 3)])
+def test_decontaminate_against_brute_force(spark, monkeypatch, most, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     rnd = random.Random(3)
     words = ["a", "B", "Ünï", "d4", "e"]
     text = lambda n: " ".join(rnd.choices(words, k=n))
     items = [(k, text(n)) for k, n in enumerate([3, 13, 14, 20, 40, 1])] + [(9, None), (10, "--")]
-    rows = [(k, text(rnd.randint(0, 60)) + rnd.choice(["", " " + items[rnd.randrange(5)][1], ", " + items[4][1].upper()])) for k in range(60)] + [(99, None), (100, "")]
+    items += [items[4], items[3]]  # repeated items count each
+    rows = [(k, text(rnd.randint(0, 60)) + rnd.choice(["", " " + items[rnd.randrange(5)][1], ", " + items[4][1].upper(), " zz " + items[2][1] + " 😀 " + items[0][1]])) for k in range(60)] + [(99, None), (100, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, bench, max_window_words=shard).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.item_ids, [tuple(s) for s in r.spans], r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(docs, bench, max_window_words=most).collect()}
     assert got == {i: _judge(t, items) for i, t in rows}
 
 
+def test_decontaminate_codes_any_vocabulary():
+    codes = {decontaminate._coded(n) for n in (*range(70_000), 1_112_063, 2_000_000, 16_777_215)}
+    assert len(codes) == 70_003 and all(len(c) == 3 and "\0" not in c for c in codes)
+
+
 def test_decontaminate_spans_and_edges(spark, docs):
     bench = spark.createDataFrame([(1, "Über alles hier")], "item_id long, text string")
     r = decontaminate.decontaminate(spark.createDataFrame([(1, "– Über  ALLES, hier!")], "doc_id long, text string"), bench).first()
