@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Byte table for words `[0-9a-z]` and every non-ASCII byte: A-Z fold to a-z, all other ASCII becomes a space.
@@ -49,6 +50,31 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key is hot beyond a thousandth of all rows (and this many), so there are fewer than a thousand hot keys.
+HOT_SHARE, HOT_ROWS = 1000, 100
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """`left` joined with `right`, which has one row a key, so that no hot key of `left` lands in one task.
+
+    `counts` (keys, rows) has the rows of each key in `left`; it is counted if not given. Hot keys, fewer than HOT_SHARE,
+    are all that is ever broadcast: their rows in `left` are dealt into slices by the hash of the column `salt`, their
+    rows in `right` are copied to each slice.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("rows")) if counts is None else counts
+    total = counts.agg(F.sum("rows").alias("n")).first().n or 0
+    size = max(total / HOT_SHARE, HOT_ROWS)
+    schema = T.StructType([*(counts.schema[k] for k in keys), T.StructField("__slices", T.LongType())])
+    found = counts.where(F.col("rows") > size).select(*keys, F.ceil(F.col("rows") / size).cast("long").alias("__slices")).collect()
+    if not found:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in found], schema))
+    slices = F.coalesce("__slices", F.lit(1).cast("long"))
+    dealt = left.join(hot, keys, "left").withColumn("__slice", F.pmod(F.xxhash64(salt), slices)).drop("__slices")
+    copied = right.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("__slices")
+    return dealt.join(copied, [*keys, "__slice"], how).drop("__slice")
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """`df` less the columns whose names an operator is about to write (Spark's names ignore case)."""
     taken = {n.lower() for n in names}

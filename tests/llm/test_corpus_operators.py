@@ -30,22 +30,68 @@ def _family(rnd, n, words, edits):
     return out
 
 
+def _groups(texts, ids, width=2):
+    """What near_duplicates has to give, by comparing all pairs: (id, n, component, kept) a row. Rows of one id are one document."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    name = {i: i for i in ids}
+
+    def head(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for p, a in enumerate(sets):
+        for q in range(p):
+            if a and 100 * len(a & sets[q]) >= 80 * len(a | sets[q]):
+                x, y = sorted((head(ids[p]), head(ids[q])))
+                name[y] = x
+    return sorted((i, len(s), head(i) if s else i, (head(i) if s else i) == i) for i, s in zip(ids, sets, strict=True))
+
+
+def _found(spark, texts, ids, width=2):
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, width=width).collect())
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rnd = random.Random(11)
     texts = [t for n in (30, 12, 5, 2) for t in _family(rnd, n, 120, 14)] + ["x", "X", "a b", None, "", "a  B"]
     rnd.shuffle(texts)
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({*zip(w, w[1:], strict=False)} if len(w) > 1 else {tuple(w)} if w else set())
-    name = list(range(len(texts)))
-    for _ in name:
-        for i, a in enumerate(sets):
-            for j in range(i):
-                if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
-                    name[i] = name[j] = min(name[i], name[j])
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=2).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), name[i], name[i] == i) for i, s in enumerate(sets)}
+    ids = list(range(len(texts)))
+    assert _found(spark, texts, ids) == _groups(texts, ids)
+
+
+def test_near_duplicates_of_families_below_the_threshold(spark, monkeypatch):
+    """Variants that share edits pairwise, at similarities of 0.6 to 0.9; hot keys and buckets in slices, and the shuffled joins of large inputs."""
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    edit = lambda words, n: [f"e{k}-{rnd.randrange(3)}" if k in at else w for at in [rnd.sample(range(0, 60, 3), n)] for k, w in enumerate(words)]
+    centres = [edit(base, 4) for _ in range(12)]
+    texts = [" ".join(edit(rnd.choice(centres), rnd.randrange(3))) for _ in range(90)]
+    texts += texts[:9] + ["lone text here"] * 40
+    ids = list(range(len(texts)))
+    want = _groups(texts, ids)
+    assert 5 < len({w[2] for w in want}) < 100
+    assert _found(spark, texts, ids) == want
+    monkeypatch.setattr(near_dedup, "MOST_IDS", 0)
+    monkeypatch.setattr(near_dedup, "SLICE", 7)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert _found(spark, texts, ids) == want
+
+
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    rnd = random.Random(13)
+    a, b, c = (_family(rnd, 4, 80, 3) for _ in range(3))
+    texts, ids = [a[0], b[0], a[1], b[1], c[0], c[0], c[1], c[2], b[2], a[0], "", "q"], [5, 5, 6, 7, 9, 9, 8, 10, 5, 5, 12, 12]
+    want = _groups(texts, ids)
+    assert {w[0]: w[2] for w in want if w[1]}[7] == 5
+    for hot in (100, 1):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert [(i, n) for i, n, _, _ in _found(spark, texts, ids)] == [(i, n) for i, n, _, _ in want]
+        assert {x for x in _found(spark, texts, ids) if x[1]} == {x for x in want if x[1]}
 
 
 def test_near_duplicates_edges(spark):
