@@ -57,21 +57,23 @@ HOT_SHARE, HOT_ROWS = 1000, 100
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """`left` joined with `right`, which has one row a key, so that no hot key of `left` lands in one task.
 
-    `counts` (keys, rows) has the rows of each key in `left`; it is counted if not given. Hot keys, fewer than HOT_SHARE,
-    are all that is ever broadcast: their rows in `left` are dealt into slices by the hash of the column `salt`, their
-    rows in `right` are copied to each slice.
+    `counts` (keys, rows) has the rows of each key in `left`; it is counted if not given. The hashes of hot keys, fewer
+    than HOT_SHARE, are all that the driver ever holds: hot rows of `left` are dealt into slices by the hash of the column
+    `salt`, those of `right` are copied to each slice. Keys of equal hash are hot together, which changes no result.
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("rows")) if counts is None else counts
     total = counts.agg(F.sum("rows").alias("n")).first().n or 0
     size = max(total / HOT_SHARE, HOT_ROWS)
-    schema = T.StructType([*(counts.schema[k] for k in keys), T.StructField("__slices", T.LongType())])
-    found = counts.where(F.col("rows") > size).select(*keys, F.ceil(F.col("rows") / size).cast("long").alias("__slices")).collect()
-    if not found:
+    tiers: dict[int, list[int]] = {}
+    for h, n in counts.where(F.col("rows") > size).select(F.xxhash64(*keys), F.ceil(F.col("rows") / size).cast("long")).collect():
+        tiers.setdefault(1 << (n - 1).bit_length(), []).append(h)
+    if not tiers:
         return left.join(right, keys, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in found], schema))
-    slices = F.coalesce("__slices", F.lit(1).cast("long"))
-    dealt = left.join(hot, keys, "left").withColumn("__slice", F.pmod(F.xxhash64(salt), slices)).drop("__slices")
-    copied = right.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("__slices")
+    slices = F.lit(1).cast("long")
+    for n, hashes in tiers.items():
+        slices = F.when(F.xxhash64(*keys).isin(hashes), F.lit(n).cast("long")).otherwise(slices)
+    dealt = left.withColumn("__slice", F.pmod(F.xxhash64(salt), slices))
+    copied = right.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
     return dealt.join(copied, [*keys, "__slice"], how).drop("__slice")
 
 
