@@ -1,15 +1,17 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for what no rule decides.
 
-Features are lengths, depth, digit ratio, character entropy, hyphens, parameter counts and suffix statistics (the share
-of blocked urls among the labelled ones of a host's last two labels, smoothed and leaving the row itself out). The trees
-are fitted on labelled urls, weighted so both labels count alike: block where the host has a word of a block list, else
-allow (rules are editorial and label nothing). At most `sample` urls are used, those of the smallest hash, so the sample
-is the same however the table is partitioned. Fitting and scoring are Spark's own; no Python runs on executors.
+Features are lengths, depth, digit ratio, character entropy, hyphens, parameter counts and suffix statistics: the share
+of blocked urls among the labelled ones of a host's last label, of its last two labels, and of a path's first part,
+smoothed and leaving the row itself out, in training as in scoring. The trees are fitted on labelled urls, weighted so
+that both labels count alike: those of `labelled`, a table of (url, blocked), or else the urls that a rule decides, so
+that the trees carry the rules' judgement over to urls that no rule names. At most `sample` labelled urls are used,
+those of the smallest hash, so the sample is the same however the table is partitioned; the statistics are of all.
+Fitting and scoring are Spark's own; no Python runs on executors.
 
 Defined results: a null url, or one without `://`, has an empty host and path and fits no rule; the trees judge it like
-any other; with no labelled urls of both kinds there is nothing to learn and unruled urls are allowed; repeated rows
-get equal verdicts; input columns named like an output column are replaced. Of two rules that fit with equal length
-(hosts and paths), the first listed wins.
+any other; with no labelled urls of both kinds there is nothing to learn and unruled urls are allowed; a url labelled
+both ways counts as blocked; repeated rows get equal verdicts; input columns named like an output column are replaced.
+Of two rules that fit with equal length (hosts and paths), the first listed wins.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import materialize, table, without
+from skyweave.llm.common import materialize, salted_join, table, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (verdict, rule). A rule is a host (with its subdomains) and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Host words that label a url as blocked for training.
-BLOCK_WORDS = ("adult", "bets", "casino", "porn", "sex", "spam", "viagra", "xxx")
+#: Suffix statistics: the name of each and the text it groups by.
+SUFFIXES = {"tld": lambda host, path: F.substring_index(host, ".", -1), "suffix": lambda host, path: F.substring_index(host, ".", -2), "start": lambda host, path: F.regexp_extract(path, "^/[^/]*/?", 0)}
 SAMPLE, TREES, DEPTH, PRIOR = 20_000, 10, 3, 20
+#: Suffixes broadcast at most; beyond, a join in slices finds them.
+MOST_SUFFIXES = 100_000
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789.-_/?=&%+#:~"
-FEATURES = ("host_length", "path_length", "url_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "parameters", "entropy", "longest_label", "has_fragment", "percent_signs", "suffix_block", "suffix_count")
+FEATURES = ("host_length", "path_length", "url_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "parameters", "entropy", "longest_label", "has_fragment", "percent_signs", *(f"{name}_{kind}" for name in SUFFIXES for kind in ("block", "count")))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -52,10 +56,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return cases if cases is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
-def _suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
-
-
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """The features that need no other row."""
     known = F.coalesce(url.cast("string"), F.lit(""))
@@ -75,39 +75,58 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, block_words=BLOCK_WORDS, sample: int = SAMPLE) -> DataFrame:
-    """`pages` with host, path, rule, verdict, score (the trees' probability of block; null where a rule decides)."""
+def judge(pages: DataFrame, url: str = "url", rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """`pages` with host, path, rule, verdict, score (the trees' probability of block; null where a rule decides).
+
+    `labelled` has the columns url (string) and blocked (boolean); without it the rules' own verdicts are the labels.
+    """
     names = ("host", "path", "rule", "verdict", "score")
     base = without(pages, set(names) - {url})
     keep = base.columns
     host, path = split_url(F.col(f"`{url}`"))
     rows = base.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{url}`").cast("string").alias("u"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    listed = F.col("host").rlike(r"(^|[^a-z])(" + "|".join(block_words) + r")([^a-z]|$)") if block_words else F.lit(False)
-    named = rows.where("u is not null").select("u", "host", "path", F.when(listed, 1.0).otherwise(0.0).alias("label"))
-    suffixes = materialize(named.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.sum("label").alias("bad"), F.count("*").alias("n")), "suffixes")
-    whole = suffixes.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    if labelled is None:
+        named = rows.where("fit is not null").select("u", (F.col("fit.verdict") == "block").cast("double").alias("label"))
+    else:
+        named = labelled.select(F.col("url").cast("string").alias("u"), F.col("blocked").cast("double").alias("label")).where("u is not null and label is not null")
+    named = named.groupBy("u").agg(F.max("label").alias("label"))
+    host, path = split_url(F.col("u"))
+    named = materialize(named.withColumns({"host": host, "path": path, "h": F.xxhash64("u")}), "labelled")
+    whole = named.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
+    plain = F.coalesce("fit.verdict", F.lit("allow"))
     if not whole.n or not 0 < whole.bad < whole.n:
-        return rows.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+        return rows.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), plain.alias("verdict"), F.lit(None).cast("double").alias("score"))
     share = whole.bad / whole.n
-    least = named.select("u", "label").distinct().select(F.xxhash64("u").alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
-    train = named.where(F.xxhash64("u") <= least).dropDuplicates(["u"]).withColumn("weight", F.when(F.col("label") == 1.0, 0.5 / share).otherwise(0.5 / (1 - share)))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, subsamplingRate=1.0, weightCol="weight").fit(_vectors(train, suffixes, share, F.col("label")))
-    scored = model.transform(_vectors(rows, suffixes, share, None))
+    statistics = {name: materialize(named.groupBy(of(F.col("host"), F.col("path")).alias(name)).agg(F.sum("label").alias("bad"), F.count("*").alias("n")), name) for name, of in SUFFIXES.items()}
+    least = named.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
+    train = named.where(F.col("h") <= least).withColumn("weight", F.when(F.col("label") == 1.0, 0.5 / share).otherwise(0.5 / (1 - share)))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, subsamplingRate=1.0, weightCol="weight").fit(_vectors(train, statistics, share))
+    # Urls that a rule decides need no score; if labels come from a table, others may have one, which is left out of their statistics.
+    open_rows = rows.where("fit is null")
+    known = open_rows.withColumn("label", F.lit(None).cast("double")) if labelled is None else salted_join(open_rows, named.select("u", "label"), ["u"], "row", "left")
+    scored = model.transform(_vectors(known, statistics, share))
     from pyspark.ml.functions import vector_to_array
 
-    score = F.when(F.col("fit").isNull(), F.element_at(vector_to_array("probability"), 2))
-    verdict = F.coalesce("fit.verdict", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
-    return scored.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))
-
-
-def _vectors(rows: DataFrame, suffixes: DataFrame, share: float, label: Column | None) -> DataFrame:
-    """`rows` with their features assembled. Training rows leave themselves out of their suffix's statistics."""
-    made = rows.withColumns(lexical(F.col("u"), F.col("host"), F.col("path"))).withColumn("suffix", _suffix(F.col("host")))
-    own, one = (label, F.lit(1)) if label is not None else (F.lit(0.0), F.lit(0))
-    bad, n = F.coalesce("bad", F.lit(0.0)) - own * F.col("n").isNotNull().cast("int"), F.coalesce("n", F.lit(0)) - one * F.col("n").isNotNull().cast("int")
-    joined = made.join(suffixes, "suffix", "left").withColumns({"suffix_block": (bad + share * PRIOR) / (n + PRIOR), "suffix_count": F.log1p(n.cast("double"))})
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(joined.drop("bad", "n"))
+    judged = scored.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("verdict"), F.element_at(vector_to_array("probability"), 2).alias("score"))
+    ruled = rows.where("fit is not null").select("row.*", "host", "path", F.col("fit.rule").alias("rule"), plain.alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return judged.union(ruled)
+
+
+def _vectors(rows: DataFrame, statistics: dict[str, DataFrame], share: float) -> DataFrame:
+    """`rows` with their features assembled. A row with a label leaves itself out of its statistics."""
+    out = rows.withColumns(lexical(F.col("u"), F.col("host"), F.col("path")))
+    own, one = F.coalesce("label", F.lit(0.0)), F.col("label").isNotNull().cast("int")
+    for name, of in SUFFIXES.items():
+        key = of(F.col("host"), F.col("path")).alias(name)
+        out = out.withColumn(name, key)
+        if statistics[name].count() <= MOST_SUFFIXES:
+            out = out.join(F.broadcast(statistics[name]), name, "left")
+        else:  # suffixes are hot keys by nature
+            out = salted_join(out, statistics[name], [name], "u", "left", counts=rows.groupBy(key).agg(F.count("*").alias("rows")))
+        bad, n = F.coalesce("bad", F.lit(0.0)) - own, F.coalesce("n", F.lit(0)) - one
+        out = out.withColumns({f"{name}_block": (bad + share * PRIOR) / (n + PRIOR), f"{name}_count": F.log1p(n.cast("double"))}).drop("bad", "n", name)
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(out)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
