@@ -2,7 +2,12 @@
 
 Quality rules and contaminated documents go, one document of each near-duplicate group stays, personal data is replaced,
 and what remains is encoded. Every stage works on all that the one before it kept; all but the last return the columns of
-documents. Rows of a null doc_id pass the near-duplicate stage, as nothing names them.
+documents, whatever those are named.
+
+Defined results: a null or empty text fails the quality rules; of rows that repeat both doc_id and text one stays, rows
+of one doc_id with different texts are one document and stay or go together; rows of a null doc_id go only if they
+repeat another's text, as nothing names them; null values in other columns and extra columns are carried; an empty table
+gives an empty one. Pseudonyms are keyed by the setting spark.skyweave.pii.key (see pii.key_of).
 """
 
 from __future__ import annotations
@@ -24,11 +29,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"), memory=200_000)
-    gone = common.materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    """The smallest id of each near-duplicate group (five-word shingles, similarity 0.8), and one of repeated rows."""
+    groups = common.materialize(near_dedup.near_duplicates(docs.select("doc_id", "text"), memory=200_000).select("doc_id", "kept"), "groups")
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
     gone = F.broadcast(gone) if gone.count() <= near_dedup.MOST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = common.materialize(groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").union(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +50,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms, and their length."""
-    out = pii.pseudonymize(docs, pii.DEMO_KEY).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    out = pii.pseudonymize(rows, pii.key_of(spark)).select("row", "text")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

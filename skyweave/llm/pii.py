@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date, timedelta
@@ -33,7 +34,8 @@ from pyspark.sql import types as T
 from skyweave.llm.common import append_columns, table
 
 ROUNDS = 8
-DEMO_KEY = b"replace-with-a-secret-key"
+#: The session setting that holds the key, and the key of sessions without one: public, so those pseudonyms hide nothing from who knows it.
+KEY_SETTING, DEMO_KEY = "spark.skyweave.pii.key", b"replace-with-a-secret-key"
 _DAY0, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
@@ -336,7 +338,15 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
     return append_columns(docs, [text], [T.StructField(text, T.StringType()), *FIELDS], make).select(*order, *[f.name for f in FIELDS])
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The session's secret key; without one, DEMO_KEY and a warning."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are keyed by a public key", stacklevel=2)
+    return DEMO_KEY
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return out.select("doc_id", "text", "n_found", F.concat_ws(",", "kinds").alias("kinds"))
