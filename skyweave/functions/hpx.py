@@ -72,7 +72,7 @@ def face_xy(order: int, ipix: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(_long(ipix), 2 * order), gather(inner, odd=False), gather(inner, odd=True)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often `use` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -84,7 +84,7 @@ def _placed(order: int, ipix: Column) -> Column:
 
 def pix2ang(order: int, ipix: Column) -> Column:
     """Centre of a cell: a struct of ra and dec in degrees."""
-    return _once(_placed(order, ipix), lambda s: _centre(2**order, s["face"], s["x"], s["y"]))
+    return once(_placed(order, ipix), lambda s: _centre(2**order, s["face"], s["x"], s["y"]))
 
 
 def _centre(n: int, face: Column, x: Column, y: Column) -> Column:
@@ -99,9 +99,27 @@ def _centre(n: int, face: Column, x: Column, y: Column) -> Column:
     return F.struct(F.when(phi < 0, phi + 360).when(phi >= 360, phi - 360).otherwise(phi).alias("ra"), F.degrees(F.asin(z)).alias("dec"))
 
 
+def boundaries(order: int, ipix: Column) -> Column:
+    """The four corners of a cell, north, west, south and east, as an array of structs of unit vectors x, y and z."""
+    return once(_placed(order, ipix), lambda s: F.array(*[_corner(2**order, s["face"], s["x"] + dx, s["y"] + dy) for dx, dy in ((1, 1), (0, 1), (0, 0), (1, 0))]))
+
+
+def _corner(n: int, face: Column, x: Column, y: Column) -> Column:
+    """The direction of a lattice point of a base face."""
+    row, col = F.floor(face / 4), face % 4
+    ring = (row + 2) * n - x - y  # 0 at the north pole, 4N at the south pole
+    north, south = ring < n, ring > 3 * n
+    cap = F.when(north, ring).when(south, 4 * n - ring).otherwise(n)
+    z = F.when(north, 1 - cap * cap / F.lit(3.0 * n * n)).when(south, cap * cap / F.lit(3.0 * n * n) - 1).otherwise((2 * n - ring) * F.lit(2.0 / (3.0 * n)))
+    turn = 2 * col + F.when(row == 1, 0).otherwise(1)
+    phi = F.when(cap == 0, F.lit(0.0)).otherwise((turn * cap + x - y) / cap * F.lit(math.pi / 4))
+    radius = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
+    return F.struct((radius * F.cos(phi)).alias("x"), (radius * F.sin(phi)).alias("y"), z.cast("double").alias("z"))
+
+
 def neighbours4(order: int, ipix: Column) -> Column:
     """The cells beyond the four sides, in the order of SIDES."""
-    return _once(_placed(order, ipix), lambda s: _sides(order, s["face"], s["x"], s["y"]))
+    return once(_placed(order, ipix), lambda s: _sides(order, s["face"], s["x"], s["y"]))
 
 
 def _sides(order: int, face: Column, x: Column, y: Column) -> Column:

@@ -52,13 +52,16 @@ def one_of_each(objects: DataFrame, key: str, *same: str) -> DataFrame:
 
 
 def voxels(points: DataFrame, order: int, bins: int = 64, value: str = "distance") -> DataFrame:
-    """(pixel, bin, count, radial_min, radial_max, radial_mean) over the range of all points."""
+    """(pixel, bin, count, radial_min, radial_max, radial_mean) over the range of all points; min and max are the bin's edges."""
     ends = points.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     placed = points.join(F.broadcast(ends), F.lit(True))
+    width = (F.col("__hi") - F.col("__lo")) / bins
     share = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1))).otherwise(0)
     cell = hpx.ang2pix(order, F.col("ra"), F.col("dec"))
-    return placed.groupBy(cell.alias("pixel"), at.cast("int").alias("bin")).agg(F.count("*").alias("count"), F.min(value).alias("radial_min"), F.max(value).alias("radial_max"), F.avg(value).alias("radial_mean"))
+    found = placed.groupBy(cell.alias("pixel"), at.cast("int").alias("bin"), "__lo", width.alias("__width")).agg(F.count("*").alias("count"), F.avg(value).alias("radial_mean"))
+    low = F.col("__lo") + F.col("bin") * F.col("__width")
+    return found.select("pixel", "bin", "count", low.alias("radial_min"), (low + F.col("__width")).alias("radial_max"), "radial_mean")
 
 
 def extents(points: DataFrame, order: int, value: str = "distance") -> DataFrame:
@@ -72,8 +75,32 @@ def densest(points: DataFrame, order: int = 4) -> DataFrame:
 
 
 def adaptive_order(points: DataFrame, selection_order: int, budget: int = VOXELS, bins: int = 64) -> int | None:
-    """The finest of selection order + 4, + 2, + 0 whose voxels fit the budget; None if none does."""
-    for order in (selection_order + 4, selection_order + 2, selection_order):
-        if order <= hpx.MAX_ORDER and voxels(points, order, bins).limit(budget + 1).count() <= budget:
+    """The finest of selection order + 4, + 2, + 0 (none beyond the finest order) whose voxels fit the budget; None if none does."""
+    orders = dict.fromkeys(min(hpx.MAX_ORDER, selection_order + more) for more in (4, 2, 0))
+    for order in orders:
+        if voxels(points, order, bins).limit(budget + 1).count() <= budget:
             return order
     return None
+
+
+#: Points shown one by one, and bars.
+POINTS, BARS = 20_000, 4_000
+
+
+def sky_depth(objects: DataFrame, selection_order: int, cells: DataFrame, budget: int = VOXELS) -> tuple[DataFrame, DataFrame | None]:
+    """(status row, voxels) of the objects in the selected cells.
+
+    The row counts objects, those accepted, and those with a distance, and says how they are shown: empty, points,
+    voxels (with the order chosen) or over-budget, when no order fits and nothing partial is given.
+    """
+    here = objects.withColumn("cell", hpx.ang2pix(selection_order, F.col("ra"), F.col("dec"))).join(cells.select(F.col("ipix").alias("cell")).distinct(), "cell", "left_semi")
+    judged = here.withColumn("reason", reject_reason()).withColumn("distance", F.when(F.col("reason").isNull(), comoving(F.col("z"), distance_nodes())))
+    n = judged.agg(F.count("*").alias("objects"), F.count(F.when(F.col("z").isNotNull(), 1)).alias("with_redshift"), F.count("distance").alias("with_distance")).first()
+    points = judged.where("distance is not null")
+    order, found = None, None
+    if n.with_distance > POINTS:
+        order = adaptive_order(points, selection_order, budget)
+        found = voxels(points, order) if order is not None else None
+    status = "empty" if not n.with_distance else "points" if n.with_distance <= POINTS else "voxels" if order is not None else "over-budget"
+    row = objects.sparkSession.createDataFrame([(n.objects, n.with_redshift, n.with_distance, status, order)], "objects long, with_redshift long, with_distance long, status string, order int")
+    return row, found

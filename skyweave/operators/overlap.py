@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
+from skyweave.operators import ranges
+from skyweave.operators.evidence import PRECISION
 from skyweave.plans.scratch import materialize
 
 #: Fixed value: cells of one overlap answer.
@@ -70,13 +73,125 @@ def finest_overlap(by_order: dict[int, DataFrame], surveys: list[str]) -> tuple[
     return None, None
 
 
-def bounds(cells: DataFrame, order: int) -> DataFrame:
-    """RA range by the largest gap (ra_min > ra_max means it wraps), DEC range and area of cell centres."""
-    at = cells.select(hpx.pix2ang(order, F.col("ipix")).alias("c")).select("c.ra", "c.dec")
-    # Distinct right ascensions are few (4N - 1 rings of 4N at most), so the gap's window is small however many cells.
-    ras = at.select("ra").distinct().selectExpr("ra", "lead(ra) over (order by ra) as nxt", "min(ra) over () as first")
-    gap = ras.select("ra", F.coalesce("nxt", "first").alias("nxt"), F.coalesce(F.col("nxt") - F.col("ra"), F.col("first") + 360 - F.col("ra")).alias("gap"))
-    widest = gap.agg(F.max_by(F.struct(F.col("nxt").alias("ra_min"), F.col("ra").alias("ra_max")), F.struct("gap", "ra")).alias("g")).select("g.*")
-    rest = at.agg(F.min("dec").alias("dec_min"), F.max("dec").alias("dec_max"), F.count("*").alias("cells")).withColumn("area_deg2", F.col("cells") * hpx.cell_area(order))
-    return widest.withColumn("one", F.lit(1)).join(rest.withColumn("one", F.lit(1)), "one").drop("one")
+def bounds(cells: DataFrame, order: int, *keys: str) -> DataFrame:
+    """Each key's area, RA range (by the largest gap between corners; ra_wraps if it passes 360) and DEC range, by the cells' corners."""
+    corners = cells.select(*keys, F.explode(hpx.boundaries(order, F.col("ipix"))).alias("c"))
+    ra = F.degrees(F.atan2("c.y", "c.x"))
+    at = corners.select(*keys, F.pmod(ra + 360, F.lit(360.0)).alias("ra"), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c.z"))))).alias("dec"))
+    own = keys or ("__all",)
+    at = at if keys else at.withColumn("__all", F.lit(0))
+    by = W.partitionBy(*own).orderBy("ra")
+    # Distinct corners of a key: four times the cells at most, which the overlap budget bounds.
+    ras = at.select(*own, "ra").distinct().select(*own, "ra", F.lead("ra").over(by).alias("nxt"), F.min("ra").over(W.partitionBy(*own)).alias("first"))
+    gap = ras.select(*own, "ra", F.coalesce("nxt", "first").alias("nxt"), (F.coalesce("nxt", F.col("first") + 360) - F.col("ra")).alias("gap"))
+    widest = gap.groupBy(*own).agg(F.max_by(F.struct(F.col("nxt").alias("ra_min"), F.col("ra").alias("ra_max")), F.struct("gap", (-F.col("ra")).alias("first"))).alias("g"))
+    rest = at.groupBy(*own).agg(F.min("dec").alias("dec_min"), F.max("dec").alias("dec_max"), (F.count("*") / 4).cast("long").alias("cells"))
+    out = widest.join(rest, list(own)).select(*keys, "g.ra_min", "g.ra_max", (F.col("g.ra_min") > F.col("g.ra_max")).alias("ra_wraps"), "dec_min", "dec_max", "cells")
+    return out.withColumn("area_deg2", F.col("cells") * hpx.cell_area(order))
+
+
+def cones(cells: DataFrame, order: int, *keys: str, slack: float = 0.01) -> DataFrame:
+    """Each key's enclosing cone: the middle of its bounds, and the farthest corner and a little more."""
+    span = F.when(F.col("ra_wraps"), 360 - F.col("ra_min") + F.col("ra_max")).otherwise(F.col("ra_max") - F.col("ra_min"))
+    middle = bounds(cells, order, *keys).select(*keys, F.pmod(F.col("ra_min") + span / 2, F.lit(360.0)).alias("ra"), ((F.col("dec_min") + F.col("dec_max")) / 2).alias("dec"))
+    corners = cells.select(*keys, F.explode(hpx.boundaries(order, F.col("ipix"))).alias("c"))
+    both = corners.join(middle, list(keys)) if keys else corners.join(F.broadcast(middle), F.lit(True))
+    a, d = F.radians("ra"), F.radians("dec")
+    dot = F.cos(d) * F.cos(a) * F.col("c.x") + F.cos(d) * F.sin(a) * F.col("c.y") + F.sin(d) * F.col("c.z")
+    far = F.max(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))))
+    return both.groupBy(*keys, "ra", "dec").agg((far + slack).alias("radius_deg"))
+
+
+def mean_cone(cells: DataFrame, order: int, slack: float = 0.1, most: float = 10.0) -> DataFrame:
+    """The cone about the cells' mean direction that holds all corners and `slack` degrees more; beyond `most` degrees an error."""
+    from skyweave.operators.region import cone
+
+    centres = cells.select(hpx.pix2ang(order, F.col("ipix")).alias("c")).select("c.ra", "c.dec")
+    middle = cone(centres).select("ra", "dec")
+    corners = cells.select(F.explode(hpx.boundaries(order, F.col("ipix"))).alias("c"))
+    a, d = F.radians("ra"), F.radians("dec")
+    dot = F.cos(d) * F.cos(a) * F.col("c.x") + F.cos(d) * F.sin(a) * F.col("c.y") + F.sin(d) * F.col("c.z")
+    far = F.max(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))) + slack
+    wide = F.when(far > most, F.raise_error(F.lit(f"the region is wider than {most} degrees"))).otherwise(far)
+    return corners.join(F.broadcast(middle), F.lit(True)).groupBy("ra", "dec").agg(wide.alias("radius_deg"))
+
+
+def overlap(layers: DataFrame, surveys: list[str], most: int | None = None) -> DataFrame:
+    """(order, ipix, component, region) of the finest order that all layers of all surveys publish where they overlap.
+
+    `layers` (survey_id, layer_id, order, ipix). Orders above `most` are not asked for; where the finest has no overlap,
+    coarser published ones are tried in turn, and no finer cell is ever made up.
+    """
+    chosen = layers.where(F.col("survey_id").isin(surveys))
+    chosen = chosen if most is None else chosen.where(F.col("order") <= most)
+    per = chosen.select("survey_id", "layer_id", "order").distinct()
+    in_all = per.groupBy("survey_id", "order").agg(F.count("*").alias("n")).join(layers.where(F.col("survey_id").isin(surveys)).groupBy("survey_id").agg(F.count_distinct("layer_id").alias("layers")), "survey_id").where("n = layers")
+    published = in_all.groupBy("order").agg(F.count("*").alias("s")).where(F.col("s") == len(set(surveys))).select("order")
+    shared = chosen.join(F.broadcast(published), "order", "left_semi").groupBy("order", "ipix").agg(F.count_distinct("survey_id").alias("s")).where(F.col("s") == len(set(surveys)))
+    order = shared.agg(F.max("order").alias("o")).first().o
+    if order is None:
+        return shared.select("order", "ipix", F.lit(None).cast("long").alias("component"), F.lit(None).cast("string").alias("region")).where(F.lit(False))
+    found = regions(shared.where(F.col("order") == order).select("ipix"), order)
+    return found.select(F.lit(order).cast("int").alias("order"), "ipix", "component", "region")
+
+
+def limiting_layers(layers: DataFrame, surveys: list[str], order: int) -> DataFrame:
+    """Layers that don't publish `order`, with the orders they do."""
+    per = layers.where(F.col("survey_id").isin(surveys)).groupBy("layer_id").agg(F.collect_set("order").alias("orders"))
+    return per.where(~F.array_contains("orders", order)).select("layer_id", F.array_join(F.array_sort("orders"), ",").alias("orders"))
+
+
+class OverBudget(ValueError):
+    """An answer of too many cells; `action` says what to do: zoom-or-reduce or reduce-selection."""
+
+    def __init__(self, cells: int, limit: int, action: str):
+        super().__init__(f"{cells} cells exceed the budget of {limit}: {action}")
+        self.action = action
+
 
+def strict_overlap(coverage: DataFrame, surveys: list[str], order: int, tiles: list[int] | None = None, budget: int = BUDGET) -> DataFrame:
+    """(ipix, component, region) of the overlap at exactly `order`, of the regions that a view touches.
+
+    `coverage` (survey_id, order, ipix) is native coverage. A view is at most 192 tiles, six orders coarser. The cells in
+    view must fit the budget (else zoom or reduce), and so must the whole regions they belong to (else reduce).
+    """
+    shared = ranges.intersect_all(ranges.to_ranges(coverage.where(F.col("survey_id").isin(surveys)), order).select("survey_id", "lo", "hi"), "survey_id", len(set(surveys)))
+    shared = materialize(shared, "shared")
+    view = shared
+    if tiles is not None:
+        coarse = max(0, order - 6)
+        if len(tiles) > 192 or any(not 0 <= t < hpx.cells(coarse) for t in tiles):
+            raise ValueError(f"a view is at most 192 tiles of order {coarse}")
+        scale = 4 ** (order - coarse)
+        wanted = shared.sparkSession.createDataFrame([(t * scale, (t + 1) * scale) for t in sorted(set(tiles))], "lo long, hi long")
+        view = ranges.intersect(shared, wanted)
+    size = lambda df: df.agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).first().n or 0
+    if (n := size(view)) > budget:
+        raise OverBudget(n, budget, "zoom-or-reduce-selection")
+    if tiles is None:
+        return regions(ranges.expand(view), order, budget)
+    # Regions grow beyond the view, ring by ring, over ranges: no more than the budget's cells are ever held.
+    held = materialize(ranges.expand(view), "held")
+    while True:
+        beside = held.select(F.explode(hpx.neighbours4(order, F.col("ipix"))).alias("ipix")).distinct().join(held, "ipix", "left_anti")
+        grown = materialize(held.union(ranges.contained(beside, shared)), "held")
+        n, m = grown.count(), held.count()
+        if n > budget:
+            raise OverBudget(n, budget, "reduce-selection")
+        if n == m:
+            return regions(held, order, budget)
+        held = grown
+
+
+def details(found: DataFrame, layers: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Of each region: its layers, sources, evidence files and common precision, one row a region and survey.
+
+    `found` (ipix, region), `layers` (survey_id, layer_id, ipix), `sources` (layer_id, url), `evidence` (layer_id, file_id, prec).
+    """
+    touching = layers.join(found.select("ipix", "region"), "ipix").select("region", "survey_id", "layer_id").distinct()
+    known = sources.groupBy("layer_id").agg(F.count_distinct("url").alias("urls"))
+    files = evidence.groupBy("layer_id").agg(F.count_distinct("file_id").alias("files"), F.max(F.coalesce(*[F.when(F.col("prec") == p, F.lit(k)) for p, k in PRECISION.items()])).alias("rank"))
+    both = touching.join(known, "layer_id", "left").join(files, "layer_id", "left")
+    names = F.array(*[F.lit(p) for p in PRECISION])
+    rank = F.max(F.coalesce("rank", F.lit(PRECISION["entrypoint-only"])))
+    return both.groupBy("region", "survey_id").agg(F.array_join(F.array_sort(F.collect_set("layer_id")), ",").alias("layers"), F.coalesce(F.sum("urls"), F.lit(0)).alias("urls"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.element_at(names, (rank + 1).cast("int")).alias("prec"))

@@ -1,7 +1,8 @@
 """Coverage as half-open cell ranges [lo, hi) and as mixed-order cells, all in joins, windows and expressions.
 
-Ranges are never expanded until an operator has to return cells. Keys partition every window, so one survey's or layer's
-ranges are sorted together and different ones in parallel.
+Ranges are never expanded until an operator has to return cells. They are merged inside blocks of BLOCK cells, so that a
+window never holds more rows than a block has cells, however many ranges one survey has; then pieces that touch a
+block's edge are stitched, two a block at most.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
 
+#: Cells of a block: rows of a window at most, and pieces that the whole sky at the finest order falls into, 49,152.
+BLOCK = 4**7
+
 
 def to_ranges(cells: DataFrame, order: int = hpx.MAX_ORDER, cell_order: str | int = "order", ipix: str = "ipix") -> DataFrame:
     """`cells` with lo and hi at `order`; coarser cells widen, finer cells floor to the cell that holds them."""
@@ -22,28 +26,33 @@ def to_ranges(cells: DataFrame, order: int = hpx.MAX_ORDER, cell_order: str | in
     return cells.withColumns({"lo": lo, "hi": hi})
 
 
-def union(ranges: DataFrame, *keys: str) -> DataFrame:
-    """Sorted disjoint ranges of each key: overlapping and touching ones merge."""
-    by = W.partitionBy(*keys).orderBy("lo", "hi")
+def union(ranges: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
+    """Disjoint ranges of each key: overlapping and touching ones merge."""
+    cut = _cut(ranges.select(*keys, "lo", "hi"), block).groupBy(*keys, "block", "lo").agg(F.max("hi").alias("hi"))
+    merged = _merge(cut, *keys, "block").drop("block")
+    edge = (F.col("lo") % block == 0) | (F.col("hi") % block == 0)
+    return merged.where(~edge).unionByName(_merge(merged.where(edge), *keys))
+
+
+def _merge(ranges: DataFrame, *keys: str) -> DataFrame:
+    """Merged ranges of each key, by one sort of its rows."""
+    by = W.partitionBy(*(keys or [F.lit(0)])).orderBy("lo", "hi")
     before = F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1))
     marked = ranges.withColumn("__new", F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0))
     grouped = marked.withColumn("__run", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     return grouped.groupBy(*keys, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run")
 
 
-def intersect_all(ranges: DataFrame, key: str, n: int) -> DataFrame:
-    """Ranges that all `n` keys cover, by a boundary sweep over each key's own disjoint ranges: one sort, no theta join.
-
-    The sweep's first stage sums boundaries by place, so it reads at most two rows a place however many keys there are.
-    """
-    single = union(ranges.select(key, "lo", "hi"), key)
-    steps = single.select(F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("d")))).alias("s")).groupBy("s.at").agg(F.sum("s.d").alias("d"))
-    by = W.orderBy("at")
+def intersect_all(ranges: DataFrame, key: str, n: int, block: int = BLOCK) -> DataFrame:
+    """Ranges that all `n` keys cover, by a boundary sweep over each key's own disjoint ranges in every block: no theta join."""
+    single = _cut(union(ranges.select(key, "lo", "hi"), key, block=block), block)
+    steps = single.select("block", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("d")))).alias("s")).groupBy("block", "s.at").agg(F.sum("s.d").alias("d"))
+    by = W.partitionBy("block").orderBy("at")
     depth = steps.select(F.col("at").alias("lo"), F.lead("at").over(by).alias("hi"), F.sum("d").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("depth"))
-    return union(depth.where(F.col("depth") == n).select("lo", "hi"))
+    return union(depth.where(F.col("depth") == n).select("lo", "hi"), block=block)
 
 
-def intersect(left: DataFrame, right: DataFrame, block: int = 4**4) -> DataFrame:
+def intersect(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """Ranges common to two tables of disjoint ranges. Both are cut at multiples of `block`, which makes the join equi."""
     a, b = (_cut(x, block) for x in (left, right))
     b = b.select("block", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -57,7 +66,7 @@ def _cut(ranges: DataFrame, block: int) -> DataFrame:
     return cut.withColumns({"lo": F.greatest("lo", F.col("block") * block), "hi": F.least("hi", (F.col("block") + 1) * block)})
 
 
-def contained(points: DataFrame, ranges: DataFrame, ipix: str = "ipix", block: int = 4**4) -> DataFrame:
+def contained(points: DataFrame, ranges: DataFrame, ipix: str = "ipix", block: int = BLOCK) -> DataFrame:
     """The rows whose cell lies in a range."""
     cut = _cut(ranges.select("lo", "hi"), block)
     placed = points.withColumn("block", F.floor(F.col(ipix) / block))
@@ -89,21 +98,30 @@ def project(cells: DataFrame, order: int, *keys: str) -> DataFrame:
 def canonical(cells: DataFrame, *keys: str, coarsest: int = 4, finest: int = 12) -> DataFrame:
     """Cells less those inside another, with complete quartets merged upwards, never coarser than `coarsest`.
 
-    A merged range decomposes uniquely, so cells become ranges at the finest order, merge, and split into the largest
-    aligned cells: one sort, whatever the number of orders.
+    Cells become merged ranges at the finest order, and a merged range splits into its largest aligned cells by
+    arithmetic: of each order, those before the first and those behind the last cell of the order above.
     """
     merged = union(to_ranges(cells, finest).select(*keys, "lo", "hi"), *keys)
-    pieces = merged
-    out = None
+    runs = []
     for order in range(coarsest, finest + 1):
         size = 4 ** (finest - order)
         first, last = F.ceil(F.col("lo") / size), F.floor(F.col("hi") / size)
-        taken = pieces.where(first < last).select(*keys, F.lit(order).alias("order"), F.explode(F.sequence(first, last - 1)).alias("ipix"))
-        out = taken if out is None else out.unionByName(taken)
-        whole = first < last
-        rest = F.when(whole, F.array(F.struct(F.col("lo").alias("lo"), (first * size).alias("hi")), F.struct((last * size).alias("lo"), F.col("hi").alias("hi")))).otherwise(F.array(F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"))))
-        pieces = pieces.select(*keys, F.explode(rest).alias("r")).select(*keys, "r.lo", "r.hi").where("lo < hi")
-    return out.withColumn("order", F.col("order").cast("int"))
+        run = lambda a, b, o=order: F.struct(F.lit(o).alias("order"), a.alias("a"), b.alias("b"))
+        if order == coarsest:
+            runs.append(run(first, last))
+            continue
+        up, down = F.ceil(F.col("lo") / (4 * size)) * 4, F.floor(F.col("hi") / (4 * size)) * 4
+        inner = up <= down
+        runs += [run(first, F.when(inner, up).otherwise(last)), run(F.when(inner, down).otherwise(last), last)]
+    parts = merged.select(*keys, F.explode(F.filter(F.array(*runs), lambda r: r["a"] < r["b"])).alias("r"))
+    return parts.select(*keys, F.col("r.order").cast("int").alias("order"), F.explode(F.sequence(F.col("r.a"), F.col("r.b") - 1)).alias("ipix"))
+
+
+def capped(cells: DataFrame, most: int, *keys: str, coarsest: int = 4) -> DataFrame:
+    """Canonical cells none finer than `most`: finer ones are taken by the cell that holds them."""
+    finer = F.col("order") > most
+    up = F.when(finer, F.floor(F.col("ipix") / F.pow(F.lit(4.0), F.col("order") - most))).otherwise(F.col("ipix")).cast("long")
+    return canonical(cells.select(*keys, F.least("order", F.lit(most)).alias("order"), up.alias("ipix")), *keys, coarsest=min(coarsest, most), finest=most)
 
 
 def identity(cells: DataFrame, *keys: str) -> DataFrame:
@@ -113,6 +131,14 @@ def identity(cells: DataFrame, *keys: str) -> DataFrame:
     return merged.groupBy(*keys).agg(F.sha2(text, 256).alias("revision"), F.sum(F.col("hi") - F.col("lo")).alias("cells"))
 
 
+def tree_identity(cells: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
+    """As identity(), in parallel: the digest of the digests of blocks, so no row holds more than a block's ranges."""
+    merged = _cut(union(to_ranges(cells).select(*keys, "lo", "hi"), *keys), block)
+    listed = lambda rows, text: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), text), ",")
+    blocks = merged.groupBy(*keys, "block").agg(F.sha2(listed(F.struct("lo", "hi"), lambda r: F.format_string("%d-%d", r["lo"], r["hi"])), 256).alias("d"))
+    return blocks.groupBy(*keys).agg(F.sha2(listed(F.struct("block", "d"), lambda r: F.format_string("%d:%s", r["block"], r["d"])), 256).alias("revision"))
+
+
 def is_full_sky(cells: DataFrame, *keys: str) -> DataFrame:
     """Whether each key covers every cell."""
     merged = union(to_ranges(cells).select(*keys, "lo", "hi"), *keys)
@@ -135,3 +161,65 @@ def fold_match(request: DataFrame, layer: DataFrame, levels: int) -> DataFrame:
     """Requested cells that a layer `levels` orders coarser holds, kept in the requested order."""
     held: Column = layer.select(F.col("ipix").alias("held")).distinct()
     return request.join(held, hpx.parent(F.col("ipix"), levels) == F.col("held"), "left_semi")
+
+
+def tile_ranges(ranges: DataFrame, *keys: str, size: int = 4096) -> DataFrame:
+    """Ranges of the tiles that hold ranges of cells, merged."""
+    return union(ranges.select(*keys, F.floor(F.col("lo") / size).alias("lo"), F.ceil(F.col("hi") / size).alias("hi")), *keys)
+
+
+def numbered(rows: DataFrame, key: str, per: int = 4096, name: str = "number") -> DataFrame:
+    """`rows` with their place (from 0) in the order of the integer `key`, without one sort of all.
+
+    Rows are counted in blocks of `per` keys; the blocks' counts alone are summed up in order, and rows are placed inside
+    their block. Equal keys are placed in any order among themselves.
+    """
+    placed = rows.withColumn("__block", F.floor(F.col(key) / per))
+    counts = placed.groupBy("__block").agg(F.count("*").alias("n"))
+    before = counts.select("__block", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("__block")) - F.col("n")).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__block").orderBy(key)) - 1
+    return placed.withColumn("__inside", inside).join(before, "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
+
+
+def project_clipped(cells: DataFrame, order: int, region: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """Cells of each key at `order` inside `region` (ipix at that order), at most `limit` in cell order, and whether more were there."""
+    wanted = union(region.select(F.col("ipix").alias("lo"), (F.col("ipix") + 1).alias("hi")))
+    coarse = union(to_ranges(cells, order).select(*keys, "lo", "hi"), *keys)
+    a, b = _cut(coarse, BLOCK), _cut(wanted, BLOCK).select("block", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = a.join(b, "block").where("lo < hi2 and lo2 < hi").select(*keys, F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi"))
+    before = F.sum(F.col("hi") - F.col("lo")).over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("lo"))
+    counted = both.withColumns({"before": before - (F.col("hi") - F.col("lo")), "total": F.sum(F.col("hi") - F.col("lo")).over(W.partitionBy(*(keys or [F.lit(0)])))})
+    kept = counted.where(F.col("before") < limit).withColumn("hi", F.least("hi", F.col("lo") + limit - F.col("before")))
+    return expand(kept.select(*keys, "lo", "hi", (F.col("total") > limit).alias("truncated")))
+
+
+def public_order_gate(cells: DataFrame, *keys: str, least: int = 4) -> DataFrame:
+    """Whether each key's own precision allows publication: cells of `least` or finer, or the whole sky."""
+    finest = cells.groupBy(*keys).agg(F.max("order").alias("max_order"))
+    return finest.join(is_full_sky(cells, *keys), list(keys)).withColumn("public", F.col("full_sky") | (F.col("max_order") >= least))
+
+
+def same_cells(claimed: DataFrame, actual: DataFrame, *keys: str) -> DataFrame:
+    """(keys, missing, extra): how a claimed projection differs from the actual one; no row where they agree."""
+    cols = [*keys, "order", "ipix"]
+    extra = claimed.select(*cols).exceptAll(actual.select(*cols)).select(*keys, F.lit(0).alias("m"), F.lit(1).alias("e"))
+    missing = actual.select(*cols).exceptAll(claimed.select(*cols)).select(*keys, F.lit(1).alias("m"), F.lit(0).alias("e"))
+    return extra.union(missing).groupBy(*keys).agg(F.sum("m").alias("missing"), F.sum("e").alias("extra"))
+
+
+def sidecars(layers: DataFrame, at: tuple[int, ...]) -> DataFrame:
+    """(part, name, order, cells) of a package: each layer's cells at some orders, the union of each survey's layers, and
+    the layers omitted because their native cells are coarser. `layers` (survey_id, layer_id, order, ipix)."""
+    finest = layers.groupBy("survey_id", "layer_id").agg(F.max("order").alias("finest"))
+    out = None
+    for order in at:
+        able = layers.join(finest.where(F.col("finest") >= order), ["survey_id", "layer_id"]).where("order = finest")
+        cells = project(able, order, "survey_id", "layer_id")
+        parts = [
+            cells.groupBy("layer_id").agg(F.count("*").alias("cells")).select(F.lit("layer").alias("part"), F.col("layer_id").alias("name"), F.lit(order).alias("order"), "cells"),
+            cells.groupBy("survey_id").agg(F.count_distinct("ipix").alias("cells")).select(F.lit("survey"), "survey_id", F.lit(order), "cells"),
+            finest.where(F.col("finest") < order).select(F.lit("omitted"), "layer_id", F.lit(order), F.lit(0).cast("long")),
+        ]
+        for p in parts:
+            out = p if out is None else out.union(p)
+    return out

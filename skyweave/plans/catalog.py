@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
-from skyweave.operators import depth, overlap, ranges, region
-from skyweave.plans import relational, views
-from skyweave.plans.registry import ORACLES, QUERIES
+from skyweave.operators import depth, geometry, overlap, ranges, region
+from skyweave.plans import lookups, sources, views  # noqa: F401  (both register queries)
+from skyweave.plans.registry import query
 
 LAYERS = "(SELECT o_orderpriority AS survey_id, o_orderpriority || '/' || c_mktsegment AS layer_id, (o_orderkey * 2654435761) % 3072 AS ipix FROM orders JOIN customer ON o_custkey = c_custkey)"
 RANGES = "(SELECT survey_id, lo, least(lo + 1 + k % 50, 786432) AS hi FROM (SELECT o_orderpriority AS survey_id, (o_orderkey * 2654435761) % 786432 AS lo, o_custkey AS k FROM orders))"
@@ -44,25 +44,43 @@ def _pixel(order: int, ra: str = "ra", dec: str = "dec") -> str:
 GOOD = "(SELECT *, CASE WHEN object_id = '' THEN 'missingIdentity' WHEN ra IS NULL OR dec IS NULL OR ra < 0 OR ra >= 360 OR abs(dec) > 90 THEN 'invalidCoordinate' WHEN z IS NULL THEN 'missingRedshift' WHEN z <= 0.001e0 THEN 'lowOrNegativeRedshift' WHEN z > 2 THEN 'outsideModelRange' WHEN zwarn <> 0 OR spectype <> 'GALAXY' THEN 'qualityOrClass' WHEN frame <> 'heliocentric' THEN 'unknownRedshiftFrame' END AS reason FROM " + OBJECTS + ")"
 
 
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
-
-
 def overlap_at(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     """Cells that all surveys cover at an order, with their area."""
     found = overlap.shared_cells(views.layer_cells(spark, sf_dir, order))
     return found.select("ipix", F.round(hpx.cell_area(order), 6).alias("area_deg2"))
 
 
-@query("q_overlap", f"SELECT ipix, round(41252.96124941927e0 / 3072, 6) AS area_deg2 FROM {LAYERS} GROUP BY ipix HAVING count(DISTINCT survey_id) = (SELECT count(DISTINCT survey_id) FROM {LAYERS})")
+SURVEYS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PUBLISHED = f"""(SELECT survey_id, layer_id, ord, CAST(floor(c / pow(4, 6 - ord)) AS BIGINT) AS ipix FROM (SELECT o_orderpriority AS survey_id, o_orderpriority || '/' || c_mktsegment AS layer_id, (o_orderkey * 2654435761) % 49152 AS c, c_mktsegment AS m FROM orders JOIN customer ON o_custkey = c_custkey),
+  (SELECT unnest([2, 4, 6]) AS ord) WHERE ord < 6 OR m <> 'MACHINERY')"""
+SHARED = f"(SELECT ord, ipix FROM {PUBLISHED} GROUP BY ord, ipix HAVING count(DISTINCT survey_id) = 5)"
+BEST = f"(SELECT ord, ipix FROM {SHARED} WHERE ord IN (SELECT ord FROM {PUBLISHED} GROUP BY ord HAVING count(DISTINCT layer_id) = (SELECT count(DISTINCT layer_id) FROM {PUBLISHED})) AND ord = (SELECT max(ord) FROM {SHARED} WHERE ord < 6))"
+
+
+@query("q_overlap", f'SELECT ord AS "order", ipix, round(41252.96124941927e0 / (12 * pow(4, ord)), 6) AS area_deg2 FROM {BEST}')
 def q_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_at(spark, sf_dir, 4)
+    """The finest order that all layers publish and where all surveys overlap."""
+    return overlap.overlap(views.published(spark, sf_dir), SURVEYS).select("order", "ipix", F.round(hpx.cell_area(F.col("order")), 6).alias("area_deg2"))
+
+
+@query("q_limiting_layers", f"SELECT layer_id, '2,4' AS orders FROM {PUBLISHED} GROUP BY layer_id HAVING max(ord) < 6")
+def q_limiting_layers(spark, sf_dir):
+    return overlap.limiting_layers(views.published(spark, sf_dir), SURVEYS, 6)
+
+
+STRICT = f"(SELECT c FROM (SELECT DISTINCT survey_id, CAST(floor(ipix / pow(4, greatest(ord - 5, 0))) AS BIGINT) * CAST(pow(4, greatest(5 - ord, 0)) AS BIGINT) + k AS c FROM {MIXED}, (SELECT unnest(range(4)) AS k) WHERE ord = 4 OR k = 0) WHERE survey_id IN ('1-URGENT', '5-LOW') GROUP BY c HAVING count(*) = 2)"
+
+
+@query("q_overlap_strict", f"SELECT c AS ipix FROM {STRICT}")
+def q_overlap_strict(spark, sf_dir):
+    """Native coverage of two surveys at exactly one order, the whole sky in view."""
+    return overlap.strict_overlap(views.mixed_cells(spark, sf_dir), ["1-URGENT", "5-LOW"], 5).select("ipix")
+
+
+@query("q_overlap_view")
+def q_overlap_view(spark, sf_dir):
+    """The regions at order 7 that a view of four tiles touches, whole."""
+    return overlap.strict_overlap(views.mixed_cells(spark, sf_dir), ["1-URGENT", "5-LOW"], 7, tiles=[3, 4, 17, 40])
 
 
 @query("agg_cells_union", f"SELECT DISTINCT survey_id, ipix FROM {LAYERS}")
@@ -73,31 +91,61 @@ def agg_cells_union(spark, sf_dir):
 PAIR = f"(SELECT ipix FROM {LAYERS} WHERE survey_id IN ('1-URGENT', '2-HIGH') GROUP BY ipix HAVING count(DISTINCT survey_id) = 2)"
 
 
-@query("q_component_layers", f"SELECT DISTINCT survey_id, layer_id FROM {LAYERS} WHERE ipix IN (SELECT ipix FROM {PAIR} WHERE ipix < 64)")
+def _pair(spark, sf_dir):
+    return overlap.shared_cells(views.layer_cells(spark, sf_dir), ["1-URGENT", "2-HIGH"])
+
+
+@query("q_component_layers", f"SELECT DISTINCT survey_id, layer_id FROM {LAYERS} WHERE ipix IN (SELECT ipix FROM {PAIR})")
 def q_component_layers(spark, sf_dir):
+    return overlap.layers_of(views.layer_cells(spark, sf_dir), _pair(spark, sf_dir))
+
+
+@query(
+    "q_overlap_details",
+    f"""SELECT 'all' AS region, l.survey_id, string_agg(layer_id, ',' ORDER BY layer_id) AS layers, CAST(sum(urls) AS BIGINT) AS urls, CAST(sum(files) AS BIGINT) AS files, CASE max(rank) WHEN 0 THEN 'exact' WHEN 1 THEN 'estimated' WHEN 2 THEN 'entrypoint-only' ELSE 'truncated' END AS prec FROM (
+    SELECT survey_id, layer_id, (SELECT count(DISTINCT n_name) FROM nation WHERE n_nationkey % 5 = length(layer_id) % 5) AS urls, CASE WHEN length(layer_id) % 2 = 0 THEN (SELECT count(*) FROM region) ELSE 0 END AS files, CASE WHEN length(layer_id) % 2 = 0 THEN 1 ELSE 2 END AS rank
+    FROM (SELECT DISTINCT survey_id, layer_id FROM {LAYERS} WHERE ipix IN (SELECT ipix FROM {PAIR}))) l GROUP BY survey_id""",
+)
+def q_overlap_details(spark, sf_dir):
     cells = views.layer_cells(spark, sf_dir)
-    return overlap.layers_of(cells, overlap.shared_cells(cells, ["1-URGENT", "2-HIGH"]).where("ipix < 64"))
+    known = cells.select("layer_id").distinct()
+    nation, files = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region")
+    sources = known.join(nation, F.col("n_nationkey") % 5 == F.length("layer_id") % 5).select("layer_id", F.col("n_name").alias("url"))
+    scans = known.where("length(layer_id) % 2 = 0").withColumn("file_id", F.explode(F.sequence(F.lit(1), F.lit(files.count())))).withColumn("prec", F.when(F.col("file_id") == 1, "estimated").otherwise("exact"))
+    return overlap.details(_pair(spark, sf_dir).withColumn("region", F.lit("all")), cells, sources, scans)
 
 
-@query("agg_highest_common_order", f"SELECT max(ord) AS \"order\" FROM (SELECT ord, count(DISTINCT survey_id) AS s FROM (SELECT survey_id, ord, count(DISTINCT ipix) AS n FROM {MIXED} GROUP BY 1, 2) GROUP BY ord) WHERE s = 5")
+@query("agg_highest_common_order", f"SELECT max(ord) AS \"order\" FROM (SELECT ord FROM {PUBLISHED} GROUP BY ord HAVING count(DISTINCT layer_id) = (SELECT count(DISTINCT layer_id) FROM {PUBLISHED}))")
 def agg_highest_common_order(spark, sf_dir):
-    return overlap.common_order(views.mixed_cells(spark, sf_dir).select("survey_id", F.col("survey_id").alias("layer_id"), "order"), 5)
+    return overlap.common_order(views.published(spark, sf_dir).select("survey_id", "layer_id", "order").distinct(), 5)
 
 
 @query("agg_components")
 def agg_components(spark, sf_dir):
-    return overlap.regions(overlap.shared_cells(views.layer_cells(spark, sf_dir), ["1-URGENT", "2-HIGH"]), 4)
+    return overlap.regions(_pair(spark, sf_dir), 4)
 
 
 @query("agg_bounds")
 def agg_bounds(spark, sf_dir):
-    return overlap.bounds(overlap.shared_cells(views.layer_cells(spark, sf_dir), ["1-URGENT", "2-HIGH"]).where("ipix < 256"), 4)
+    """Bounds of every region."""
+    return overlap.bounds(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
+
+
+@query("agg_cone")
+def agg_cone(spark, sf_dir):
+    """The cone of every region."""
+    return overlap.cones(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
+
+
+@query("hpx_boundaries")
+def hpx_boundaries(spark, sf_dir):
+    return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", F.posexplode(hpx.boundaries(4, F.col("ipix"))).alias("corner", "c")).select("ipix", "corner", "c.x", "c.y", "c.z")
 
 
-@query("hpx_ang2pix", f"SELECT source_row, {_pixel(4)} AS o4, {_pixel(8)} AS o8 FROM {OBJECTS} o WHERE ra < 360")
+@query("hpx_ang2pix", f"SELECT source_row, CASE WHEN ra < 360 THEN {_pixel(4)} END AS o4, CASE WHEN ra < 360 THEN {_pixel(8)} END AS o8 FROM {OBJECTS} o")
 def hpx_ang2pix(spark, sf_dir):
     ra, dec = F.col("ra"), F.col("dec")
-    return views.objects(spark, sf_dir).where("ra < 360").select("source_row", hpx.ang2pix(4, ra, dec).alias("o4"), hpx.ang2pix(8, ra, dec).alias("o8"))
+    return views.objects(spark, sf_dir).select("source_row", hpx.ang2pix(4, ra, dec).alias("o4"), hpx.ang2pix(8, ra, dec).alias("o8"))
 
 
 @query("hpx_pix2ang")
@@ -203,6 +251,85 @@ def moc_identity(spark, sf_dir):
     return ranges.identity(views.mixed_cells(spark, sf_dir), "survey_id")
 
 
+@query("moc_tree_identity")
+def moc_tree_identity(spark, sf_dir):
+    return ranges.tree_identity(views.mixed_cells(spark, sf_dir), "survey_id")
+
+
+@query("moc_cap", f"SELECT survey_id, count(*) AS covered FROM (SELECT DISTINCT survey_id, CAST(floor(ipix / pow(4, greatest(ord - 5, 0))) AS BIGINT) * CAST(pow(4, greatest(5 - ord, 0)) AS BIGINT) + k AS c FROM {MIXED}, (SELECT unnest(range(4)) AS k) WHERE ord = 4 OR k = 0) GROUP BY survey_id")
+def moc_cap(spark, sf_dir):
+    """Cells capped at order 5, by the order-5 cells that they cover."""
+    cells = ranges.capped(views.mixed_cells(spark, sf_dir), 5, "survey_id")
+    return cells.groupBy("survey_id").agg(F.sum(F.when(F.col("order") == 4, 4).otherwise(1)).alias("covered"))
+
+
+@query("moc_order_gate", f"SELECT survey_id, CAST(max(ord) AS INTEGER) AS max_order, false AS full_sky, max(ord) >= 5 AS public FROM {MIXED} WHERE ord < 5 OR survey_id > '2' GROUP BY survey_id")
+def moc_order_gate(spark, sf_dir):
+    return ranges.public_order_gate(views.mixed_cells(spark, sf_dir).where("order < 5 or survey_id > '2'"), "survey_id", least=5)
+
+
+@query("moc_project_clip", f"SELECT survey_id, ipix, (SELECT count(*) FROM {{P}} x WHERE x.survey_id = p.survey_id AND x.ipix % 3 = 0 AND x.ipix < 9000) > 500 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY ipix) AS rn FROM {{P}} WHERE ipix % 3 = 0 AND ipix < 9000) p WHERE rn <= 500".replace("{P}", PROJECTED))
+def moc_project_clip(spark, sf_dir):
+    """Coverage at order 6 inside a region, 500 cells at most a survey."""
+    wanted = spark.range(3000).select((F.col("id") * 3).alias("ipix"))
+    return ranges.project_clipped(views.mixed_cells(spark, sf_dir), 6, wanted, 500, "survey_id").select("survey_id", "ipix", "truncated")
+
+
+@query("tile_ranges", f"SELECT DISTINCT survey_id, t FROM (SELECT survey_id, CAST(floor(ipix / 1024) AS BIGINT) AS t FROM {PROJECTED})")
+def tile_ranges(spark, sf_dir):
+    """Tiles of 1,024 cells from ranges, shown one by one."""
+    own = ranges.union(ranges.to_ranges(views.mixed_cells(spark, sf_dir), 6).select("survey_id", "lo", "hi"), "survey_id")
+    return ranges.expand(ranges.tile_ranges(own, "survey_id", size=1024)).select("survey_id", F.col("ipix").alias("t"))
+
+
+@query("q_projection_verify", f"SELECT survey_id, CAST(count(*) FILTER (ipix % 100 = 0) AS BIGINT) AS missing, CAST(count(*) FILTER (ipix % 100 = 1) AS BIGINT) AS extra FROM {PROJECTED} p GROUP BY survey_id HAVING count(*) FILTER (ipix % 100 <= 1) > 0")
+def q_projection_verify(spark, sf_dir):
+    """A claimed projection that lacks a cell in a hundred and doubles another, against the actual one."""
+    actual = ranges.project(views.mixed_cells(spark, sf_dir), 6, "survey_id").withColumn("order", F.lit(6))
+    claimed = actual.where("ipix % 100 <> 0").unionByName(actual.where("ipix % 100 = 1"))
+    return ranges.same_cells(claimed, actual, "survey_id")
+
+
+@query("q_public_projection", f"SELECT survey_id, CAST(4 AS INTEGER) AS \"order\", count(DISTINCT CAST(floor(ipix / 16) AS BIGINT)) AS cells FROM {PROJECTED} GROUP BY survey_id UNION ALL SELECT survey_id, 8, count(*) FROM (SELECT DISTINCT survey_id, unnest(range(CAST(ipix * pow(4, 8 - ord) AS BIGINT), CAST((ipix + 1) * pow(4, 8 - ord) AS BIGINT))) FROM {MIXED}) GROUP BY survey_id")
+def q_public_projection(spark, sf_dir):
+    """The overview and the order-8 cells of every survey."""
+    cells = views.mixed_cells(spark, sf_dir)
+    parts = [ranges.project(cells, o, "survey_id").groupBy("survey_id").agg(F.count("*").alias("cells")).select("survey_id", F.lit(o).alias("order"), "cells") for o in (4, 8)]
+    return parts[0].union(parts[1])
+
+
+@query(
+    "agg_package_sidecar",
+    f"""SELECT 'layer' AS part, layer_id AS name, 4 AS "order", count(DISTINCT ipix) AS cells FROM {PUBLISHED} WHERE ord = 4 GROUP BY layer_id UNION ALL SELECT 'survey', survey_id, 4, count(DISTINCT ipix) FROM {PUBLISHED} WHERE ord = 4 GROUP BY survey_id
+    UNION ALL SELECT 'layer', layer_id, 6, count(DISTINCT ipix) FROM {PUBLISHED} WHERE ord = 6 GROUP BY layer_id UNION ALL SELECT 'survey', survey_id, 6, count(DISTINCT ipix) FROM {PUBLISHED} WHERE ord = 6 GROUP BY survey_id
+    UNION ALL SELECT 'omitted', layer_id, 6, 0 FROM {PUBLISHED} GROUP BY layer_id HAVING max(ord) < 6""",
+)
+def agg_package_sidecar(spark, sf_dir):
+    return ranges.sidecars(views.published(spark, sf_dir), (4, 6))
+
+
+@query(
+    "q_export_consistent",
+    f"""SELECT survey_id, true AS same, 6 AS max_order, count(DISTINCT ipix) FILTER (ord = 6) AS cells FROM {PUBLISHED} GROUP BY survey_id""",
+)
+def q_export_consistent(spark, sf_dir):
+    """Each survey's identity before and after an export, with what was written in between."""
+    from skyweave.plans.scratch import materialize
+
+    cells = views.published(spark, sf_dir).where("order = 6").select("survey_id", "order", "ipix").distinct()
+    before = ranges.tree_identity(cells, "survey_id")
+    written = materialize(ranges.canonical(cells, "survey_id", finest=6), "export")
+    after = ranges.tree_identity(written, "survey_id").withColumnRenamed("revision", "again")
+    held = ranges.project(written, 6, "survey_id").groupBy("survey_id").agg(F.count("*").alias("cells"))
+    finest = cells.groupBy("survey_id").agg(F.max("order").alias("max_order"))
+    return before.join(after, "survey_id").join(held, "survey_id").join(finest, "survey_id").select("survey_id", (F.col("revision") == F.col("again")).alias("same"), "max_order", "cells")
+
+
+@query("q_healpix_list", f"SELECT c AS ipix FROM (SELECT DISTINCT CAST(floor(ipix / pow(4, greatest(ord - 5, 0))) AS BIGINT) * CAST(pow(4, greatest(5 - ord, 0)) AS BIGINT) + k AS c FROM {MIXED}, (SELECT unnest(range(4)) AS k) WHERE survey_id = '2-HIGH' AND (ord = 4 OR k = 0)) WHERE c >= 700 ORDER BY c LIMIT 1000")
+def q_healpix_list(spark, sf_dir):
+    return region.healpix_list(views.mixed_cells(spark, sf_dir).where("survey_id = '2-HIGH'").withColumn("layer_id", F.col("survey_id")), 5, start=700, size=1000)
+
+
 @query("moc_fullsky", f"SELECT survey_id, count(*) = 49152 AS full_sky FROM {PROJECTED} GROUP BY survey_id")
 def moc_fullsky(spark, sf_dir):
     return ranges.is_full_sky(views.mixed_cells(spark, sf_dir), "survey_id")
@@ -252,13 +379,29 @@ def q_comoving(spark, sf_dir):
     return _good(spark, sf_dir).select("source_row", "z", depth.comoving(F.col("z"), depth.distance_nodes()).alias("distance"))
 
 
-@query("q_sky_depth")
+_SELECTED = f"(SELECT *, {_pixel(2)} AS cell FROM {GOOD} o WHERE ra < 360)"
+
+
+@query("q_sky_depth", f"SELECT count(*) AS objects, count(z) AS with_redshift, count(*) FILTER (reason IS NULL) AS with_distance, CASE WHEN count(*) FILTER (reason IS NULL) > 20000 THEN 'voxels' ELSE 'points' END AS status, CASE WHEN count(*) FILTER (reason IS NULL) > 20000 THEN 2 END AS \"order\" FROM {_SELECTED} WHERE cell % 2 = 0")
 def q_sky_depth(spark, sf_dir):
+    """What is known in half of the order-2 cells, and how it can be shown."""
+    cells = spark.range(0, hpx.cells(2), 2).withColumnRenamed("id", "ipix")
+    return depth.sky_depth(views.objects(spark, sf_dir).where("ra < 360"), 2, cells)[0]
+
+
+@query("q_depth_voxels")
+def q_depth_voxels(spark, sf_dir):
     """Accepted objects' voxels by distance."""
     points = _good(spark, sf_dir).withColumn("distance", depth.comoving(F.col("z"), depth.distance_nodes()))
     return depth.voxels(points, 4)
 
 
+@query("agg_adaptive_order")
+def agg_adaptive_order(spark, sf_dir):
+    points = _good(spark, sf_dir).withColumn("distance", depth.comoving(F.col("z"), depth.distance_nodes()))
+    return spark.createDataFrame([(o, depth.adaptive_order(points, o, budget=600)) for o in (0, 3, 12)], "selection_order int, order int")
+
+
 def _discs(spark, sf_dir):
     k = F.col("s_suppkey")
     return views.table(spark, sf_dir, "supplier").select(k.alias("unit_id"), (k * 104729 % 3600000 / F.lit(10000.0)).alias("ra"), (k * 7368787 % 1800001 / F.lit(10000.0) - 90).alias("dec"), (k % 5 + F.lit(0.5)).alias("radius_deg"))
@@ -275,29 +418,140 @@ def jn_spatial_filter_refine(spark, sf_dir):
     return region.units_touching(_discs(spark, sf_dir), request, 6)
 
 
+@query("hpx_poly_incl")
+def hpx_poly_incl(spark, sf_dir):
+    return geometry.shape_cells(_shapes(spark, sf_dir), 5)
+
+
+def _regions(spark, sf_dir):
+    """STC-S texts of suppliers: circles, boxes, unions and broken ones."""
+    k = F.col("s_suppkey")
+    ra, dec = k * 104729 % 3600000 / F.lit(10000.0), k * 7368787 % 1500001 / F.lit(10000.0) - 75
+    box = F.format_string("POLYGON ICRS %.4f %.4f %.4f %.4f %.4f %.4f %.4f %.4f", ra, dec, ra + 2, dec, ra + 2, dec + 2, ra, dec + 2)
+    circle = F.format_string("CIRCLE ICRS %.4f %.4f %.2f", ra, dec, k % 5 / F.lit(2.0))
+    kinds = F.when(k % 4 == 0, circle).when(k % 4 == 1, box).when(k % 4 == 2, F.concat(F.lit("UNION ICRS ("), circle, F.lit(" "), box, F.lit(")"))).otherwise(F.concat(box, F.lit(" 1")))
+    return views.table(spark, sf_dir, "supplier").select(k.alias("unit_id"), kinds.alias("s_region"))
+
+
+def _shapes(spark, sf_dir):
+    return _regions(spark, sf_dir).select("unit_id", geometry.stcs(F.col("s_region")).alias("shapes")).where("shapes is not null")
+
+
+@query("fn_stcs", "SELECT s_suppkey AS unit_id, CASE s_suppkey % 4 WHEN 0 THEN 'circle' WHEN 1 THEN 'polygon' WHEN 2 THEN 'circle,polygon' END AS kinds, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 3 THEN NULL ELSE 4 END AS vertices FROM supplier")
+def fn_stcs(spark, sf_dir):
+    shapes = _regions(spark, sf_dir).select("unit_id", geometry.stcs(F.col("s_region")).alias("s"))
+    return shapes.select("unit_id", F.array_join(F.transform("s", lambda x: x["kind"]), ",").alias("kinds"), F.aggregate("s", F.lit(0), lambda n, x: n + F.size(x["vertices"])).alias("vertices"))
+
+
+@query("jn_stcs_match")
+def jn_stcs_match(spark, sf_dir):
+    return geometry.stcs_match(_regions(spark, sf_dir), views.view(spark, sf_dir, "request"), 4)
+
+
+@query("agg_centroid", "SELECT s_suppkey AS unit_id, round(((s_suppkey * 104729 % 3600000) / 10000e0 + 1) % 360, 6) AS ra FROM supplier WHERE s_suppkey % 4 IN (1, 2)")
+def agg_centroid(spark, sf_dir):
+    """Boxes are alike about their middle meridian, so that is where their centroid lies."""
+    each = _shapes(spark, sf_dir).select("unit_id", F.explode("shapes").alias("s")).where("s.kind = 'polygon'")
+    return each.select("unit_id", F.round(geometry.centroid(F.col("s.vertices"))["ra"], 6).alias("ra"))
+
+
+@query("agg_cap")
+def agg_cap(spark, sf_dir):
+    each = _shapes(spark, sf_dir).select("unit_id", F.explode("shapes").alias("s")).where("s.kind = 'polygon'")
+    return each.select("unit_id", geometry.cap(F.col("s.vertices")).alias("c")).select("unit_id", "c.*")
+
+
 @query("q_rect_cover")
 def q_rect_cover(spark, sf_dir):
     return region.cover_rectangle(spark, 350.0, 10.0, -5.0, 5.0, target=7)
 
 
+@query("q_rect_report")
+def q_rect_report(spark, sf_dir):
+    box = (20.0, 300.0, -30.0, 90.0)
+    return region.cover_report(region.cover_rectangle(spark, *box, target=6), *box)
+
+
 @query("cls_rectangle_cell")
 def cls_rectangle_cell(spark, sf_dir):
     return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", region.classify(4, F.col("ipix"), 20.0, 300.0, -30.0, 40.0).alias("state"))
 
 
-@query("agg_cone")
-def agg_cone(spark, sf_dir):
-    return region.cone(_good(spark, sf_dir).where("dec > 80"))
+@query("q_selector", "SELECT 6 AS \"order\", unnest(range(100, 250)) AS ipix, CAST(floor((unnest(range(100, 250)) - 100) / 64) AS INTEGER) AS batch")
+def q_selector(spark, sf_dir):
+    return region.selector(spark, cells=(6, [*range(249, 99, -1), 120]))
+
+
+_ASKED = f"(SELECT *, CAST(left(survey_id, 1) AS BIGINT) AS source_no FROM {{PROJECTED}} WHERE ipix BETWEEN 1000 AND 1080)"
+
+
+@query("q_region_query", f"SELECT source_no, survey_id AS layer_id, 6 AS \"order\", ipix, max(rn) OVER (PARTITION BY source_no) > 150 AS truncated, 'conservative-projection' AS operation FROM (SELECT *, row_number() OVER (ORDER BY source_no, ipix) AS rn FROM {_ASKED}) QUALIFY rn <= 150".replace("{PROJECTED}", PROJECTED))
+def q_region_query(spark, sf_dir):
+    """All surveys in a region of 81 cells at order 6, under one budget of 150 cells."""
+    cells = region.check_region(6, list(range(1000, 1081)), ["coverage"])
+    sources = spark.createDataFrame(list(enumerate(SURVEYS, 1)), "source_no long, layer_id string")
+    return region.query_region(sources, views.mixed_cells(spark, sf_dir).withColumnRenamed("survey_id", "layer_id"), 6, cells, 150)
+
+
+@query("view_clip")
+def view_clip(spark, sf_dir):
+    return region.in_view(ranges.project(views.mixed_cells(spark, sf_dir), 6, "survey_id"), 6, 120.0, 30.0, 12.0)
+
+
+@query("view_tiles")
+def view_tiles(spark, sf_dir):
+    tiles = ranges.project(views.mixed_cells(spark, sf_dir), 2, "survey_id")
+    return region.shared_view_tiles(tiles, SURVEYS, 8, 120.0, 30.0, 20.0)
+
+
+@query("q_scope_from_overlap")
+def q_scope_from_overlap(spark, sf_dir):
+    """The second region that two surveys of discs share at order 7, and its cone."""
+    discs = lambda rows: region.disc_cells(spark.createDataFrame(rows, "ra double, dec double, radius_deg double"), 7).select(F.lit(7).alias("order"), "ipix").distinct()
+    found, cone = region.scope_of_overlap(discs([(40.0, 20.0, 4.0), (200.0, -40.0, 3.0), (300.0, 60.0, 2.0)]), discs([(43.0, 21.0, 3.0), (203.0, -41.0, 3.0)]), 7, 2)
+    return found.join(F.broadcast(cone), F.lit(True))
 
 
-@query("q_cone_lookup", f"SELECT source_row FROM {OBJECTS} o WHERE ra < 360 AND degrees(acos(greatest(-1e0, least(1e0, sin(radians(dec)) * sin(radians(30e0)) + cos(radians(dec)) * cos(radians(30e0)) * cos(radians(ra - 120e0)))))) <= 12")
+def _fields(spark, sf_dir):
+    """Imaging fields of line items on great circles."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    mu, nu = (k * 104729 % 3600000) / F.lit(10000.0), (k * 7919 % 50000) / F.lit(10000.0) - 2.5
+    return views.table(spark, sf_dir, "lineitem").select(
+        k.alias("field"), (F.col("l_suppkey") % 20).alias("run"), F.when(k % 11 == 0, "40").otherwise(" 301").alias("rerun"), F.when(k % 13 == 0, 2).otherwise(0).alias("photo_status"), F.lit(95.0).alias("node"), (k % 7 * 2.5).cast("double").alias("incl"),
+        mu.alias("mu_start"), F.when(k % 17 == 0, mu - 1).otherwise(mu + 0.3).alias("mu_end"), nu.alias("nu_start"), (nu + 0.25).alias("nu_end"), F.col("l_returnflag").alias("band"),
+    )
+
+
+@query("q_sdss_normalize", "SELECT CASE WHEN k % 11 = 0 THEN 'rerun-40' WHEN r >= 15 THEN 'run-not-listed' WHEN k % 13 = 0 THEN 'photo-status-2' WHEN k % 17 = 0 THEN 'invalid-geometry' END AS reason, count(*) AS n FROM (SELECT l_orderkey * 8 + l_linenumber AS k, l_suppkey % 20 AS r FROM lineitem) GROUP BY 1")
+def q_sdss_normalize(spark, sf_dir):
+    runs = spark.range(15).withColumnRenamed("id", "run")
+    return geometry.normalized_fields(_fields(spark, sf_dir), runs).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("q_sdss_corners")
+def q_sdss_corners(spark, sf_dir):
+    runs = spark.range(15).withColumnRenamed("id", "run")
+    return geometry.normalized_fields(_fields(spark, sf_dir), runs).where("reason is null").select("field", "centre.ra", "centre.dec", F.size("vertices").alias("corners"))
+
+
+@query("q_frames_to_moc")
+def q_frames_to_moc(spark, sf_dir):
+    """Canonical coverage at order 7 of the fields of two bands."""
+    fields = geometry.normalized_fields(_fields(spark, sf_dir).where("field % 40 = 1"), spark.range(15).withColumnRenamed("id", "run"))
+    return geometry.frames_to_cells(fields, ["A", "R"], 7)
+
+
+_IN_CONE = f"(SELECT source_row, ra, dec, z FROM {OBJECTS} o WHERE ra < 360 AND degrees(acos(greatest(-1e0, least(1e0, sin(radians(dec)) * sin(radians(30e0)) + cos(radians(dec)) * cos(radians(30e0)) * cos(radians(ra - 120e0)))))) <= 12)"
+
+
+@query("q_cone_lookup", f"SELECT source_row, e.event_type AS product, (SELECT count(*) FROM {_IN_CONE}) > 50 AS truncated FROM (SELECT * FROM {_IN_CONE} ORDER BY source_row LIMIT 50) c JOIN events e ON e.event_id = c.source_row")
 def q_cone_lookup(spark, sf_dir):
-    return region.in_cone(views.objects(spark, sf_dir).where("ra < 360"), 120.0, 30.0, 12.0).select("source_row")
+    """The first 50 objects of a cone with their products, and whether there were more."""
+    products = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("source_row"), F.col("event_type").alias("product"))
+    return region.cone_lookup(views.objects(spark, sf_dir).where("ra < 360"), products, 120.0, 30.0, 12.0, "source_row", 50).select("source_row", "product", "truncated")
 
 
 @query("prt_batches", f"SELECT ipix, CAST(floor((row_number() OVER (ORDER BY ipix) - 1) / 7) AS BIGINT) AS batch FROM (SELECT DISTINCT ipix FROM {PAIR})")
 def prt_batches(spark, sf_dir):
-    return region.batches(overlap.shared_cells(views.layer_cells(spark, sf_dir), ["1-URGENT", "2-HIGH"]), 4)
-
+    return region.batches(_pair(spark, sf_dir), 4)
 
-relational.register(query)

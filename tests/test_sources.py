@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from skyweave.sources import fits, text
+from skyweave.functions import hpx
+from skyweave.operators import ranges
+from skyweave.sources import fits, sinks, text
 from skyweave.streaming import quotas
 from tests.oracle import SMALL
 
@@ -37,8 +39,76 @@ def test_fits_moc(spark, tmp_path):
     got = fits.check_moc(fits.fits_moc(spark, str(tmp_path))).collect()
     assert sorted((r.order, r.ipix) for r in got) == [(4, 5), (13, 12 * 4**13 - 1)]
     (tmp_path / "a.fits").write_bytes(make([(4, 5), (5, 21)]))
+    with pytest.raises(Exception, match="inside"):
+        fits.fits_moc(spark, str(tmp_path)).collect()
     with pytest.raises(ValueError, match="inside"):
-        fits.check_moc(fits.fits_moc(spark, str(tmp_path)))
+        fits.check_moc(spark.createDataFrame([("a", 4, 5), ("a", 5, 21)], "path string, order int, ipix long"))
+    (tmp_path / "a.fits").write_bytes(_fits([("UNIQ", "K", np.array([4], ">i8"))], [("ORDERING", "'NESTED'")]))
+    with pytest.raises(Exception, match="NUNIQ"):
+        fits.fits_moc(spark, str(tmp_path)).collect()
+
+
+def test_row_windows_in_spans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fits, "SPAN", 64)
+    (tmp_path / "a.fits").write_bytes(_fits([("K", "K", np.arange(1000, dtype=">i8"))]))
+    schema = T.StructType.fromDDL("K bigint")
+    assert sorted(r.K for r in fits.fits_table(spark, str(tmp_path), schema).collect()) == list(range(1000))
+    rows = fits.row_window(spark, str(tmp_path / "a.fits"), schema, 100, 50).collect()
+    assert sorted(r.K for r in rows) == list(range(100, 150)) and len({r.bytes_sha256 for r in rows}) == 7
+    for start, count in ((990, 11), (-1, 5), (0, 0)):
+        with pytest.raises(ValueError):
+            fits.row_window(spark, str(tmp_path / "a.fits"), schema, start, count)
+    with pytest.raises(ValueError, match="lacks"):
+        fits.fits_table(spark, str(tmp_path), T.StructType.fromDDL("X bigint"))
+
+
+def test_moc_round_trip_and_write_once(spark, tmp_path):
+    cells = spark.createDataFrame([(4, 5), (6, 81), (8, 4000), (8, 4001), (8, 4002), (8, 4003)], "order int, ipix long")
+    done = sinks.write_moc(cells, str(tmp_path / "m"))
+    assert sinks.write_moc(cells, str(tmp_path / "m")) == done
+    got = fits.fits_moc(spark, str(tmp_path / "m" / "moc.fits")).select("order", "ipix")
+    assert sorted(map(tuple, got.collect())) == [(4, 5), (7, 1000)]
+    assert ranges.identity(got).first().revision == ranges.identity(cells).first().revision
+    with pytest.raises(ValueError, match="other bytes"):
+        sinks.write_moc(cells.limit(1).union(spark.createDataFrame([(4, 9)], "order int, ipix long")), str(tmp_path / "m"))
+    files = spark.createDataFrame([("https://a.example/0/5.fits",), ("https://a.example/1/107.fits",)], "url string")
+    manifest = sinks.write_path_evidence(files, "url", str(tmp_path / "p"), 3, spark.createDataFrame([(5,), (107,)], "pixel long"))
+    assert "moc.fits" in manifest and spark.read.parquet(str(tmp_path / "p" / "files.parquet")).count() == 2
+    for bad in (["https://a.example/1/5.fits"], ["https://a.example/0/5.fits", "https://b.example/0/5.fits"]):
+        with pytest.raises(ValueError, match="group"):
+            sinks.write_path_evidence(spark.createDataFrame([(u,) for u in bad], "url string"), "url", str(tmp_path / "q"), 3)
+    assert hpx.cells(3) == 768
+
+
+def test_listings_and_long_rows(spark, tmp_path):
+    page = '<a href="?C=N">Name</a>\n<a href="../">Up</a>\n<a href="a&amp;b.fits">a&amp;b.fits</a>  2026-01-02 03:04  120\n<a href="sub/">sub/</a>  2026-01-02 03:04  -'
+    html = text.listing(spark.createDataFrame([(page,)], "value string"), "html").collect()
+    assert [tuple(r) for r in html if r.path != "../"] == [("a&b.fits", 120, "2026-01-02 03:04"), ("sub/", None, "2026-01-02 03:04")]
+    sums = text.listing(spark.createDataFrame([("0" * 32 + "  x/y.fits",), ("bad line",)], "value string"), "checksum")
+    assert [r.path for r in sums.collect()] == ["x/y.fits"]
+    (tmp_path / "a.json").write_text('{"k": 1, "Flux": 2}\n')
+    with pytest.raises(Exception, match="forbidden"):
+        text.ndjson(spark, str(tmp_path / "a.json"), T.StructType.fromDDL("k int"), 1, text.FORBIDDEN).collect()
+    (tmp_path / "b.json").write_text('{"k": 1, "s": "' + "x" * text.MOST_ROW + '"}\n')
+    with pytest.raises(Exception, match="too long"):
+        text.ndjson(spark, str(tmp_path / "b.json"), T.StructType.fromDDL("k int")).collect()
+    xml = '<V><INFO name="QUERY_STATUS" value="OK"/><T><FIELD name="b"/><FIELD name="a"/><D><TR><TD>1</TD><TD>2</TD></TR></D></T><INFO name="QUERY_STATUS" value="OVERFLOW"/></V>'
+    (tmp_path / "c.xml").write_text(xml)
+    rows, overflow = text.votable_named(spark, str(tmp_path / "c.xml"), ["a"])
+    assert overflow and [r.a for r in rows.collect()] == ["2"]
+    with pytest.raises(ValueError, match="lacks"):
+        text.votable_named(spark, str(tmp_path / "c.xml"), ["z"])
+
+
+def test_first_seen_stream(spark, tmp_path):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = quotas.first_seen(stream, "user_id", "3650 days").writeStream.format("memory").queryName("seen").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    seen = [r.user_id for r in spark.table("seen").collect()]
+    assert len(seen) == len(set(seen)) == events.select("user_id").distinct().count()
 
 
 def test_text_sources(spark, tmp_path):
