@@ -285,3 +285,14 @@ def fold_precision(ranks: Mapping[str, int]) -> tuple[Column, Column]:
     rank = F.coalesce(*[F.when(F.col("prec") == n, F.lit(r)) for n, r in ranks.items()])
     back = F.coalesce(*[F.when(F.col("rank") == r, F.lit(n)) for n, r in ranks.items()])
     return rank, back
+
+
+def claim_kind(product: Column, url: Column) -> Column:
+    """What a product's geometry claims to be: moc, tile, raw-file or overview, by the words of its name and url."""
+    text = F.lower(F.concat_ws(" ", product, url))
+    return F.when(text.rlike(r"\bmoc\b|moc\.fits|moc\.json"), "moc").when(text.rlike("tile|brick|hips"), "tile").when(text.rlike("fits|file|archive|download"), "raw-file").otherwise("overview")
+
+
+def canonical_json(c: Column) -> Column:
+    """Compact JSON of a map of texts with its keys in order, so that equal maps have equal digests."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))

@@ -117,20 +117,41 @@ def cover_report(cover: DataFrame, ra_start: float, ra_end: float, dec_min: floa
     return cover.agg(F.count("*").alias("cells"), F.coalesce(F.sum(edge.cast("long")), F.lit(0)).alias("unresolved"), F.coalesce(F.max(F.when(edge, radius)), F.lit(0.0)).alias("max_radius_deg"), F.lit(area).alias("rectangle_deg2"), covered.alias("cover_deg2"), F.greatest(F.lit(0.0), covered - area).alias("excess_deg2"))
 
 
-def _refine(shapes: DataFrame, order: int, near) -> DataFrame:
-    """`shapes` with a row for each cell at `order` that `near(level, centre)` doesn't rule out on the way down."""
+def _starts(level: int, ra: Column, dec: Column) -> Column:
+    """The cell of a direction, the cells beside it, and those beside them, which hold all within a fourth of a cell's side."""
+    def around(c: Column) -> Column:
+        near = hpx.neighbours4(level, c)
+        return F.array_distinct(F.concat(F.array(c), near, F.flatten(F.transform(near, lambda n: hpx.neighbours4(level, n)))))
+
+    return hpx.once(hpx.ang2pix(level, F.pmod(ra, F.lit(360.0)), dec), around)
+
+
+def _refine(shapes: DataFrame, order: int, near, ra: Column, dec: Column, radius: Column) -> DataFrame:
+    """`shapes` with a row for each cell at `order` that `near(level, centre)` doesn't rule out on the way down.
+
+    The way starts at the level whose cells are at least four times as wide as the circle (ra, dec, radius) that holds the
+    shape, with the cells about its centre: small shapes never meet the rest of the sky. Large ones start at the base cells.
+    """
     rule = lambda level: lambda c: near(level, c)
-    out = shapes.withColumn("ipix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    side = math.degrees(math.sqrt(4 * math.pi / 12))
+    level_of = F.floor(F.log2(F.lit(side / 4) / F.greatest(radius, F.lit(1e-9))))
+    first = F.when(level_of < 1, 0).when(level_of > order, order).otherwise(level_of).cast("int")
+    base = F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))
+    start = F.when(F.col("__first") == 0, base)
+    for level in range(1, order + 1):
+        start = start.when(F.col("__first") == level, _starts(level, ra, dec))
+    out = shapes.withColumn("__first", first).withColumn("ipix", F.explode(start))
     for level in range(order + 1):
         if level:
-            out = out.withColumn("ipix", F.explode(hpx.children(F.col("ipix"))))
-        out = out.where(F.element_at(F.transform(F.array(hpx.pix2ang(level, F.col("ipix"))), rule(level)), 1))
-    return out
+            out = out.withColumn("ipix", F.explode(F.when(F.col("__first") < level, hpx.children(F.col("ipix"))).otherwise(F.array("ipix"))))
+        out = out.where((F.col("__first") > level) | F.element_at(F.transform(F.array(hpx.pix2ang(level, F.col("ipix"))), rule(level)), 1))
+    return out.drop("__first")
 
 
 def disc_cells(discs: DataFrame, order: int, ra: str = "ra", dec: str = "dec", radius: str = "radius_deg") -> DataFrame:
     """`discs` with the cells that may touch each."""
-    return _refine(discs, order, lambda level, c: hpx.angular_distance(c["ra"], c["dec"], F.col(ra), F.col(dec)) <= F.col(radius) + hpx.max_pixel_radius(level))
+    near = lambda level, c: hpx.angular_distance(c["ra"], c["dec"], F.col(ra), F.col(dec)) <= F.col(radius) + hpx.max_pixel_radius(level)
+    return _refine(discs, order, near, F.col(ra), F.col(dec), F.col(radius))
 
 
 def _unit(ra: Column, dec: Column) -> tuple[Column, Column, Column]:
@@ -148,9 +169,12 @@ def polygon_cells(polygons: DataFrame, order: int, vertices: str = "vertices") -
         n = (p["y"] * q["z"] - p["z"] * q["y"], p["z"] * q["x"] - p["x"] * q["z"], p["x"] * q["y"] - p["y"] * q["x"])
         size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
         turn = F.signum(n[0] * F.col("__m")["x"] + n[1] * F.col("__m")["y"] + n[2] * F.col("__m")["z"])
-        return F.struct(*[(x * turn / size).alias(name) for name, x in zip("xyz", n, strict=True)])
+        return F.struct(*[F.try_divide(x * turn, size).alias(name) for name, x in zip("xyz", n, strict=True)])
 
-    made = made.withColumn("__e", F.transform("__v", edge))
+    m = F.col("__m")
+    size = F.sqrt(m["x"] * m["x"] + m["y"] * m["y"] + m["z"] * m["z"])
+    far = F.array_max(F.transform("__v", lambda p: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(p["x"] * m["x"] + p["y"] * m["y"] + p["z"] * m["z"], size)))))))
+    made = made.withColumns({"__e": F.transform("__v", edge), "__r": F.when(size > 1e-9, far).otherwise(180.0)})
 
     def near(level: int, c: Column) -> Column:
         x, y, z = _unit(c["ra"], c["dec"])
@@ -158,7 +182,8 @@ def polygon_cells(polygons: DataFrame, order: int, vertices: str = "vertices") -
         # Edges of repeated vertices have no direction and rule nothing out.
         return ~F.exists("__e", lambda e: F.coalesce(e["x"] * x + e["y"] * y + e["z"] * z < -slack, F.lit(False)))
 
-    return _refine(made, order, near).drop("__v", "__m", "__e")
+    ra, dec = F.degrees(F.atan2(m["y"], m["x"])), F.degrees(F.atan2(m["z"], F.sqrt(m["x"] * m["x"] + m["y"] * m["y"])))
+    return _refine(made, order, near, ra, dec, F.col("__r")).drop("__v", "__m", "__e", "__r")
 
 
 def units_touching(discs: DataFrame, request: DataFrame, order: int, unit: str = "unit_id", coarse: int = 4) -> DataFrame:

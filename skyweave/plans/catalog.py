@@ -256,6 +256,12 @@ def moc_tree_identity(spark, sf_dir):
     return ranges.tree_identity(views.mixed_cells(spark, sf_dir), "survey_id")
 
 
+@query("moc_overlap_check", f"SELECT survey_id, count(*) AS faults FROM (SELECT survey_id, ord, ipix, row_number() OVER (PARTITION BY survey_id, ord, ipix) AS rn, EXISTS (SELECT 1 FROM {MIXED} b WHERE b.survey_id = a.survey_id AND b.ord < a.ord AND b.ipix = CAST(floor(a.ipix / pow(4, a.ord - b.ord)) AS BIGINT)) AS inside FROM {MIXED} a) WHERE rn > 1 OR inside GROUP BY survey_id")
+def moc_overlap_check(spark, sf_dir):
+    """Cells of each survey that repeat or lie inside another."""
+    return ranges.overlapping_cells(views.mixed_cells(spark, sf_dir), "survey_id").groupBy("survey_id").agg(F.count("*").alias("faults"))
+
+
 @query("moc_cap", f"SELECT survey_id, count(*) AS covered FROM (SELECT DISTINCT survey_id, CAST(floor(ipix / pow(4, greatest(ord - 5, 0))) AS BIGINT) * CAST(pow(4, greatest(5 - ord, 0)) AS BIGINT) + k AS c FROM {MIXED}, (SELECT unnest(range(4)) AS k) WHERE ord = 4 OR k = 0) GROUP BY survey_id")
 def moc_cap(spark, sf_dir):
     """Cells capped at order 5, by the order-5 cells that they cover."""
@@ -537,7 +543,7 @@ def q_sdss_corners(spark, sf_dir):
 @query("q_frames_to_moc")
 def q_frames_to_moc(spark, sf_dir):
     """Canonical coverage at order 7 of the fields of two bands."""
-    fields = geometry.normalized_fields(_fields(spark, sf_dir).where("field % 40 = 1"), spark.range(15).withColumnRenamed("id", "run"))
+    fields = geometry.normalized_fields(_fields(spark, sf_dir), spark.range(15).withColumnRenamed("id", "run"))
     return geometry.frames_to_cells(fields, ["A", "R"], 7)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (local sessions that leave it unset) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or (local sessions that leave it unset) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local["):
@@ -20,7 +20,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables made by materialize() that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            system, where = _place(df.sparkSession, path)
+            system.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _place(spark, path)
+    return system.exists(where)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes under a path."""
+    system, where = _place(spark, path)
+    return system.getContentSummary(where).getLength()

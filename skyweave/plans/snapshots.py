@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.plans.scratch import materialize
+from skyweave.plans.scratch import exists, materialize, shared_dir, size_of
 
 #: Batches of one request, keys remembered between batches, and rows of a snapshot.
-BATCHES, SEEN = 32, 100_000
+BATCHES, SEEN, MOST_BYTES = 32, 100_000, 64 << 20
 
 
 def freeze(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -18,6 +20,18 @@ def freeze(rows: DataFrame, order: list[str]) -> DataFrame:
     return materialize(rows.orderBy(*order), "snapshot").withColumn("__order", F.struct(*order))
 
 
+def keyed(rows: DataFrame, identity: dict, order: list[str], most: int = MOST_BYTES) -> DataFrame:
+    """As freeze(), under the digest of what the answer is of: asked again, the first answer is read. Over `most` bytes it is an error."""
+    spark = rows.sparkSession
+    name = hashlib.sha256(json.dumps(identity, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    path = f"{shared_dir(spark)}/snapshot-{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows.orderBy(*order).write.mode("overwrite").parquet(path)
+        if (n := size_of(spark, path)) > most:
+            raise ValueError(f"{n} bytes exceed the {most} of a snapshot")
+    return spark.read.schema(rows.schema).parquet(path).withColumn("__order", F.struct(*order))
+
+
 def page(frozen: DataFrame, offset: int, size: int, scope: Column | None = None) -> DataFrame:
     """`size` rows of a frozen answer from `offset` on, of a sub-scope if given."""
     rows = frozen if scope is None else frozen.where(scope)

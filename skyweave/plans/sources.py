@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from skyweave.functions import hpx
 from skyweave.operators import geometry
+from skyweave.plans import snapshots
 from skyweave.plans.registry import query
 from skyweave.plans.scratch import shared_dir
 from skyweave.plans.views import table, view
@@ -184,9 +185,9 @@ def src_wcs_header(spark, sf_dir):
     return found.select("s_suppkey", F.when(F.col("c").isNotNull(), F.size("c")).alias("corners"), F.when(F.col("c").isNotNull(), F.round(middle, 5)).alias("dec_at_pole_side"))
 
 
-@query("snk_snapshot", "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders")
-def snk_snapshot(spark, sf_dir):
-    """A snapshot is written once: the same rows again are accepted."""
+@query("snk_immutable", "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders")
+def snk_immutable(spark, sf_dir):
+    """A table is written once: the same rows again are accepted."""
     folder = _folder(spark, "once")
     rows = table(spark, sf_dir, "orders").select("o_orderkey")
     text.write_once(rows, folder)
@@ -194,6 +195,15 @@ def snk_snapshot(spark, sf_dir):
     return spark.read.parquet(folder).agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys"))
 
 
+@query("snk_snapshot", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
+def snk_snapshot(spark, sf_dir):
+    """A page of an answer frozen under the digest of its identity; asked again, the frozen answer is read."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    identity = {"query": "orders", "of": uuid.uuid4().hex}
+    snapshots.keyed(rows, identity, ["o_orderkey"])
+    return snapshots.page(snapshots.keyed(rows.limit(0), identity, ["o_orderkey"]), 50, 100)
+
+
 @query("snk_csv_export", "SELECT 'o_orderkey,o_orderstatus' AS line UNION ALL SELECT CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus FROM orders")
 def snk_csv_export(spark, sf_dir):
     folder = _folder(spark, "export")

@@ -86,3 +86,20 @@ def test_catalogue_values(spark):
     with pytest.raises(ValueError, match="single letters"):
         catalogue.selected(spark.createDataFrame([("a1",)], "unit_id string"), prefixes=["ab"])
     assert catalogue.selected(spark.createDataFrame([("a1",), ("B2",)], "unit_id string"), prefixes=["b"]).count() == 1
+
+
+def test_claims_and_canonical_json(spark):
+    df = spark.createDataFrame([("Coverage MOC", None), ("x", "https://a/hips/"), ("catalog archive", ""), ("overview", None)], "p string, u string")
+    assert [r[0] for r in df.select(catalogue.claim_kind(F.col("p"), F.col("u"))).collect()] == ["moc", "tile", "raw-file", "overview"]
+    maps = spark.createDataFrame([({"b": "1", "a": 'x"'},), ({"a": 'x"', "b": "1"},)], "m map<string,string>")
+    assert {r[0] for r in maps.select(catalogue.canonical_json(F.col("m"))).collect()} == {'{"a":"x\\"","b":"1"}'}
+
+
+def test_snapshots_keep_the_first_answer(spark):
+    import uuid
+
+    rows, identity = spark.range(10).withColumnRenamed("id", "k"), {"q": uuid.uuid4().hex}
+    assert snapshots.keyed(rows, identity, ["k"]).count() == 10
+    assert snapshots.keyed(rows.where("k < 3"), identity, ["k"]).count() == 10
+    with pytest.raises(ValueError, match="exceed"):
+        snapshots.keyed(rows, {"q": uuid.uuid4().hex}, ["k"], most=1)

@@ -1,5 +1,6 @@
 """Covers are supersets of what they cover, and tight."""
 
+import math
 import random
 
 import pytest
@@ -54,3 +55,25 @@ def test_units_cone_and_batches(spark):
     c = region.cone(spark.createDataFrame([(359.0, 0.0), (1.0, 0.0)], "ra double, dec double")).first()
     assert abs((c.ra + 180) % 360 - 180) < 1e-9 and abs(c.radius_deg - 1) < 1e-9
     assert region.batches(spark.range(130).withColumnRenamed("id", "ipix"), 8).groupBy("batch").count().agg(F.max("count")).first()[0] == 64
+
+
+def test_small_discs_start_near_and_lose_nothing(spark):
+    """Discs of all sizes everywhere, the poles and the corners of base cells too: every cell with a point of the disc is there."""
+    rnd = random.Random(7)
+    centres = [(rnd.uniform(0, 360), rnd.uniform(-90, 90)) for _ in range(60)] + [(k * 45.0, d) for k in range(8) for d in (-89.9, -41.81, 0.0, 41.81, 89.95)] + [(10.0, 90.0), (0.0, -90.0)]
+    discs = [(k, ra, dec, rnd.choice([0.02, 0.2, 0.9, 1.7, 3.4, 7.0])) for k, (ra, dec) in enumerate(centres)]
+    have = {}
+    for r in region.disc_cells(spark.createDataFrame(discs, "k int, ra double, dec double, radius_deg double"), 6).collect():
+        have.setdefault(r.k, set()).add(r.ipix)
+    points = []
+    for k, ra, dec, radius in discs:
+        for _ in range(60):
+            turn, away = rnd.uniform(0, 2 * math.pi), math.radians(radius * rnd.random() ** 0.5)
+            d0 = math.radians(dec)
+            d = math.asin(max(-1, min(1, math.sin(d0) * math.cos(away) + math.cos(d0) * math.sin(away) * math.cos(turn))))
+            a = math.radians(ra) + math.atan2(math.sin(turn) * math.sin(away) * math.cos(d0), math.cos(away) - math.sin(d0) * math.sin(d))
+            points.append((k, math.degrees(a) % 360, math.degrees(d)))
+    found = spark.createDataFrame(points, "k int, ra double, dec double").select("k", hpx.ang2pix(6, F.col("ra"), F.col("dec")).alias("c")).distinct().collect()
+    assert all(r.c in have[r.k] for r in found)
+    cell = 41253 / hpx.cells(6)
+    assert all(len(have[k]) <= 4 * 3.15 * (radius + 1.3) ** 2 / cell + 12 for k, _, _, radius in discs)

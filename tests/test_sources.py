@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from skyweave.functions import hpx
 from skyweave.operators import ranges
 from skyweave.sources import fits, sinks, text
-from skyweave.streaming import quotas
+from skyweave.streaming import drift, quotas
 from tests.oracle import SMALL
 
 
@@ -141,3 +141,17 @@ def test_quota_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("quota").collect()} == want
+
+
+def test_drift_stream(spark, tmp_path):
+    sources = spark.createDataFrame([("a", False, "s1", 8), ("b", False, None, 8)], "id string, skip boolean, sha string, max_order int")
+    batches = [[("a", "s1", 8, None), ("b", None, None, "timeout")], [("b", None, None, "timeout")], [("a", "s2", 8, None), ("b", None, None, "timeout")], [("b", "t1", 8, None)]]
+    kind = "id string, sha string, max_order int, error string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        q = drift.monitor_stream(stream, sources, str(tmp_path / "state")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = {r.id: (r.state, r.failures, r.alert, r.good_sha) for r in spark.read.parquet(str(tmp_path / "state" / str(k))).collect()}
+        want = [{"a": ("unchanged", 0, False, "s1"), "b": ("failed", 1, False, None)}, {"a": ("unchanged", 0, False, "s1"), "b": ("failed", 2, False, None)}, {"a": ("drifted", 0, False, "s1"), "b": ("failed", 3, True, None)}, {"a": ("drifted", 0, False, "s1"), "b": ("unchanged", 0, False, "t1")}][k]
+        assert got == want, k
