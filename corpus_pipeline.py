@@ -13,7 +13,7 @@ gives an empty one. Pseudonyms are keyed by the setting spark.skyweave.pii.key (
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm import bpe_codec, common, decontaminate, near_dedup, pii, quality_rules
@@ -22,10 +22,21 @@ from skyweave.llm import bpe_codec, common, decontaminate, near_dedup, pii, qual
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(row, text): all other columns as one, so that no operator's output meets a column of the same name."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest, F.lit(True).alias("__some")).alias("row"), F.col("text"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of `docs` again, those in `new` replaced."""
+    new = {"text": F.col("text"), **(new or {})}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    verdict = quality_rules.judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")))
-    return verdict.where("kept").select("row.*")
+    return _unpacked(quality_rules.judge(_packed(docs)).where("kept"), docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +55,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
-    judged = decontaminate.decontaminate(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")), common.table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select("row.*")
+    judged = decontaminate.decontaminate(_packed(docs), common.table(spark, sf_dir, "benchmark"))
+    return _unpacked(judged.where(~F.col("contaminated")), docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms, and their length."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    out = pii.pseudonymize(rows, pii.key_of(spark)).select("row", "text")
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    out = pii.pseudonymize(_packed(docs), pii.key_of(spark))
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return _unpacked(out, docs, {"n_chars": F.length("text").cast(kind)} if kind else {})
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyweave.plans.scratch import discard, materialize, shared_dir  # noqa: F401  (the operators' scratch tables)
+
 #: Byte table for words `[0-9a-z]` and every non-ASCII byte: A-Z fold to a-z, all other ASCII becomes a space.
 FOLD_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: Bytes of a part of an Arrow batch.
+PART = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,36 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (local sessions that leave it unset) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyweave-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables made by materialize() that no later plan reads."""
-    for df in tables:
-        if path := getattr(df, "_scratch", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: A key is hot beyond a thousandth of all rows (and this many), so there are fewer than a thousand hot keys.
 HOT_SHARE, HOT_ROWS = 1000, 100
 
@@ -62,13 +34,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt: str, h
     `salt`, those of `right` are copied to each slice. Keys of equal hash are hot together, which changes no result.
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("rows")) if counts is None else counts
-    total = counts.agg(F.sum("rows").alias("n")).first().n or 0
-    size = max(total / HOT_SHARE, HOT_ROWS)
+    whole = counts.agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()
+    size = max((whole.n or 0) / HOT_SHARE, HOT_ROWS)
+    if (whole.most or 0) <= size:
+        return left.join(right, keys, how)
     tiers: dict[int, list[int]] = {}
     for h, n in counts.where(F.col("rows") > size).select(F.xxhash64(*keys), F.ceil(F.col("rows") / size).cast("long")).collect():
         tiers.setdefault(1 << (n - 1).bit_length(), []).append(h)
-    if not tiers:
-        return left.join(right, keys, how)
     slices = F.lit(1).cast("long")
     for n, hashes in tiers.items():
         slices = F.when(F.xxhash64(*keys).isin(hashes), F.lit(n).cast("long")).otherwise(slices)
@@ -87,7 +59,8 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.Stru
     """Append columns computed batch by batch.
 
     `make()` runs once a task and returns a function from the input columns (Arrow arrays) to one Arrow array a
-    field. Input columns of a field's name are replaced. Batches are bounded by Spark's Arrow record and byte limits.
+    field. Input columns of a field's name are replaced. Batches are bounded by Spark's Arrow record and byte limits, and
+    given to the function in parts of about PART bytes, which bounds what a worker holds beside them.
     """
     base = without(df, {f.name for f in fields} - set(inputs))
     kept = [c for c in base.columns if c.lower() not in {f.name.lower() for f in fields}]
@@ -98,9 +71,12 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.Stru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            new = fn(*[b.column(i) for i in at])
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in stay] + list(new), names=names)
+        for whole in batches:
+            rows = max(1, whole.num_rows * PART // max(1, whole.nbytes))
+            for first in range(0, whole.num_rows, rows):
+                b = whole.slice(first, rows)
+                new = fn(*[b.column(i) for i in at])
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in stay] + list(new), names=names)
 
     return read.mapInArrow(run, schema)
 
