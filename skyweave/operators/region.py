@@ -19,6 +19,8 @@ from skyweave.plans.scratch import materialize
 
 #: Leaves of a rectangle cover, and its coarsest order.
 LEAVES, COARSEST = 4096, 4
+#: The order at which covers of small shapes start.
+NEAR = 4
 
 
 def _slices(ra_start: float, ra_end: float) -> list[tuple[float, float]]:
@@ -129,23 +131,22 @@ def _starts(level: int, ra: Column, dec: Column) -> Column:
 def _refine(shapes: DataFrame, order: int, near, ra: Column, dec: Column, radius: Column) -> DataFrame:
     """`shapes` with a row for each cell at `order` that `near(level, centre)` doesn't rule out on the way down.
 
-    The way starts at the level whose cells are at least four times as wide as the circle (ra, dec, radius) that holds the
-    shape, with the cells about its centre: small shapes never meet the rest of the sky. Large ones start at the base cells.
+    Shapes in a circle (ra, dec, radius) of at most a fourth of a cell's side start at order 4 with the cells about its
+    centre, and never meet the rest of the sky; larger ones start at the base cells.
     """
     rule = lambda level: lambda c: near(level, c)
-    side = math.degrees(math.sqrt(4 * math.pi / 12))
-    level_of = F.floor(F.log2(F.lit(side / 4) / F.greatest(radius, F.lit(1e-9))))
-    first = F.when(level_of < 1, 0).when(level_of > order, order).otherwise(level_of).cast("int")
+    from_level = min(order, NEAR)
+    small = radius <= math.degrees(math.sqrt(4 * math.pi / hpx.cells(from_level))) / 4
     base = F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))
-    start = F.when(F.col("__first") == 0, base)
-    for level in range(1, order + 1):
-        start = start.when(F.col("__first") == level, _starts(level, ra, dec))
-    out = shapes.withColumn("__first", first).withColumn("ipix", F.explode(start))
+    out = shapes.withColumn("__small", F.coalesce(small, F.lit(False)) if from_level else F.lit(False))
+    out = out.withColumn("ipix", F.explode(F.when(F.col("__small"), _starts(from_level, ra, dec)).otherwise(base)))
     for level in range(order + 1):
         if level:
-            out = out.withColumn("ipix", F.explode(F.when(F.col("__first") < level, hpx.children(F.col("ipix"))).otherwise(F.array("ipix"))))
-        out = out.where((F.col("__first") > level) | F.element_at(F.transform(F.array(hpx.pix2ang(level, F.col("ipix"))), rule(level)), 1))
-    return out.drop("__first")
+            deeper = hpx.children(F.col("ipix"))
+            out = out.withColumn("ipix", F.explode(deeper if level > from_level else F.when(F.col("__small"), F.array("ipix")).otherwise(deeper)))
+        passes = F.element_at(F.transform(F.array(hpx.pix2ang(level, F.col("ipix"))), rule(level)), 1)
+        out = out.where(passes if level >= from_level else F.col("__small") | passes)
+    return out.drop("__small")
 
 
 def disc_cells(discs: DataFrame, order: int, ra: str = "ra", dec: str = "dec", radius: str = "radius_deg") -> DataFrame:

@@ -44,6 +44,31 @@ def _pixel(order: int, ra: str = "ra", dec: str = "dec") -> str:
 GOOD = "(SELECT *, CASE WHEN object_id = '' THEN 'missingIdentity' WHEN ra IS NULL OR dec IS NULL OR ra < 0 OR ra >= 360 OR abs(dec) > 90 THEN 'invalidCoordinate' WHEN z IS NULL THEN 'missingRedshift' WHEN z <= 0.001e0 THEN 'lowOrNegativeRedshift' WHEN z > 2 THEN 'outsideModelRange' WHEN zwarn <> 0 OR spectype <> 'GALAXY' THEN 'qualityOrClass' WHEN frame <> 'heliocentric' THEN 'unknownRedshiftFrame' END AS reason FROM " + OBJECTS + ")"
 
 
+def _lattice(source: str, order: int, points: str) -> str:
+    """DuckDB: (columns of source, k, z, phi) of points (k, dx, dy) of cells (ipix) at an order, by their place in the base faces."""
+    n, area = 2**order, 4**order
+    bits = lambda odd: " + ".join(f"((ipix % {area}) // {4**i * (2 if odd else 1)} % 2) * {2**i}" for i in range(order)) or "0"
+    return f"""(SELECT * EXCLUDE (row, col, x, y, ring, cap), CASE WHEN ring < {n} THEN 1 - cap * cap / {3 * n * n}e0 WHEN ring > {3 * n} THEN cap * cap / {3 * n * n}e0 - 1 ELSE ({2 * n} - ring) * 2 / {3 * n}e0 END AS z,
+      CASE WHEN cap = 0 THEN 0e0 ELSE ((2 * col + CASE WHEN row = 1 THEN 0 ELSE 1 END) * cap + x - y) / cap * pi() / 4 END AS phi
+      FROM (SELECT *, CASE WHEN ring < {n} THEN ring WHEN ring > {3 * n} THEN {4 * n} - ring ELSE {n} END AS cap FROM (SELECT *, (row + 2) * {n} - x - y AS ring
+      FROM (SELECT s.*, p.k, ipix // {area} // 4 AS row, ipix // {area} % 4 AS col, {bits(False)} + p.dx AS x, {bits(True)} + p.dy AS y FROM {source} s, (VALUES {points}) p(k, dx, dy)))))"""
+
+
+def _centres(source: str, order: int) -> str:
+    """DuckDB: source (ipix) with ra and dec of the cells' centres."""
+    return f"(SELECT * EXCLUDE (k, z, phi), CASE WHEN phi < 0 THEN degrees(phi) + 360 ELSE degrees(phi) END AS ra, degrees(asin(z)) AS dec FROM {_lattice(source, order, '(0, 0.5e0, 0.5e0)')})"
+
+
+def _corners(source: str, order: int) -> str:
+    """DuckDB: source (ipix) with the corners of its cells, as unit vectors."""
+    return f"(SELECT * EXCLUDE (phi), sqrt(greatest(0, 1 - z * z)) * cos(phi) AS x, sqrt(greatest(0, 1 - z * z)) * sin(phi) AS y FROM {_lattice(source, order, '(0, 1, 1), (1, 0, 1), (2, 0, 0), (3, 1, 0)')})"
+
+
+#: DuckDB: cells of order 4 and those beyond their sides: two cells are neighbours if they have two corners in common.
+_KEYED = f"(SELECT DISTINCT ipix, CAST(round(x * 1e7) AS BIGINT) AS a, CAST(round(y * 1e7) AS BIGINT) AS b, CAST(round(z * 1e7) AS BIGINT) AS c FROM {_corners('(SELECT unnest(range(3072)) AS ipix)', 4)})"
+BESIDE = f"(SELECT p.ipix, q.ipix AS beside FROM {_KEYED} p JOIN {_KEYED} q USING (a, b, c) WHERE p.ipix <> q.ipix GROUP BY p.ipix, q.ipix HAVING count(*) = 2)"
+
+
 def overlap_at(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     """Cells that all surveys cover at an order, with their area."""
     found = overlap.shared_cells(views.layer_cells(spark, sf_dir, order))
@@ -120,15 +145,27 @@ def agg_highest_common_order(spark, sf_dir):
     return overlap.common_order(views.published(spark, sf_dir).select("survey_id", "layer_id", "order").distinct(), 5)
 
 
-@query("agg_components")
+#: DuckDB: regions of the cells that two surveys share, by passing on the smallest cell.
+_REGIONS = f"""(WITH RECURSIVE c AS (SELECT ipix FROM {PAIR}), e AS (SELECT b.ipix, b.beside FROM {BESIDE} b JOIN c ON c.ipix = b.ipix JOIN c d ON d.ipix = b.beside), r(ipix, component) AS (SELECT ipix, ipix FROM c UNION SELECT e.beside, r.component FROM r JOIN e ON e.ipix = r.ipix WHERE r.component < e.beside)
+  SELECT ipix, component, printf('C%02d', dense_rank() OVER (ORDER BY component)) AS region FROM (SELECT ipix, min(component) AS component FROM r GROUP BY ipix))"""
+
+
+@query("agg_components", f"SELECT * FROM {_REGIONS}")
 def agg_components(spark, sf_dir):
     return overlap.regions(_pair(spark, sf_dir), 4)
 
 
-@query("agg_bounds")
+_EDGES = f"(SELECT region, ipix, x, y, z, (degrees(atan2(y, x)) + 360) % 360 AS ra, degrees(asin(greatest(-1, least(1, z)))) AS dec FROM {_corners(_REGIONS, 4)})"
+_GAPS = f"(SELECT *, row_number() OVER (PARTITION BY region ORDER BY gap DESC, ra) AS rn FROM (SELECT region, ra, coalesce(lead(ra) OVER w, first_value(ra) OVER w) AS nxt, coalesce(lead(ra) OVER w, first_value(ra) OVER w + 360) - ra AS gap FROM (SELECT DISTINCT region, round(ra, 9) AS ra FROM {_EDGES}) WINDOW w AS (PARTITION BY region ORDER BY ra)))"
+_BOUNDS = f"(SELECT g.region, g.nxt AS ra_min, g.ra AS ra_max, g.nxt > g.ra AS ra_wraps, e.dec_min, e.dec_max, e.cells FROM {_GAPS} g JOIN (SELECT region, min(dec) AS dec_min, max(dec) AS dec_max, count(DISTINCT ipix) AS cells FROM {_EDGES} GROUP BY region) e ON e.region = g.region AND g.rn = 1)"
+
+
+@query("agg_bounds", f"SELECT region, ra_wraps, round(dec_min, 6) + 0e0 AS dec_min, round(dec_max, 6) + 0e0 AS dec_max, cells, round(cells * 41252.96124941927e0 / 3072, 6) AS area_deg2, round(CASE WHEN ra_wraps THEN 360 - ra_min + ra_max ELSE ra_max - ra_min END, 6) AS span FROM {_BOUNDS}")
 def agg_bounds(spark, sf_dir):
     """Bounds of every region."""
-    return overlap.bounds(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
+    found = overlap.bounds(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
+    span = F.when(F.col("ra_wraps"), 360 - F.col("ra_min") + F.col("ra_max")).otherwise(F.col("ra_max") - F.col("ra_min"))
+    return found.select("region", "ra_wraps", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("dec_min", "dec_max")], "cells", F.round("area_deg2", 6).alias("area_deg2"), F.round(span, 6).alias("span"))
 
 
 @query("agg_cone")
@@ -137,9 +174,10 @@ def agg_cone(spark, sf_dir):
     return overlap.cones(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
 
 
-@query("hpx_boundaries")
+@query("hpx_boundaries", f"SELECT ipix, CAST(k AS INTEGER) AS corner, round(x, 9) + 0e0 AS x, round(y, 9) + 0e0 AS y, round(z, 9) + 0e0 AS z FROM {_corners(f'(SELECT DISTINCT ipix FROM {LAYERS})', 4)}")
 def hpx_boundaries(spark, sf_dir):
-    return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", F.posexplode(hpx.boundaries(4, F.col("ipix"))).alias("corner", "c")).select("ipix", "corner", "c.x", "c.y", "c.z")
+    cells = views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", F.posexplode(hpx.boundaries(4, F.col("ipix"))).alias("corner", "c"))
+    return cells.select("ipix", "corner", *[(F.round(f"c.{n}", 9) + F.lit(0.0)).alias(n) for n in "xyz"])
 
 
 @query("hpx_ang2pix", f"SELECT source_row, CASE WHEN ra < 360 THEN {_pixel(4)} END AS o4, CASE WHEN ra < 360 THEN {_pixel(8)} END AS o8 FROM {OBJECTS} o")
@@ -148,12 +186,13 @@ def hpx_ang2pix(spark, sf_dir):
     return views.objects(spark, sf_dir).select("source_row", hpx.ang2pix(4, ra, dec).alias("o4"), hpx.ang2pix(8, ra, dec).alias("o8"))
 
 
-@query("hpx_pix2ang")
+@query("hpx_pix2ang", f"SELECT ipix, round(ra, 9) + 0e0 AS ra, round(dec, 9) + 0e0 AS dec FROM {_centres(f'(SELECT DISTINCT ipix FROM {LAYERS})', 4)}")
 def hpx_pix2ang(spark, sf_dir):
-    return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", hpx.pix2ang(4, F.col("ipix")).alias("c")).select("ipix", "c.ra", "c.dec")
+    cells = views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", hpx.pix2ang(4, F.col("ipix")).alias("c"))
+    return cells.select("ipix", *[(F.round(f"c.{n}", 9) + F.lit(0.0)).alias(n) for n in ("ra", "dec")])
 
 
-@query("hpx_neighbours4")
+@query("hpx_neighbours4", f"SELECT ipix, beside FROM {BESIDE} WHERE ipix IN (SELECT ipix FROM {LAYERS})")
 def hpx_neighbours4(spark, sf_dir):
     return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", F.explode(hpx.neighbours4(4, F.col("ipix"))).alias("beside"))
 
@@ -241,17 +280,23 @@ def cover_block(spark, sf_dir):
     return block.groupBy("survey_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("ipix")), ","), 256).alias("sha256"))
 
 
-@query("moc_canonical")
+_COVERED8 = f"(SELECT DISTINCT survey_id, unnest(range(CAST(ipix * pow(4, 8 - ord) AS BIGINT), CAST((ipix + 1) * pow(4, 8 - ord) AS BIGINT))) AS c FROM {MIXED})"
+_FULL = f"(SELECT survey_id, o, c // CAST(pow(4, 8 - o) AS BIGINT) AS ipix FROM {_COVERED8}, (SELECT unnest(range(4, 9)) AS o) GROUP BY ALL HAVING count(*) = pow(4, 8 - o))"
+_MERGED13 = _merged(f"(SELECT survey_id, CAST(ipix * pow(4, 13 - ord) AS BIGINT) AS lo, CAST((ipix + 1) * pow(4, 13 - ord) AS BIGINT) AS hi FROM {MIXED})")
+_BLOCKS13 = f"(SELECT survey_id, b, greatest(lo, b * 16384) AS lo, least(hi, (b + 1) * 16384) AS hi FROM (SELECT *, unnest(range(lo // 16384, (hi - 1) // 16384 + 1)) AS b FROM {_MERGED13}))"
+
+
+@query("moc_canonical", f"SELECT survey_id, CAST(o AS INTEGER) AS \"order\", ipix FROM {_FULL} a WHERE NOT EXISTS (SELECT 1 FROM {_FULL} b WHERE b.survey_id = a.survey_id AND b.o = a.o - 1 AND b.ipix = a.ipix // 4)")
 def moc_canonical(spark, sf_dir):
     return ranges.canonical(views.mixed_cells(spark, sf_dir), "survey_id", finest=8)
 
 
-@query("moc_identity")
+@query("moc_identity", f"SELECT survey_id, sha256('[' || string_agg('[' || CAST(lo AS VARCHAR) || ',' || CAST(hi AS VARCHAR) || ']', ',' ORDER BY lo) || ']') AS revision, CAST(sum(hi - lo) AS BIGINT) AS cells FROM {_MERGED13} GROUP BY survey_id")
 def moc_identity(spark, sf_dir):
     return ranges.identity(views.mixed_cells(spark, sf_dir), "survey_id")
 
 
-@query("moc_tree_identity")
+@query("moc_tree_identity", f"SELECT survey_id, sha256(string_agg(CAST(b AS VARCHAR) || ':' || d, ',' ORDER BY b)) AS revision FROM (SELECT survey_id, b, sha256(string_agg(CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR), ',' ORDER BY lo)) AS d FROM {_BLOCKS13} GROUP BY survey_id, b) GROUP BY survey_id")
 def moc_tree_identity(spark, sf_dir):
     return ranges.tree_identity(views.mixed_cells(spark, sf_dir), "survey_id")
 
@@ -380,9 +425,14 @@ def agg_top_cell(spark, sf_dir):
     return depth.densest(_good(spark, sf_dir))
 
 
-@query("q_comoving")
+_SLOW = lambda z: f"(1 / sqrt(0.30966e0 * pow(1 + {z}, 3) + 1 - 0.30966e0))"
+_NODES = f"(SELECT k + 1 AS k, sum(299792.458e0 / 67.66e0 * 0.001953125e0 / 6 * ({_SLOW('k * 0.001953125e0')} + 4 * {_SLOW('(k + 0.5e0) * 0.001953125e0')} + {_SLOW('(k + 1) * 0.001953125e0')})) OVER (ORDER BY k) AS d FROM (SELECT unnest(range(1024)) AS k) UNION ALL SELECT 0, 0e0)"
+_FAR = f"(SELECT o.*, a.d + (b.d - a.d) * (z / 0.001953125e0 - a.k) AS distance FROM {GOOD} o JOIN {_NODES} a ON a.k = least(CAST(floor(z / 0.001953125e0) AS BIGINT), 1023) JOIN {_NODES} b ON b.k = a.k + 1 WHERE reason IS NULL)"
+
+
+@query("q_comoving", f"SELECT source_row, z, round(distance, 6) AS distance FROM {_FAR}")
 def q_comoving(spark, sf_dir):
-    return _good(spark, sf_dir).select("source_row", "z", depth.comoving(F.col("z"), depth.distance_nodes()).alias("distance"))
+    return _good(spark, sf_dir).select("source_row", "z", F.round(depth.comoving(F.col("z"), depth.distance_nodes()), 6).alias("distance"))
 
 
 _SELECTED = f"(SELECT *, {_pixel(2)} AS cell FROM {GOOD} o WHERE ra < 360)"
@@ -395,11 +445,11 @@ def q_sky_depth(spark, sf_dir):
     return depth.sky_depth(views.objects(spark, sf_dir).where("ra < 360"), 2, cells)[0]
 
 
-@query("q_depth_voxels")
+@query("q_depth_voxels", f"SELECT {_pixel(4)} AS pixel, least(CAST(floor((distance - lo) / (hi - lo) * 64) AS INTEGER), 63) AS bin, count(*) AS count, round(any_value(lo + least(floor((distance - lo) / (hi - lo) * 64), 63) * (hi - lo) / 64), 4) AS radial_min, round(avg(distance), 4) AS radial_mean FROM {_FAR} o, (SELECT min(distance) AS lo, max(distance) AS hi FROM {_FAR}) GROUP BY 1, 2")
 def q_depth_voxels(spark, sf_dir):
     """Accepted objects' voxels by distance."""
     points = _good(spark, sf_dir).withColumn("distance", depth.comoving(F.col("z"), depth.distance_nodes()))
-    return depth.voxels(points, 4)
+    return depth.voxels(points, 4).select("pixel", "bin", "count", F.round("radial_min", 4).alias("radial_min"), F.round("radial_mean", 4).alias("radial_mean"))
 
 
 @query("agg_adaptive_order")
@@ -478,7 +528,19 @@ def q_rect_report(spark, sf_dir):
     return region.cover_report(region.cover_rectangle(spark, *box, target=6), *box)
 
 
-@query("cls_rectangle_cell")
+_RADIUS4 = hpx.max_pixel_radius(4)
+
+
+def _plane(ra: float) -> str:
+    """DuckDB: how far east of a meridian's half-plane a direction is, as the sine."""
+    return f"(-sin(radians({ra}e0)) * cos(radians(dec)) * cos(radians(ra)) + cos(radians({ra}e0)) * cos(radians(dec)) * sin(radians(ra)))"
+
+
+@query(
+    "cls_rectangle_cell",
+    f"""SELECT ipix, CASE WHEN dec + r < -30 OR dec - r > 40 THEN 'outside' WHEN (a1 < -t OR b1 < -t) AND (a2 < -t OR b2 < -t) THEN 'outside' WHEN dec - r >= -30 AND dec + r <= 40 AND ((a1 >= t AND b1 >= t) OR (a2 >= t AND b2 >= t)) THEN 'inside' ELSE 'boundary' END AS state
+    FROM (SELECT ipix, dec, {_RADIUS4}e0 AS r, sin(radians({_RADIUS4}e0)) AS t, {_plane(20)} AS a1, -{_plane(160)} AS b1, {_plane(160)} AS a2, -{_plane(300)} AS b2 FROM {_centres(f'(SELECT DISTINCT ipix FROM {LAYERS})', 4)})""",
+)
 def cls_rectangle_cell(spark, sf_dir):
     return views.layer_cells(spark, sf_dir).select("ipix").distinct().select("ipix", region.classify(4, F.col("ipix"), 20.0, 300.0, -30.0, 40.0).alias("state"))
 
@@ -499,7 +561,21 @@ def q_region_query(spark, sf_dir):
     return region.query_region(sources, views.mixed_cells(spark, sf_dir).withColumnRenamed("survey_id", "layer_id"), 6, cells, 150)
 
 
-@query("view_clip")
+@query("chk_region", "SELECT unnest(['plain', 'too fine', 'no cells', 'too wide', 'repeated source', 'not concrete']) AS request, unnest([true, false, false, false, false, false]) AS allowed")
+def chk_region(spark, sf_dir):
+    """Requests with what is wrong with each, and whether they are allowed."""
+    asked = {"plain": (6, [1, 2], ["a"]), "too fine": (14, [1], ["a"]), "no cells": (6, [], ["a"]), "too wide": (4, list(range(60)), ["a"]), "repeated source": (6, [1], ["a", "a"]), "not concrete": (6, [1], ["public:a"])}
+
+    def allowed(request) -> bool:
+        try:
+            return bool(region.check_region(*request))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(n, allowed(r)) for n, r in asked.items()], "request string, allowed boolean")
+
+
+@query("view_clip", f"SELECT survey_id, ipix FROM (SELECT *, degrees(acos(greatest(-1, least(1, sin(radians(dec)) * sin(radians(30e0)) + cos(radians(dec)) * cos(radians(30e0)) * cos(radians(ra - 120e0)))))) AS d FROM {_centres(PROJECTED, 6)}) WHERE d <= 12 + {hpx.max_pixel_radius(6)}e0 OR 180 - d <= 12 + {hpx.max_pixel_radius(6)}e0")
 def view_clip(spark, sf_dir):
     return region.in_view(ranges.project(views.mixed_cells(spark, sf_dir), 6, "survey_id"), 6, 120.0, 30.0, 12.0)
 
@@ -534,10 +610,15 @@ def q_sdss_normalize(spark, sf_dir):
     return geometry.normalized_fields(_fields(spark, sf_dir), runs).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("q_sdss_corners")
+@query(
+    "q_sdss_corners",
+    """SELECT field, round((degrees(atan2(sin(a) * cos(b) * cos(i) - sin(b) * sin(i), cos(a) * cos(b))) + 95 + 360) % 360, 6) + 0e0 AS ra, round(degrees(asin(sin(a) * cos(b) * sin(i) + sin(b) * cos(i))), 6) + 0e0 AS dec, 4 AS corners
+    FROM (SELECT k AS field, radians((k * 104729 % 3600000) / 10000e0 + 0.15e0 - 95) AS a, radians((k * 7919 % 50000) / 10000e0 - 2.5e0 + 0.125e0) AS b, radians(k % 7 * 2.5e0) AS i FROM (SELECT l_orderkey * 8 + l_linenumber AS k, l_suppkey % 20 AS r FROM lineitem) WHERE k % 11 <> 0 AND r < 15 AND k % 13 <> 0 AND k % 17 <> 0)""",
+)
 def q_sdss_corners(spark, sf_dir):
     runs = spark.range(15).withColumnRenamed("id", "run")
-    return geometry.normalized_fields(_fields(spark, sf_dir), runs).where("reason is null").select("field", "centre.ra", "centre.dec", F.size("vertices").alias("corners"))
+    good = geometry.normalized_fields(_fields(spark, sf_dir), runs).where("reason is null")
+    return good.select("field", *[(F.round(f"centre.{n}", 6) + F.lit(0.0)).alias(n) for n in ("ra", "dec")], F.size("vertices").alias("corners"))
 
 
 @query("q_frames_to_moc")

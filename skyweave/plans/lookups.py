@@ -424,6 +424,11 @@ def flt_excluded(spark, sf_dir):
     return view(spark, sf_dir, "layers").where(~hit).select("layer_id")
 
 
+@query("flt_denied", f"SELECT layer_id FROM {LAYERS} WHERE NOT (survey_id IN ('s3', 's7') OR layer_id LIKE 's3-%' OR layer_id LIKE 's7-%')")
+def flt_denied(spark, sf_dir):
+    return view(spark, sf_dir, "layers").where(~catalogue.denied(F.col("survey_id"), F.col("layer_id"), ["s3", "s7"])).select("layer_id")
+
+
 @query("flt_warehouse_layers", f"SELECT layer_id FROM {LAYERS} WHERE layer_no % 7 <> 0 AND layer_no % 5 <> 0 AND layer_no % 11 <> 0 AND layer_no % 13 <> 0 AND layer_no % 2 = 0")
 def flt_warehouse_layers(spark, sf_dir):
     layers = view(spark, sf_dir, "layers")
