@@ -7,11 +7,12 @@ equal place, their representative:
 1. Every document is read once and gives the fingerprints of its windows' representatives (about one in ten words);
    Spark counts them over all documents. A window whose representative stands once can't repeat.
 2. For the documents that have repeated ones, the windows of those representatives alone are verified, by 96 bits of
-   hash each, counted over all documents.
+   hash each, counted over all documents. Of equal texts one is read, and counts as often as it stands: every window of
+   theirs repeats.
 3. Words covered by repeated windows are removed from those documents; the others keep all their words.
 
 Counting pre-aggregates in every task, so a passage of a third of all documents is no hot group; the joins back are plain
-equi-joins that adaptive execution splits. Only per-document lists are ever gathered. Texts are cut into overlapping
+equi-joins that adaptive execution splits, or dealt into slices. Only per-document lists are ever gathered. Texts are cut into overlapping
 pieces while hashing, so memory is bounded for texts of any length.
 
 Defined results: a null or empty text, or one of fewer words than the window, loses nothing (null stays without words);
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyweave.llm.common import append_columns, as_bytes, discard, materialize, table, without
+from skyweave.llm.common import append_columns, as_bytes, discard, materialize, salted_join, table, without
 from skyweave.llm.near_dedup import WordHashes
 from skyweave.llm.recompress import REACH, Prefix, mix, representatives
 
@@ -38,12 +39,14 @@ WINDOW = 35
 PIECE = 300_000
 #: Text keys broadcast at most (16 bytes each); beyond, texts are joined by a shuffle.
 MOST_KEYS = 500_000
+#: In place of the starts of a text whose windows all repeat.
+WHOLE = -1
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _pieces(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+def _pieces(texts: list[bytes], window: int, hashes: WordHashes) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
     """(word hashes with separators, [(text number, offset, windows, first word)]) of some texts at a time."""
-    hashes, apart = WordHashes(), 0
+    apart = 0
     flat: list[np.ndarray] = []
     spans: list[tuple[int, int, int, int]] = []
     size = 0
@@ -74,44 +77,57 @@ def _lists(n: int, found: dict[int, list[np.ndarray]], kind) -> pa.Array:
 def _fingerprints(docs: DataFrame, window: int) -> DataFrame:
     """Distinct representatives of each text: fingerprint and place."""
 
-    def run(col: pa.Array) -> list[pa.Array]:
-        texts, prints, places = as_bytes(col), {}, {}
-        for flat, spans in _pieces(texts, window):
-            rep, prefix = representatives(flat, window), Prefix(flat)
-            for k, at, n, first in spans:
-                own = np.unique(rep[at : at + n])
-                prints.setdefault(k, []).append(prefix.of(own, REACH).view(np.int64))
-                places.setdefault(k, []).append(own - at + first)
-        return [_lists(len(texts), prints, pa.int64()), _lists(len(texts), places, pa.int64())]
+    def make():
+        hashes = WordHashes()
 
-    return append_columns(docs, ["text"], [T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))], lambda: run).drop("text")
+        def run(col: pa.Array) -> list[pa.Array]:
+            texts, prints, places = as_bytes(col), {}, {}
+            for flat, spans in _pieces(texts, window, hashes):
+                rep, prefix = representatives(flat, window), Prefix(flat)
+                for k, at, n, first in spans:
+                    own = np.unique(rep[at : at + n])
+                    prints.setdefault(k, []).append(prefix.of(own, REACH).view(np.int64))
+                    places.setdefault(k, []).append(own - at + first)
+            return [_lists(len(texts), prints, pa.int64()), _lists(len(texts), places, pa.int64())]
+
+        return run
+
+    return append_columns(docs, ["text"], [T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))], make).drop("text")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """Start and hashes of each text's windows whose representative is one of `places`."""
     kinds = [("starts", T.LongType(), pa.int64()), ("h", T.LongType(), pa.int64()), ("c", T.IntegerType(), pa.int32())]
 
-    def run(col: pa.Array, wanted: pa.Array) -> list[pa.Array]:
-        texts, found = as_bytes(col), [{}, {}, {}]
-        wanted = [np.array(x, dtype=np.int64) for x in wanted.to_pylist()]
-        for flat, spans in _pieces(texts, window):
-            rep, one, two = representatives(flat, window), Prefix(flat), Prefix(mix(flat ^ _SECOND))
-            for k, at, n, first in spans:
-                p = np.flatnonzero(np.isin(rep[at : at + n] - at + first, wanted[k]))
-                for into, values in zip(found, (p + first, one.of(p + at, window).view(np.int64), (two.of(p + at, window) >> np.uint64(32)).astype(np.uint32).view(np.int32)), strict=True):
-                    into.setdefault(k, []).append(values)
-        return [_lists(len(texts), f, kind) for f, (_, _, kind) in zip(found, kinds, strict=True)]
+    def make():
+        hashes = WordHashes()
+
+        def run(col: pa.Array, wanted: pa.Array) -> list[pa.Array]:
+            texts, found = as_bytes(col), [{}, {}, {}]
+            wanted = [np.array(x, dtype=np.int64) for x in wanted.to_pylist()]
+            for flat, spans in _pieces(texts, window, hashes):
+                rep, one, two = representatives(flat, window), Prefix(flat), Prefix(mix(flat ^ _SECOND))
+                for k, at, n, first in spans:
+                    p = np.flatnonzero(np.isin(rep[at : at + n] - at + first, wanted[k]))
+                    for into, values in zip(found, (p + first, one.of(p + at, window).view(np.int64), (two.of(p + at, window) >> np.uint64(32)).astype(np.uint32).view(np.int32)), strict=True):
+                        into.setdefault(k, []).append(values)
+            return [_lists(len(texts), f, kind) for f, (_, _, kind) in zip(found, kinds, strict=True)]
+
+        return run
 
-    return append_columns(docs, ["text", "places"], [T.StructField(n, T.ArrayType(t)) for n, t, _ in kinds], lambda: run).drop("text", "places")
+    return append_columns(docs, ["text", "places"], [T.StructField(n, T.ArrayType(t)) for n, t, _ in kinds], make).drop("text", "places")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """Texts less the words that windows at `starts` cover."""
+    """Texts less the words that windows at `starts` cover; WHOLE stands for all of them."""
 
     def run(col: pa.Array, starts: pa.Array) -> list[pa.Array]:
         rows = []
         for raw, at in zip(as_bytes(col), starts.to_pylist(), strict=True):
             words = raw.split()
+            if at == [WHOLE]:
+                rows.append((b"", len(words), len(words)))
+                continue
             edge = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(edge, np.array(at or [], dtype=np.int64), 1)
             np.add.at(edge, np.array(at or [], dtype=np.int64) + window, -1)
@@ -142,10 +158,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     keys = some.select("k1", "k2")
     keys = F.broadcast(keys) if few else keys
     apart = materialize(keyed.join(keys, ["k1", "k2"], "left_semi").withColumn("t", F.monotonically_increasing_id()), "texts")
-    windows = _windows(apart.select("t", "k1", "k2", "text").join(some, ["k1", "k2"]).select("t", "text", "places"), window)
-    each = windows.select("t", F.explode(F.arrays_zip("starts", "h", "c")).alias("x")).select("t", "x.starts", "x.h", "x.c")
-    again = materialize(each.groupBy("h", "c").count().where("count > 1").select("h", "c"), "again")
-    starts = each.join(again, ["h", "c"], "left_semi").groupBy("t").agg(F.collect_list("starts").alias("starts"))
+    copies = materialize(apart.groupBy("k1", "k2").agg(F.min("t").alias("t"), F.count("*").alias("rows")), "copies")
+    chosen = copies.join(some, ["k1", "k2"]).select("t", "rows", "places")
+    windows = materialize(_windows(apart.select("t", "text").join(chosen, "t"), window), "windows")
+    each = windows.select("t", "rows", F.explode(F.arrays_zip("starts", "h", "c")).alias("x")).select("t", "rows", "x.starts", "x.h", "x.c")
+    again = materialize(each.groupBy("h", "c").agg(F.sum("rows").alias("n")).where("n > 1").select("h", "c"), "again")
+    alone = each.where("rows = 1").join(again, ["h", "c"], "left_semi").groupBy("t").agg(F.collect_list("starts").alias("starts"))
+    repeated = salted_join(apart.select("k1", "k2", "t"), copies.where("rows > 1").select("k1", "k2"), ["k1", "k2"], "t", counts=copies.select("k1", "k2", "rows"))
+    starts = materialize(alone.union(repeated.select("t", F.array(F.lit(WHOLE)).cast("array<bigint>"))), "starts")
+    discard(windows, again)
     cut = _cut(apart.select("t", "row", "text").join(starts, "t", "left").drop("t"), window)
     whole = _cut(keyed.join(keys, ["k1", "k2"], "left_anti").select("row", "text", F.array().cast("array<bigint>").alias("starts")), window)
     both = cut.select("row", "text", "n_words", "n_removed").unionByName(whole.select("row", "text", "n_words", "n_removed"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skyweave.llm import common, html_extract, near_dedup, recompress, substring_dedup, url_filter
@@ -137,8 +138,10 @@ def _kept(texts, window):
     return out
 
 
-def test_repeats_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [substring_dedup.MOST_KEYS, 0])
+def test_repeats_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "PIECE", 50)  # long texts in many pieces
+    monkeypatch.setattr(substring_dedup, "MOST_KEYS", most)  # 0: the joins of large inputs
     rnd = random.Random(8)
     passages = [" ".join(f"p{rnd.randrange(9)}" for _ in range(n)) for n in (20, 35, 36, 80)]
     texts = [" ".join(rnd.choice([passages[rnd.randrange(4)], *(f"w{rnd.randrange(40)}" for _ in range(6))]) for _ in range(rnd.randint(0, 40))) for _ in range(50)]
