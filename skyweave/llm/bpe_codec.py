@@ -279,4 +279,4 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(decode(encode(docs, ranks, pattern).select("doc_id", "ids"), ranks, pattern))
+    return digest(recode(docs, ranks, pattern))
