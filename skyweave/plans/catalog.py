@@ -436,9 +436,12 @@ def q_comoving(spark, sf_dir):
 
 
 _SELECTED = f"(SELECT *, {_pixel(2)} AS cell FROM {GOOD} o WHERE ra < 360)"
+_CHOSEN = f"(SELECT * FROM (SELECT f.*, {_pixel(2)} AS p2, {_pixel(4)} AS p4, {_pixel(6)} AS p6 FROM {_FAR} f WHERE ra < 360) WHERE p2 % 2 = 0)"
+_BINNED = f"(SELECT p2, p4, p6, least(CAST(floor((distance - lo) / (hi - lo) * 64) AS INTEGER), 63) AS bin FROM {_CHOSEN}, (SELECT min(distance) AS lo, max(distance) AS hi FROM {_CHOSEN}))"
+_ORDER = f"(SELECT CASE WHEN count(DISTINCT (p6, bin)) <= 32768 THEN 6 WHEN count(DISTINCT (p4, bin)) <= 32768 THEN 4 WHEN count(DISTINCT (p2, bin)) <= 32768 THEN 2 END FROM {_BINNED})"
 
 
-@query("q_sky_depth", f"SELECT count(*) AS objects, count(z) AS with_redshift, count(*) FILTER (reason IS NULL) AS with_distance, CASE WHEN count(*) FILTER (reason IS NULL) > 20000 THEN 'voxels' ELSE 'points' END AS status, CASE WHEN count(*) FILTER (reason IS NULL) > 20000 THEN 2 END AS \"order\" FROM {_SELECTED} WHERE cell % 2 = 0")
+@query("q_sky_depth", f"SELECT count(*) AS objects, count(z) AS with_redshift, count(*) FILTER (reason IS NULL) AS with_distance, CASE WHEN count(*) FILTER (reason IS NULL) > 20000 THEN 'voxels' ELSE 'points' END AS status, CASE WHEN count(*) FILTER (reason IS NULL) > 20000 THEN any_value(o) END AS \"order\" FROM {_SELECTED}, (SELECT {_ORDER} AS o) WHERE cell % 2 = 0")
 def q_sky_depth(spark, sf_dir):
     """What is known in half of the order-2 cells, and how it can be shown."""
     cells = spark.range(0, hpx.cells(2), 2).withColumnRenamed("id", "ipix")
