@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe_codec, decontaminate, html_extract, license_scan, near_dedup, pii, quality_rules, substring_dedup, token_count, url_filter
+from skyweave.llm import bpe_codec, decontaminate, exact_dedup, fill_in_middle, html_extract, license_scan, near_dedup, pii, quality_rules, ranked_search, substring_dedup, token_count, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {
+        "op1_license_scan": license_scan.ORACLE_SQL,
+        "op4_quality_rules": quality_rules.ORACLE_SQL,
+        "op6_near_dedup": near_dedup.ORACLE_SQL,
+        "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op11_ranked_search": ranked_search.ORACLE_SQL,
+        "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
