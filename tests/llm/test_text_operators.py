@@ -37,7 +37,7 @@ def test_license_blocks_and_phrases(spark):
     got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
     assert [r.labels for r in got] == ["mit", "cc-by,reserved", "", ""]
     assert (got[1].n_base, got[1].first_word, got[1].last_word) == (3, 0, 5)
-    assert [(m.block, m.containment) for m in got[0].matches] == [(0, 1.0)]
+    assert [(m.word, m.containment) for m in got[0].matches] == [(0, 1.0)]
 
 
 def _judge(text, items):
@@ -95,7 +95,30 @@ def test_license_notices_wrapped_over_lines(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
     texts = [mit, " * X\n *\n * " + mit.replace("\n", "\n * ") + "\n *\n", "# " + bsd.replace("\n", "\n# "), mit.replace("\n", "\n\n"), mit.replace("\n", " ") + "\nother", ""]
     rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [(r.labels, [m.block for m in r.matches]) for r in rows] == [("mit", [-1]), ("mit", [-2]), ("bsd", [-1]), ("", []), ("mit", [0]), ("", [])]
+    assert [(r.labels, [m.word for m in r.matches]) for r in rows] == [("mit", [0]), ("mit", [1]), ("bsd", [0]), ("mit", [0]), ("mit", [0]), ("", [])]
+
+
+def test_license_words_in_prose_are_no_notice(spark):
+    german = "Wir fahren mit dem Zug under the bridge, sagt der Text, und eine License liegt bei; " + "viele Worte stehen hier und da " * 9 + "bis er released wird"
+    cases = {
+        "Released under the Apache License": "",
+        "Licensed under the GNU General Public License version 2.0": "gpl",
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-SA 4.0": "cc-by",
+        "the license was released under protest": "",
+        german: "",
+        german.replace(", ", "\n"): "",
+        "Released under the " + "very " * 6 + "MIT License": "",
+        "Released under the plain old MIT License": "mit",
+        "# Licensed under the Apache\n# License, Version\n# 2.0": "apache-2.0",
+        "to the terms of the Eclipse Public License, v. 2.0: This Source Code Form is subject": "",
+        "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl-2.0",
+        ("x " * 5000 + "Released under the MIT License\n") * 3: "mit",
+    }
+    texts = list(cases)
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == list(cases.values())
+    assert [m.word for m in rows[-1].matches] == [5000, 10005, 15010]
 
 
 def test_pii_links_validates_and_inverts(spark):
