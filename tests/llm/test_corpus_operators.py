@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -206,6 +207,33 @@ def test_html_doubtful_names(spark):
     assert html_extract.main_text("<p>one<br>two<br/>three<wbr>four</p>five") == "one two threefour\n\nfive"
 
 
+@pytest.mark.parametrize("piece", ["<b>x</i>", '<div class="ad">x', "<div class=comments><h1>x</h1>", '<div class="widget">x', "<h1>x", "<table><td>x", "<!--", "<a ", "<a b='", "<svg><![CDATA[", "<?x", "<![", "</a ", "<article><main>x"])
+def test_html_takes_linear_time(piece):
+    def took(n):
+        began = time.process_time()
+        html_extract.main_text(piece * n)
+        return time.process_time() - began
+
+    took(100)
+    assert min(took(20_000) for _ in range(2)) <= 5 * max(took(5000), 0.05)
+
+
+def test_html_keeps_the_parts_of_an_article():
+    prose = lambda w: "".join(f"<p>{w} {k} of the article says a number of things at some length.</p>" for k in range(5))
+    heads = lambda h: [x for x in html_extract.main_text(h).split("\n\n") if "says a number" not in x]
+    body = f"<h1>T</h1>{prose('P')}"
+    assert heads(f"<article><header><h1>Title</h1><h2>Sub</h2><p>by me</p></header>{prose('P')}</article>") == ["Title", "Sub"]
+    page = f'<article>{body}<section id="share-prices"><h2>Shares</h2>{prose("S")}</section><section id="notice"><h2>Notice</h2>{prose("N")}</section></article>'
+    assert heads(page) == ["T", "Shares", "Notice"] and html_extract.main_text(page).count("says a number") == 15
+    assert heads(f'<article>{body}<h2 id="social-history">History</h2><h2 id="comments">On comments</h2>{prose("S")}</article>') == ["T", "History", "On comments"]
+    own = '<p class="comment-on-law">The comment on the law stands by itself.</p><div class="widget"><p>The widget has an article paragraph.</p></div>'
+    assert heads(f"<article>{body}{own}</article>") == ["T", "The comment on the law stands by itself.", "The widget has an article paragraph."]
+    page = f"""<body><header><a href=/>Home</a><h1>Site</h1></header><div id=content><div class="page-header"><h1>T</h1></div>{prose('P')}<section id="share-prices"><h2>Shares</h2>{prose('S')}</section></div>
+        <section id=comments>{prose('Reader')}</section><div class="ad-slot-3">{prose('Buy')}</div><aside>{prose('Beside')}</aside><div class="cookie-banner">We use cookies.</div><footer>f</footer>"""
+    assert heads(page) == ["T", "Shares"]
+    assert not any(w in html_extract.main_text(page) for w in ("Reader", "Buy", "Beside", "cookies"))
+
+
 def test_html_edges(spark):
     page = "<article><h1>T</h1>" + "<p>Long prose stands here, in a paragraph.</p>" * 20_000 + "</article>"
     rows = [(1, None, 3), (2, "", 4), (3, page, 5), (4, "<p>x</p>", 6), (4, "<p>x</p>", 6), (None, "a &amp; b", None)]
