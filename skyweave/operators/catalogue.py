@@ -28,9 +28,11 @@ STEPS = {
     "nested-healpix": ("input", "validate", "union", "outputs", "evidence"),
     "native-moc": ("input", "validate", "project", "union", "outputs", "evidence"),
 }
-#: Hosts that no public url may name.
-PRIVATE_HOST = r"(?i)^(localhost|127(\.|$)|0(\.|$)|10(\.|$)|192\.168(\.|$)|169\.254(\.|$)|172\.(1[6-9]|2\d|3[0-1])(\.|$)|\[?::1\]?$)"
-INTERNAL_HOST = r"(?i)(\.local$|\.internal$|\.svc(\.|$)|\.cluster\.local$|(^|[-.])(minio|elasticsearch|kubernetes)([-.]|$))"
+#: Address blocks that aren't public, by their first octets; ends and parts of internal names; the one
+#: archive whose ftp paths are public.
+PRIVATE = ((0,), (10,), (127,), (169, 254), (192, 168), *((172, k) for k in range(16, 32)))
+INTERNAL_ENDS, INTERNAL_PARTS, INTERNAL_LABEL = ("local", "internal"), ("elasticsearch", "kubernetes", "minio"), "svc"
+FTP_HOST, FTP_PATHS = "archive.noao.edu", ("/public/hlsp/decals/dr1/coadd/", "/public/hlsp/decals/dr2/coadd/")
 
 
 def modality(c: Column) -> Column:
@@ -69,13 +71,38 @@ def warehouse_layers(layers: DataFrame, allowed: DataFrame | None = None, names:
     return out if allowed is None else out.join(allowed.select("layer_id").distinct(), "layer_id", "left_semi")
 
 
+def _public_host(host: Column) -> Column:
+    """Whether a lower-case host is neither a private address nor an internal name."""
+    labels = F.split(host, r"\.")
+    octet = lambda k: F.get(labels, F.lit(k)).try_cast("int")
+    private = host == "localhost"
+    for block in PRIVATE:
+        same = F.lit(True)
+        for k, value in enumerate(block):
+            same = same & F.coalesce(octet(k) == value, F.lit(False))
+        private = private | same
+    loopback = host.startswith("[") & (F.translate(host, "[]:0", "") == "1") & F.rtrim(F.translate(host, "]", " ")).endswith("1")
+    named = F.size(labels) > 1
+    ends = named & F.element_at(labels, -1).isin(*INTERNAL_ENDS)
+    inner = F.array_contains(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))), INTERNAL_LABEL)
+    parts = F.arrays_overlap(F.split(host, "[-.]"), F.array(*[F.lit(w) for w in INTERNAL_PARTS]))
+    return ~(private | loopback | ends | inner | parts)
+
+
 def public_url(url: Column) -> Column:
-    """http(s) urls without credentials whose host is neither private nor internal; others null."""
+    """http(s) urls without credentials whose host is neither private nor internal, and the trusted archive's ftp paths; others null."""
     trimmed = F.trim(url)
-    host = F.lower(F.regexp_extract(trimmed, r"(?i)^https?://([^/?#]*)", 1))
-    bare = F.regexp_replace(host, r":\d*$", "")
-    fits = trimmed.rlike(r"(?i)^https?://[^/?#]+") & ~F.contains(host, F.lit("@")) & ~bare.rlike(PRIVATE_HOST) & ~bare.rlike(INTERNAL_HOST)
-    return F.when(fits, trimmed)
+    scheme = F.lower(F.substring_index(trimmed, "://", 1))
+    rest = F.when(F.contains(trimmed, F.lit("://")), F.substring(trimmed, F.length(scheme) + 4, F.length(trimmed)))
+    authority = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
+    path = F.substring(rest, F.length(authority) + 1, F.length(rest))
+    port = F.regexp_extract(authority, r":(\d*)$", 1)
+    host = F.regexp_replace(authority, r":\d*$", "")
+    sound = (host != "") & ~F.contains(authority, F.lit("@"))
+    web = scheme.isin("http", "https") & _public_host(host)
+    below = path.startswith(FTP_PATHS[0]) | path.startswith(FTP_PATHS[1])
+    archive = (scheme == "ftp") & (host == FTP_HOST) & port.isin("", "21") & ~path.rlike("[?#]") & below
+    return F.when(sound & (web | archive), trimmed)
 
 
 def locator(url: Column) -> Column:

@@ -626,9 +626,13 @@ def q_hydrate(spark, sf_dir):
 
 @query("q_reverse_batched", f"SELECT file_id, min(ipix % 4) AS batch FROM {REQUESTED} GROUP BY file_id")
 def q_reverse_batched(spark, sf_dir):
-    """Batches of the request in turn; a file is emitted by the first batch that finds it."""
+    """Batches of the request in turn, continued as often as a turn's keys ask for; a file is emitted by the first batch that finds it."""
     edges, request = view(spark, sf_dir, "edges"), view(spark, sf_dir, "request")
-    return snapshots.in_batches(lambda cells: evidence.requested(edges, cells, 4).select("file_id").distinct(), [request.where(F.col("cell") % 4 == k) for k in range(4)], "file_id")
+    find = lambda cells: evidence.requested(edges, cells, 4).select("file_id").distinct()
+    batches, found, at = [request.where(F.col("cell") % 4 == k) for k in range(4)], None, 0
+    while at is not None:
+        found, at = snapshots.in_batches(find, batches, "file_id", found, at)
+    return found
 
 
 @query("q_path_healpix", f"SELECT 'https://archive.example/' || CAST(CASE WHEN k % 50 = 7 THEN k ELSE k // 100 END AS VARCHAR) || '/' || CAST(k AS VARCHAR) || '.fits' AS url, CASE WHEN k % 50 = 7 THEN k ELSE k // 100 END AS grp, k AS pixel, CASE WHEN k % 50 = 7 AND k <> k // 100 THEN 'group' WHEN k % 40 = 0 AND k > 0 THEN 'repeated' END AS fault FROM (SELECT CASE WHEN s_suppkey % 40 = 39 THEN s_suppkey + 1 ELSE s_suppkey END AS k FROM supplier) WHERE k <> (SELECT max(s_suppkey) FROM supplier) + 1")

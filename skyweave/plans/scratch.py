@@ -42,6 +42,24 @@ def discard(*tables: DataFrame) -> None:
             system.delete(where, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    system, where = _place(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _place(spark, path)
+    system.delete(where, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a path to a name that is free, in one step; another's path there is an error."""
+    system, where = _place(spark, old)
+    if system.exists(_place(spark, new)[1]) or not system.rename(where, _place(spark, new)[1]):
+        raise FileExistsError(new)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, where = _place(spark, path)
     return system.exists(where)

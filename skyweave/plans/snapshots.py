@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.plans.scratch import exists, materialize, shared_dir, size_of
+from skyweave.plans.scratch import delete, exists, materialize, rename, shared_dir, size_of
 
 #: Batches of one request, keys remembered between batches, and rows of a snapshot.
 BATCHES, SEEN, MOST_BYTES = 32, 100_000, 64 << 20
@@ -21,14 +22,24 @@ def freeze(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def keyed(rows: DataFrame, identity: dict, order: list[str], most: int = MOST_BYTES) -> DataFrame:
-    """As freeze(), under the digest of what the answer is of: asked again, the first answer is read. Over `most` bytes it is an error."""
+    """As freeze(), under the digest of what the answer is of: asked again, the first answer is read.
+
+    An answer is written aside and renamed once it fits; one of more than `most` bytes is an error, each time it is asked
+    for, and leaves nothing. Of two callers at once the first to rename gives the answer of both.
+    """
     spark = rows.sparkSession
     name = hashlib.sha256(json.dumps(identity, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     path = f"{shared_dir(spark)}/snapshot-{name}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        rows.orderBy(*order).write.mode("overwrite").parquet(path)
-        if (n := size_of(spark, path)) > most:
+    if not exists(spark, path):
+        aside = f"{path}-{uuid.uuid4().hex}"
+        rows.orderBy(*order).write.parquet(aside)
+        if (n := size_of(spark, aside)) > most:
+            delete(spark, aside)
             raise ValueError(f"{n} bytes exceed the {most} of a snapshot")
+        try:
+            rename(spark, aside, path)
+        except FileExistsError:
+            delete(spark, aside)
     return spark.read.schema(rows.schema).parquet(path).withColumn("__order", F.struct(*order))
 
 
@@ -38,16 +49,21 @@ def page(frozen: DataFrame, offset: int, size: int, scope: Column | None = None)
     return rows.orderBy("__order").offset(offset).limit(size).drop("__order")
 
 
-def in_batches(find: Callable[[DataFrame], DataFrame], batches: Iterable[DataFrame], key: str, most: int = SEEN) -> DataFrame:
-    """(key, batch): what `find` gives for each batch, less the keys of earlier ones; more than `most` keys are an error."""
-    seen = None
-    for k, cells in enumerate(batches):
-        if k >= BATCHES:
-            raise ValueError(f"more than {BATCHES} batches")
-        found = find(cells).select(key).distinct()
-        new = found if seen is None else found.join(seen, key, "left_anti")
-        new = new.withColumn("batch", F.lit(k).cast("long"))
-        seen = materialize(new if seen is None else seen.unionByName(new), "seen")
-        if (n := seen.count()) > most:
-            raise ValueError(f"{n} keys exceed the budget of {most}")
-    return seen
+def in_batches(find: Callable[[DataFrame], DataFrame], batches: Sequence[DataFrame], key: str, seen: DataFrame | None = None, start: int = 0, most: int = SEEN) -> tuple[DataFrame, int | None]:
+    """((key, batch), next): what `find` gives for each batch from `start` on, less the keys of `seen` and of earlier batches.
+
+    The batch that brings more than `most` new keys ends the turn and is given whole: `next` is then the batch to go on
+    from, with the keys found as `seen`. After the last batch it is None.
+    """
+    if len(batches) > BATCHES:
+        raise ValueError(f"more than {BATCHES} batches")
+    new = 0
+    for k in range(start, len(batches)):
+        found = find(batches[k]).select(key).distinct()
+        found = found if seen is None else found.join(seen.select(key), key, "left_anti")
+        found = materialize(found.withColumn("batch", F.lit(k).cast("long")), "batch")
+        seen = found if seen is None else seen.unionByName(found)
+        new += found.count()
+        if new > most and k + 1 < len(batches):
+            return seen, k + 1
+    return seen, None

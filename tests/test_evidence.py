@@ -56,10 +56,15 @@ def test_pages_cover_a_frozen_answer_once(spark):
     pages = [[r.k for r in snapshots.page(frozen, at, 20).orderBy("k").collect()] for at in range(0, 100, 20)]
     assert sum(pages, []) == list(range(97))
     cells = spark.range(10).withColumnRenamed("id", "cell")
-    got = {r.k: r.batch for r in snapshots.in_batches(lambda c: c.select((F.col("cell") % 3).alias("k")), [cells.where("cell < 2"), cells], "k").collect()}
-    assert got == {0: 0, 1: 0, 2: 1}
-    with pytest.raises(ValueError, match="budget"):
-        snapshots.in_batches(lambda c: c.select(F.col("cell").alias("k")), [cells], "k", most=3)
+    find, batches = lambda c: c.select((F.col("cell") % 3).alias("k")), [cells.where("cell < 2"), cells, cells]
+    got, at = snapshots.in_batches(find, batches, "k")
+    assert at is None and {r.k: r.batch for r in got.collect()} == {0: 0, 1: 0, 2: 1}
+    part, at = snapshots.in_batches(find, batches, "k", most=1)
+    assert at == 1 and {r.k: r.batch for r in part.collect()} == {0: 0, 1: 0}
+    rest, at = snapshots.in_batches(find, batches, "k", part, at, most=1)
+    assert at is None and {r.k: r.batch for r in rest.collect()} == {0: 0, 1: 0, 2: 1}
+    with pytest.raises(ValueError, match="more than"):
+        snapshots.in_batches(find, batches * 20, "k")
 
 
 def test_ranges_of_units(spark):
@@ -81,6 +86,16 @@ def test_catalogue_values(spark):
     urls = ["https://a.example/x", "http://127.0.0.1/", "https://u@a.example/", "ftp://a/", None, " http://a.example "]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(catalogue.public_url(F.col("u"))).collect()] == ["https://a.example/x", None, None, None, None, "http://a.example"]
+    cases = {
+        "http://10.1.2.3/": False, "http://010.example/": False, "http://172.15.0.1/": True, "http://172.31.0.1:80/": False, "http://172.32.0.1/": True, "https://192.168.0.9": False, "https://192.169.0.9": True, "https://169.254.1.1/x": False,
+        "http://[::1]/": False, "http://[::1]:8080/x": False, "http://[2001:db8::1]/": True, "http://[::10]/": True, "http://LOCALHOST:1/": False, "http://localhost.example/": True, "http://a.local/": False, "http://local/": True, "http://x.internal:9/": False,
+        "http://a.svc/": False, "http://a.svc.cluster.local/": False, "http://svc.example/": True, "http://my-minio.example/": False, "http://minios.example/": True, "http://kubernetes/": False, "https://a.example:443/p?q=@x": True, "https:///x": False, "x": False, "": False,
+        "ftp://archive.noao.edu/public/hlsp/decals/dr1/coadd/x.fits": True, "ftp://archive.noao.edu:21/public/hlsp/decals/dr2/coadd/x": True, "ftp://archive.noao.edu:22/public/hlsp/decals/dr2/coadd/x": False, "ftp://archive.noao.edu/public/hlsp/decals/dr3/coadd/x": False,
+        "ftp://archive.noao.edu/public/hlsp/decals/dr1/coadd/x?y": False, "ftp://u@archive.noao.edu/public/hlsp/decals/dr1/coadd/x": False, "ftp://other.example/public/hlsp/decals/dr1/coadd/x": False,
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = {r.u: r.p for r in df.select("u", catalogue.public_url(F.col("u")).alias("p")).collect()}
+    assert got == {u: u if fine else None for u, fine in cases.items()}
     one = spark.createDataFrame([("Ünïted  Ätlas--2!",)], "n string").select(catalogue.slug(F.col("n"))).first()[0]
     assert one == "united-atlas-2"
     with pytest.raises(ValueError, match="single letters"):
@@ -98,8 +113,11 @@ def test_claims_and_canonical_json(spark):
 def test_snapshots_keep_the_first_answer(spark):
     import uuid
 
-    rows, identity = spark.range(10).withColumnRenamed("id", "k"), {"q": uuid.uuid4().hex}
+    rows, identity, over = spark.range(10).withColumnRenamed("id", "k"), {"q": uuid.uuid4().hex}, {"q": uuid.uuid4().hex}
     assert snapshots.keyed(rows, identity, ["k"]).count() == 10
     assert snapshots.keyed(rows.where("k < 3"), identity, ["k"]).count() == 10
     with pytest.raises(ValueError, match="exceed"):
-        snapshots.keyed(rows, {"q": uuid.uuid4().hex}, ["k"], most=1)
+        snapshots.keyed(rows, over, ["k"], most=1)
+    with pytest.raises(ValueError, match="exceed"):  # asked again, it isn't served
+        snapshots.keyed(rows, over, ["k"], most=1)
+    assert snapshots.keyed(rows, over, ["k"]).count() == 10
