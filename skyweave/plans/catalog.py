@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
 from skyweave.operators import depth, geometry, overlap, ranges, region
-from skyweave.plans import indexes, lookups, pages, sources, views  # noqa: F401  (they register queries)
+from skyweave.plans import contracts, indexes, lookups, pages, sources, views  # noqa: F401  (they register queries)
 from skyweave.plans.registry import query
 
 LAYERS = "(SELECT o_orderpriority AS survey_id, o_orderpriority || '/' || c_mktsegment AS layer_id, (o_orderkey * 2654435761) % 3072 AS ipix FROM orders JOIN customer ON o_custkey = c_custkey)"
