@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
+from skyweave.plans.scratch import materialize
 
 #: Cosmology, redshift step and largest redshift of the distance table, and the voxel budget.
 H0, OMEGA_M, STEP, Z_MAX, VOXELS = 67.66, 0.30966, 0.001953125, 2.0, 32_768
@@ -25,12 +27,33 @@ def distance_nodes(step: float = STEP, z_max: float = Z_MAX, h0: float = H0, ome
     return out
 
 
-def comoving(z: Column, nodes: list[float], step: float = STEP) -> Column:
-    """Linear interpolation between nodes; null outside the table (never extrapolated)."""
-    table = F.array(*[F.lit(d) for d in nodes])
-    k = F.least(F.floor(z / step), F.lit(len(nodes) - 2)).cast("int")
-    low, high = F.element_at(table, k + 1), F.element_at(table, k + 2)
-    return F.when((z >= 0) & (z <= step * (len(nodes) - 1)), low + (high - low) * (z / step - k))
+def distance_table(spark: SparkSession, nodes: list[float]) -> DataFrame:
+    """(node, low, high): the distance at each node and at the next, 1,024 rows with the standard nodes."""
+    return spark.createDataFrame(pa.table({"node": pa.array(range(len(nodes) - 1), pa.int32()), "low": nodes[:-1], "high": nodes[1:]}))
+
+
+def with_distance(objects: DataFrame, z: str = "z", nodes: list[float] | None = None, step: float = STEP, error: str | None = None) -> DataFrame:
+    """`objects` with `distance` in Mpc, by linear interpolation between nodes; null outside the table (never extrapolated).
+
+    With `error`, the column of the redshift's error, also `distance_error`: half of the distance from z - error to
+    z + error, null unless both ends lie inside the table and the error isn't negative.
+    """
+    nodes = distance_nodes() if nodes is None else nodes
+    table, last = F.broadcast(distance_table(objects.sparkSession, nodes)), len(nodes) - 1
+
+    def placed(df: DataFrame, at: Column, name: str) -> DataFrame:
+        inside = (at >= 0) & (at <= step * last)
+        out = df.withColumn("__node", F.when(inside, F.least(F.floor(at / step), F.lit(last - 1)).cast("int")))
+        out = out.join(table, out["__node"] == table["node"], "left")
+        return out.withColumn(name, F.col("low") + (F.col("high") - F.col("low")) * (at / step - F.col("__node"))).drop("__node", "node", "low", "high")
+
+    out = placed(objects, F.col(z), "distance")
+    if error is not None:
+        sound = F.col(error) >= 0
+        out = placed(out, F.when(sound, F.col(z) - F.col(error)), "__near")
+        out = placed(out, F.when(sound, F.col(z) + F.col(error)), "__far")
+        out = out.withColumn("distance_error", (F.col("__far") - F.col("__near")) / 2).drop("__near", "__far")
+    return out
 
 
 def reject_reason(min_z: float = 0.001, max_z: float = Z_MAX) -> Column:
@@ -51,17 +74,31 @@ def one_of_each(objects: DataFrame, key: str, *same: str) -> DataFrame:
     return grouped.where("lo = hi").select(key, "r.*")
 
 
-def voxels(points: DataFrame, order: int, bins: int = 64, value: str = "distance") -> DataFrame:
+def _ends(points: DataFrame, value: str) -> tuple[float | None, float | None]:
+    r = points.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    return r.lo, r.hi
+
+
+def voxels(points: DataFrame, order: int, bins: int = 64, value: str = "distance", ends: tuple[float | None, float | None] | None = None) -> DataFrame:
     """(pixel, bin, count, radial_min, radial_max, radial_mean) over the range of all points; min and max are the bin's edges."""
-    ends = points.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    placed = points.join(F.broadcast(ends), F.lit(True))
-    width = (F.col("__hi") - F.col("__lo")) / bins
-    share = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1))).otherwise(0)
+    return _shown(_binned(points, order, bins, value, _ends(points, value) if ends is None else ends), order, order)
+
+
+def _binned(points: DataFrame, order: int, bins: int, value: str, ends: tuple[float | None, float | None]) -> DataFrame:
+    """(pixel, bin, count, total, lo, width): the one aggregation over points, at the finest order asked for."""
+    lo, hi = (F.lit(x).cast("double") for x in ends)
+    at = F.when(hi > lo, F.least(F.greatest(F.floor((F.col(value) - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1))).otherwise(0)
     cell = hpx.ang2pix(order, F.col("ra"), F.col("dec"))
-    found = placed.groupBy(cell.alias("pixel"), at.cast("int").alias("bin"), "__lo", width.alias("__width")).agg(F.count("*").alias("count"), F.avg(value).alias("radial_mean"))
-    low = F.col("__lo") + F.col("bin") * F.col("__width")
-    return found.select("pixel", "bin", "count", low.alias("radial_min"), (low + F.col("__width")).alias("radial_max"), "radial_mean")
+    found = points.groupBy(cell.alias("pixel"), at.cast("int").alias("bin")).agg(F.count("*").alias("count"), F.sum(value).alias("total"))
+    return found.withColumns({"lo": lo, "width": (hi - lo) / bins})
+
+
+def _shown(binned: DataFrame, finest: int, order: int) -> DataFrame:
+    """Voxels at `order` from those at a finer one: bins are the same, so counts and sums add up by parent."""
+    if order < finest:
+        binned = binned.groupBy(hpx.parent(F.col("pixel"), finest - order).alias("pixel"), "bin", "lo", "width").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
+    low = F.col("lo") + F.col("bin") * F.col("width")
+    return binned.select("pixel", "bin", "count", low.alias("radial_min"), (low + F.col("width")).alias("radial_max"), (F.col("total") / F.col("count")).alias("radial_mean"))
 
 
 def extents(points: DataFrame, order: int, value: str = "distance") -> DataFrame:
@@ -74,13 +111,24 @@ def densest(points: DataFrame, order: int = 4) -> DataFrame:
     return points.groupBy(hpx.ang2pix(order, F.col("ra"), F.col("dec")).alias("pixel")).count().orderBy(F.desc("count"), "pixel").limit(1)
 
 
-def adaptive_order(points: DataFrame, selection_order: int, budget: int = VOXELS, bins: int = 64) -> int | None:
-    """The finest of selection order + 4, + 2, + 0 (none beyond the finest order) whose voxels fit the budget; None if none does."""
-    orders = dict.fromkeys(min(hpx.MAX_ORDER, selection_order + more) for more in (4, 2, 0))
+def adaptive_voxels(points: DataFrame, selection_order: int, budget: int = VOXELS, bins: int = 64, value: str = "distance", ends: tuple[float | None, float | None] | None = None) -> tuple[int | None, DataFrame | None]:
+    """(order, voxels) of the finest of selection order + 4, + 2, + 0 (none beyond the finest order) whose voxels fit the budget; None if none does.
+
+    Points are read once: their voxels at the finest order are written, and the coarser orders' are counted from them.
+    """
+    orders = list(dict.fromkeys(min(hpx.MAX_ORDER, selection_order + more) for more in (4, 2, 0)))
+    fine = materialize(_binned(points, orders[0], bins, value, _ends(points, value) if ends is None else ends), "voxels")
+    many = [F.count_distinct(hpx.parent(F.col("pixel"), orders[0] - o), F.col("bin")).alias(f"n{o}") for o in orders[1:]]
+    n = fine.agg(F.count("*").alias(f"n{orders[0]}"), *many).first()
     for order in orders:
-        if voxels(points, order, bins).limit(budget + 1).count() <= budget:
-            return order
-    return None
+        if n[f"n{order}"] <= budget:
+            return order, _shown(fine, orders[0], order)
+    return None, None
+
+
+def adaptive_order(points: DataFrame, selection_order: int, budget: int = VOXELS, bins: int = 64) -> int | None:
+    """The order that adaptive_voxels() chooses."""
+    return adaptive_voxels(points, selection_order, budget, bins)[0]
 
 
 #: Points shown one by one, and bars.
@@ -94,13 +142,11 @@ def sky_depth(objects: DataFrame, selection_order: int, cells: DataFrame, budget
     voxels (with the order chosen) or over-budget, when no order fits and nothing partial is given.
     """
     here = objects.withColumn("cell", hpx.ang2pix(selection_order, F.col("ra"), F.col("dec"))).join(cells.select(F.col("ipix").alias("cell")).distinct(), "cell", "left_semi")
-    judged = here.withColumn("reason", reject_reason()).withColumn("distance", F.when(F.col("reason").isNull(), comoving(F.col("z"), distance_nodes())))
-    n = judged.agg(F.count("*").alias("objects"), F.count(F.when(F.col("z").isNotNull(), 1)).alias("with_redshift"), F.count("distance").alias("with_distance")).first()
-    points = judged.where("distance is not null")
+    judged = with_distance(here.withColumn("reason", reject_reason()).withColumn("__z", F.when(F.col("reason").isNull(), F.col("z"))), "__z").drop("__z")
+    n = judged.agg(F.count("*").alias("objects"), F.count("z").alias("with_redshift"), F.count("distance").alias("with_distance"), F.min("distance").alias("lo"), F.max("distance").alias("hi")).first()
     order, found = None, None
     if n.with_distance > POINTS:
-        order = adaptive_order(points, selection_order, budget)
-        found = voxels(points, order) if order is not None else None
+        order, found = adaptive_voxels(judged.where("distance is not null"), selection_order, budget, ends=(n.lo, n.hi))
     status = "empty" if not n.with_distance else "points" if n.with_distance <= POINTS else "voxels" if order is not None else "over-budget"
     row = objects.sparkSession.createDataFrame([(n.objects, n.with_redshift, n.with_distance, status, order)], "objects long, with_redshift long, with_distance long, status string, order int")
     return row, found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 from skyweave.functions import hpx
 from skyweave.operators import ranges
 from skyweave.operators.evidence import PRECISION
-from skyweave.plans.scratch import materialize
+from skyweave.plans.scratch import discard, materialize
 
 #: Fixed value: cells of one overlap answer.
 BUDGET = 32_768
+#: Cells labelled in one block, if there are no more; and bits of a cell's place in a block of six orders.
+ALONE, BLOCK_BITS = 100_000, 12
 
 
 def shared_cells(cells: DataFrame, surveys: list[str] | None = None, survey: str = "survey_id") -> DataFrame:
@@ -33,30 +37,85 @@ def common_order(layer_orders: DataFrame, surveys: int) -> DataFrame:
     return full.groupBy("order").agg(F.count_distinct("survey_id").alias("s")).where(F.col("s") == surveys).agg(F.max("order").alias("order"))
 
 
-def regions(cells: DataFrame, order: int, budget: int | None = BUDGET) -> DataFrame:
+def regions(cells: DataFrame, order: int, budget: int | None = None) -> DataFrame:
     """(ipix, component, region): cells joined through their sides; regions C01, C02, ... by smallest cell.
 
-    Labels pass to neighbours and then jump to the label's own label, so rounds grow with the logarithm of a region's
-    diameter. Every round is written to the shared folder. Above `budget` cells it is an error, as an answer of that size
-    is not asked for; None lifts that.
+    Cells are labelled inside blocks first, then only the labels that meet across a block's edge are joined, inside ever
+    larger blocks: the number of passes depends on the order alone (one pass for what ALONE cells fit, at most six), and
+    no task gets more than a block's cells or the labels on its inner edges. Above `budget` cells it is an error.
     """
-    base = cells.select(F.col("ipix").cast("long").alias("ipix")).distinct()
-    if budget is not None and (n := base.count()) > budget:
+    base = materialize(cells.select(F.col("ipix").cast("long").alias("ipix")).distinct(), "cells")
+    n = base.count()
+    if budget is not None and n > budget:
         raise ValueError(f"{n} cells exceed the budget of {budget}")
-    sides = base.select("ipix", F.explode(hpx.neighbours4(order, F.col("ipix"))).alias("beside"))
-    edges = materialize(sides.join(base.select(F.col("ipix").alias("beside")), "beside", "left_semi"), "sides")
-    labels = materialize(base.withColumn("label", F.col("ipix")), "labels")
+    whole = 2 * order + 4  # bits of all cells
+    bits = whole if n <= ALONE else min(BLOCK_BITS, whole)
+    beside = F.filter(hpx.neighbours4(order, F.col("ipix")), lambda x: x.isNotNull())
+    near = base.withColumn("beside", beside)
+    labels = near.groupBy(F.shiftright("ipix", bits).alias("block")).applyInArrow(_label_cells, "ipix long, component long")
+    if bits >= whole:
+        return _named(labels)
+    labels = materialize(labels, "labels")
+    block = lambda c, b: F.shiftright(c, b)
+    over = near.select("ipix", F.explode("beside").alias("other")).where((F.col("other") < F.col("ipix")) & (block("other", bits) != block("ipix", bits)))
+    ends = over.join(labels.select("ipix", F.col("component").alias("a")), "ipix").join(labels.select(F.col("ipix").alias("other"), F.col("component").alias("b")), "other")
+    edges = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    while not edges.isEmpty():
+        bits = min(bits + BLOCK_BITS, whole)
+        # A label is its smallest cell, so it lies in its block; labels of one block are joined there.
+        inside = edges.where(block("a", bits) == block("b", bits))
+        roots = materialize(inside.groupBy(block(F.col("a"), bits).alias("block")).applyInArrow(_join_labels, "label long, root long"), "roots")
+        up = lambda df, c, roots=roots: df.join(roots.withColumnRenamed("label", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        left = up(up(edges.where(block("a", bits) != block("b", bits)), "a"), "b")
+        after = materialize(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        joined = materialize(up(labels, "component").select("ipix", "component"), "labels")
+        discard(edges, labels, roots)
+        edges, labels = after, joined
+    return _named(labels)
+
+
+def _named(labels: DataFrame) -> DataFrame:
+    """Labelled cells with their region's name, by the place of its smallest cell."""
+    heads = ranges.numbered(labels.where("ipix = component").select("component"), "component")
+    return labels.join(heads.select("component", F.format_string("C%02d", F.col("number") + 1).alias("region")), "component").select("ipix", "component", "region")
+
+
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places is joined with, through pairs of places."""
+    label = np.arange(n)
     while True:
-        near = edges.join(labels.select(F.col("ipix").alias("beside"), F.col("label").alias("other")), "beside").groupBy("ipix").agg(F.min("other").alias("other"))
-        least = labels.join(near, "ipix", "left").select("ipix", F.col("label").alias("was"), F.least("label", F.coalesce("other", "label")).alias("label"))
-        hop = least.select(F.col("ipix").alias("label"), F.col("label").alias("next"))
-        after = materialize(least.join(hop, "label").select("ipix", "was", F.least("label", "next").alias("label")), "labels")
-        if after.where("was <> label").isEmpty():
-            break
-        labels = after.select("ipix", "label")
-    heads = labels.select(F.col("label").alias("component")).distinct()
-    ranked = heads.withColumn("region", F.format_string("C%02d", F.expr("row_number() over (order by component)")))
-    return labels.withColumnRenamed("label", "component").join(ranked, "component").select("ipix", "component", "region")
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (hop := label[label] != label).any():
+            label[hop] = label[label[hop]]
+
+
+def _label_cells(table: pa.Table) -> pa.Table:
+    """A block's cells (ipix, beside) with the smallest cell that each is joined with inside the block."""
+    table = table.combine_chunks()
+    ipix = table["ipix"].to_numpy()
+    order = np.argsort(ipix)
+    beside = table["beside"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+    other, own = beside.flatten().to_numpy(), np.repeat(np.arange(len(ipix)), beside.value_lengths().to_numpy())
+    sorted_cells = ipix[order]
+    at = np.minimum(np.searchsorted(sorted_cells, other), len(ipix) - 1)
+    known = sorted_cells[at] == other
+    place = np.empty(len(ipix), dtype=np.int64)
+    place[order] = np.arange(len(ipix))
+    label = _smallest(len(ipix), place[own[known]], at[known])
+    return pa.table({"ipix": sorted_cells, "component": sorted_cells[label]})
+
+
+def _join_labels(table: pa.Table) -> pa.Table:
+    """Labels that meet (a, b) with the smallest label that each is joined with."""
+    a, b = table["a"].to_numpy(), table["b"].to_numpy()
+    known, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _smallest(len(known), places[: len(a)], places[len(a) :])
+    return pa.table({"label": known, "root": known[root]})
 
 
 def layers_of(cells: DataFrame, wanted: DataFrame) -> DataFrame:

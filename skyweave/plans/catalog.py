@@ -430,9 +430,22 @@ _NODES = f"(SELECT k + 1 AS k, sum(299792.458e0 / 67.66e0 * 0.001953125e0 / 6 *
 _FAR = f"(SELECT o.*, a.d + (b.d - a.d) * (z / 0.001953125e0 - a.k) AS distance FROM {GOOD} o JOIN {_NODES} a ON a.k = least(CAST(floor(z / 0.001953125e0) AS BIGINT), 1023) JOIN {_NODES} b ON b.k = a.k + 1 WHERE reason IS NULL)"
 
 
-@query("q_comoving", f"SELECT source_row, z, round(distance, 6) AS distance FROM {_FAR}")
+def _at(z: str) -> str:
+    """DuckDB: the distance of a redshift of o, null outside the nodes."""
+    k = f"least(CAST(floor({z} / 0.001953125e0) AS BIGINT), 1023)"
+    return f"(SELECT CASE WHEN {z} >= 0 AND {z} <= 2 THEN a.d + (b.d - a.d) * ({z} / 0.001953125e0 - a.k) END FROM {_NODES} a JOIN {_NODES} b ON b.k = a.k + 1 WHERE a.k = {k})"
+
+
+_ERROR = "(CASE WHEN source_row % 4 = 3 THEN NULL WHEN source_row % 53 = 0 THEN -0.001e0 ELSE source_row % 7 / 100e0 END)"
+
+
+@query("q_comoving", f"SELECT source_row, z, round(distance, 6) AS distance, round(({_at('(z + e)')} - {_at('(z - e)')}) / 2, 6) AS distance_error FROM (SELECT *, CASE WHEN {_ERROR} >= 0 THEN {_ERROR} END AS e FROM {_FAR}) o")
 def q_comoving(spark, sf_dir):
-    return _good(spark, sf_dir).select("source_row", "z", F.round(depth.comoving(F.col("z"), depth.distance_nodes()), 6).alias("distance"))
+    """Distances of accepted redshifts, and their errors where both ends of the redshift's error have a distance."""
+    k = F.col("source_row")
+    error = F.when(k % 4 == 3, F.lit(None)).when(k % 53 == 0, -0.001).otherwise(k % 7 / F.lit(100.0)).cast("double")
+    out = depth.with_distance(_good(spark, sf_dir).withColumn("e", error), error="e")
+    return out.select("source_row", "z", F.round("distance", 6).alias("distance"), F.round("distance_error", 6).alias("distance_error"))
 
 
 _SELECTED = f"(SELECT *, {_pixel(2)} AS cell FROM {GOOD} o WHERE ra < 360)"
@@ -451,14 +464,24 @@ def q_sky_depth(spark, sf_dir):
 @query("q_depth_voxels", f"SELECT {_pixel(4)} AS pixel, least(CAST(floor((distance - lo) / (hi - lo) * 64) AS INTEGER), 63) AS bin, count(*) AS count, round(any_value(lo + least(floor((distance - lo) / (hi - lo) * 64), 63) * (hi - lo) / 64), 4) AS radial_min, round(avg(distance), 4) AS radial_mean FROM {_FAR} o, (SELECT min(distance) AS lo, max(distance) AS hi FROM {_FAR}) GROUP BY 1, 2")
 def q_depth_voxels(spark, sf_dir):
     """Accepted objects' voxels by distance."""
-    points = _good(spark, sf_dir).withColumn("distance", depth.comoving(F.col("z"), depth.distance_nodes()))
-    return depth.voxels(points, 4).select("pixel", "bin", "count", F.round("radial_min", 4).alias("radial_min"), F.round("radial_mean", 4).alias("radial_mean"))
+    return depth.voxels(depth.with_distance(_good(spark, sf_dir)), 4).select("pixel", "bin", "count", F.round("radial_min", 4).alias("radial_min"), F.round("radial_mean", 4).alias("radial_mean"))
+
+
+def _adaptive(selection: int, budget: int) -> str:
+    """DuckDB: the finest order of selection + 4, + 2, + 0 whose voxels fit."""
+    orders = list(dict.fromkeys(min(hpx.MAX_ORDER, selection + k) for k in (4, 2, 0)))
+    cases = " ".join(f"WHEN count(DISTINCT (p{o}, bin)) <= {budget} THEN {o}" for o in orders)
+    cells = ", ".join(f"{_pixel(o)} AS p{o}" for o in orders)
+    return f"(SELECT {selection} AS selection_order, CASE {cases} END AS \"order\" FROM (SELECT *, least(CAST(floor((distance - lo) / (hi - lo) * 64) AS INTEGER), 63) AS bin FROM (SELECT distance, {cells} FROM {_FAR} o), (SELECT min(distance) AS lo, max(distance) AS hi FROM {_FAR})))"
+
+
+_BUDGETS = ((0, 600), (1, 3000), (2, 32_768), (3, 600), (12, 600))
 
 
-@query("agg_adaptive_order")
+@query("agg_adaptive_order", " UNION ALL ".join(f"SELECT selection_order, CAST({budget} AS INTEGER) AS budget, CAST(\"order\" AS INTEGER) AS \"order\" FROM {_adaptive(o, budget)}" for o, budget in _BUDGETS))
 def agg_adaptive_order(spark, sf_dir):
-    points = _good(spark, sf_dir).withColumn("distance", depth.comoving(F.col("z"), depth.distance_nodes()))
-    return spark.createDataFrame([(o, depth.adaptive_order(points, o, budget=600)) for o in (0, 3, 12)], "selection_order int, order int")
+    points = depth.with_distance(_good(spark, sf_dir)).select("ra", "dec", "distance")
+    return spark.createDataFrame([(o, budget, depth.adaptive_order(points, o, budget)) for o, budget in _BUDGETS], "selection_order int, budget int, order int")
 
 
 def _discs(spark, sf_dir):

@@ -86,6 +86,50 @@ def test_regions_against_flood_fill(spark):
     assert got == want
 
 
+def _joined(pairs, cells):
+    """Each cell's smallest joined cell, by union-find."""
+    head = {c: c for c in cells}
+
+    def find(c):
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    for a, b in pairs:
+        if a in head and b in head:
+            x, y = sorted((find(a), find(b)))
+            head[y] = x
+    return {c: find(c) for c in cells}
+
+
+@pytest.mark.parametrize("alone,bits", [(100_000, 12), (0, 12), (0, 4), (0, 2)])
+def test_regions_by_blocks_of_any_size(spark, monkeypatch, alone, bits):
+    monkeypatch.setattr(overlap, "ALONE", alone)
+    monkeypatch.setattr(overlap, "BLOCK_BITS", bits)
+    rnd = random.Random(bits)
+    beside = spark.range(12 * 4**5).select("id", F.explode(hpx.neighbours4(5, F.col("id"))).alias("n")).where("n is not null").toPandas()
+    for share in (0.45, 0.62, 0.9) if alone else (0.62,):
+        cells = {c for c in range(12 * 4**5) if rnd.random() < share}
+        got = overlap.regions(spark.createDataFrame([(c,) for c in cells], "ipix long"), 5).collect()
+        want = _joined(zip(beside["id"].tolist(), beside["n"].tolist(), strict=True), cells)
+        assert {r.ipix: r.component for r in got} == want
+        names = {c: f"C{k + 1:02d}" for k, c in enumerate(sorted(set(want.values())))}
+        assert all(r.region == names[r.component] for r in got)
+    assert overlap.regions(spark.createDataFrame([], "ipix long"), 5).collect() == []
+
+
+def test_regions_of_many_cells_take_few_jobs(spark):
+    """200,000 cells of order 9, a winding band across the sky: more than one block holds, in a number of jobs that doesn't grow."""
+    cells = spark.range(hpx.cells(9)).select(F.col("id").alias("ipix"), hpx.pix2ang(9, F.col("id")).alias("c")).where("abs(c.dec - 40 * sin(radians(c.ra * 7))) < 4.2").select("ipix")
+    spark.sparkContext.setJobGroup("regions", "regions")
+    found = overlap.regions(cells, 9)
+    n, heads = found.count(), found.select("region").distinct().count()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("regions"))
+    spark.sparkContext.setJobGroup("", "")
+    assert n > 190_000 and heads == 1 and jobs <= 30, (n, heads, jobs)
+
+
 def test_strict_overlap_grows_beyond_the_view(spark):
     line = [k for k in range(256, 320)]
     rows = [(s, 6, c) for s in ("a", "b") for c in line + [5000]] + [("a", 5, 900)]

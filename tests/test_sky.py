@@ -94,7 +94,7 @@ def test_depth(spark):
     nodes = depth.distance_nodes()
     assert len(nodes) == 1025 and nodes[0] == 0.0 and abs(nodes[512] - 3395.6) < 15
     z = spark.createDataFrame([(0.0,), (depth.STEP * 1.5,), (2.0,), (2.01,), (-0.1,), (None,)], "z double")
-    got = [r[0] for r in z.select(depth.comoving(F.col("z"), nodes)).collect()]
+    got = [r[0] for r in depth.with_distance(z, nodes=nodes).select("distance").collect()]
     assert got[0] == 0.0 and abs(got[1] - (nodes[1] + nodes[2]) / 2) < 1e-9 and got[2] == nodes[-1] and got[3:] == [None] * 3
     points = spark.createDataFrame([(float(k % 360), 10.0, float(k)) for k in range(400)], "ra double, dec double, distance double")
     for order in (2, 4):
