@@ -10,6 +10,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.functions import hpx
+
 PRODUCT = ["survey_id", "release_id", "product_id"]
 #: Modality synonyms, denied surveys, excluded layer ids and prefixes.
 SYNONYMS = {"image": "imaging", "spectrum": "spectroscopy", "spectra": "spectroscopy"}
@@ -73,14 +75,16 @@ def warehouse_layers(layers: DataFrame, allowed: DataFrame | None = None, names:
 
 def _public_host(host: Column) -> Column:
     """Whether a lower-case host is neither a private address nor an internal name."""
-    labels = F.split(host, r"\.")
-    octet = lambda k: F.get(labels, F.lit(k)).try_cast("int")
-    private = host == "localhost"
-    for block in PRIVATE:
-        same = F.lit(True)
-        for k, value in enumerate(block):
-            same = same & F.coalesce(octet(k) == value, F.lit(False))
-        private = private | same
+    return hpx.once(F.struct(host.alias("name"), F.split(host, r"\.").alias("labels")), lambda x: _public_name(x["name"], x["labels"]))
+
+
+def _public_name(host: Column, labels: Column) -> Column:
+    first, second = F.get(labels, F.lit(0)), F.coalesce(F.get(labels, F.lit(1)), F.lit(""))
+    octets = {str(a): sorted({str(b) for x, *rest in PRIVATE if x == a for b in rest}) for a, *_ in PRIVATE}
+    wide, narrow = [a for a, b in octets.items() if not b], {a: b for a, b in octets.items() if b}
+    private = (host == "localhost") | first.isin(wide)
+    for a, b in narrow.items():
+        private = private | ((first == a) & second.isin(b))
     loopback = host.startswith("[") & (F.translate(host, "[]:0", "") == "1") & F.rtrim(F.translate(host, "]", " ")).endswith("1")
     named = F.size(labels) > 1
     ends = named & F.element_at(labels, -1).isin(*INTERNAL_ENDS)
@@ -91,18 +95,18 @@ def _public_host(host: Column) -> Column:
 
 def public_url(url: Column) -> Column:
     """http(s) urls without credentials whose host is neither private nor internal, and the trusted archive's ftp paths; others null."""
-    trimmed = F.trim(url)
-    scheme = F.lower(F.substring_index(trimmed, "://", 1))
-    rest = F.when(F.contains(trimmed, F.lit("://")), F.substring(trimmed, F.length(scheme) + 4, F.length(trimmed)))
-    authority = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
-    path = F.substring(rest, F.length(authority) + 1, F.length(rest))
-    port = F.regexp_extract(authority, r":(\d*)$", 1)
-    host = F.regexp_replace(authority, r":\d*$", "")
-    sound = (host != "") & ~F.contains(authority, F.lit("@"))
-    web = scheme.isin("http", "https") & _public_host(host)
-    below = path.startswith(FTP_PATHS[0]) | path.startswith(FTP_PATHS[1])
-    archive = (scheme == "ftp") & (host == FTP_HOST) & port.isin("", "21") & ~path.rlike("[?#]") & below
-    return F.when(sound & (web | archive), trimmed)
+    parts = lambda u: F.struct(u.alias("url"), F.lower(F.regexp_extract(u, r"(?s)^(.*?)://([^/?#]*)(.*)$", 1)).alias("scheme"), F.lower(F.regexp_extract(u, r"(?s)^(.*?)://([^/?#]*)(.*)$", 2)).alias("authority"), F.regexp_extract(u, r"(?s)^(.*?)://([^/?#]*)(.*)$", 3).alias("path"))
+    return hpx.once(F.trim(url), lambda u: hpx.once(parts(u), _judged_url))
+
+
+def _judged_url(x: Column) -> Column:
+    port = F.regexp_extract(x["authority"], r":(\d*)$", 1)
+    host = F.regexp_replace(x["authority"], r":\d*$", "")
+    sound = (host != "") & ~F.contains(x["authority"], F.lit("@"))
+    web = x["scheme"].isin("http", "https") & _public_host(host)
+    below = x["path"].startswith(FTP_PATHS[0]) | x["path"].startswith(FTP_PATHS[1])
+    archive = (x["scheme"] == "ftp") & (host == FTP_HOST) & port.isin("", "21") & ~x["path"].rlike("[?#]") & below
+    return F.when(sound & (web | archive), x["url"])
 
 
 def locator(url: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
+from skyweave.operators import ranges
 from skyweave.operators.catalogue import fold_precision, locator, public_url
 
 #: The precision lattice, conservative last; edges of a lookup, and of one file.
@@ -28,17 +29,19 @@ def requested(edges: DataFrame, request: DataFrame, order: int, cell: str = "cel
     coarsest = able.groupBy("layer_id").agg(F.min("ord").alias("ord"))
     at = F.floor(F.col("ipix") / F.pow(F.lit(4.0), F.col("ord") - order)).cast("long")
     kept = able.join(coarsest, ["layer_id", "ord"], "left_semi").withColumns({"source_order": F.col("ord"), "source_ipix": F.col("ipix"), "request_cell": at})
-    hit = kept.join(F.broadcast(request.select(F.col(cell).alias("request_cell")).distinct()) if request.count() <= 100_000 else request.select(F.col(cell).alias("request_cell")).distinct(), "request_cell", "left_semi")
+    hit = kept.join(request.select(F.col(cell).alias("request_cell")).distinct(), "request_cell", "left_semi")
     return hit.withColumns({"ipix": F.col("request_cell"), "ord": F.lit(order)}).drop("request_cell")
 
 
 def with_files(edges: DataFrame, files: DataFrame, versions: DataFrame) -> DataFrame:
     """Edges with their file's metadata: of the version they name if they name one, of the plain file otherwise."""
     facts = ["file_name", "size", "uri"]
-    plain = edges.where("observation_layer_id is null").join(files.select("file_id", *facts, F.lit(True).alias("has_metadata")), "file_id", "left")
-    named = versions.select(F.col("layer_id").alias("observation_layer_id"), "file_id", *facts, F.lit(True).alias("has_metadata"))
-    versioned = edges.where("observation_layer_id is not null").join(named, ["observation_layer_id", "file_id"], "left")
-    return plain.unionByName(versioned).withColumn("has_metadata", F.coalesce("has_metadata", F.lit(False)))
+    plain = files.select(F.col("file_id").alias("__file"), F.struct(*facts).alias("__plain"))
+    named = versions.select(F.col("layer_id").alias("__layer"), F.col("file_id").alias("__named"), F.struct(*facts).alias("__version"))
+    unnamed = F.col("observation_layer_id").isNull()
+    both = edges.join(plain, unnamed & (F.col("file_id") == F.col("__file")), "left").join(named, (F.col("observation_layer_id") == F.col("__layer")) & (F.col("file_id") == F.col("__named")), "left")
+    found = F.when(unnamed, F.col("__plain")).otherwise(F.col("__version"))
+    return both.withColumn("__found", found).select(*edges.columns, *[F.col(f"__found.{c}").alias(c) for c in facts], F.col("__found").isNotNull().alias("has_metadata"))
 
 
 def matches() -> Column:
@@ -51,31 +54,41 @@ def file_groups(edges: DataFrame) -> DataFrame:
     return edges.groupBy("file_id").agg(matches().alias("matches"), F.count("*").alias("edges"))
 
 
+def _agreed() -> list[Column]:
+    """Aggregates over the versions that a file's edges name: whether there are several, what they agree on (null counts as a value), and where they differ."""
+    named = F.col("observation_layer_id").isNotNull()
+    value = lambda c: F.when(named, F.coalesce(F.col(c).cast("string"), F.lit("\0")))
+    same = lambda c: F.min(value(c)) == F.max(value(c))
+    facts = ("file_name", "size", "uri")
+    differ = F.lit(False)
+    for c in facts:
+        differ = differ | ~same(c)
+    own = [F.when(same(c), F.max(F.when(named, F.col(c)))).alias(f"v_{c}") for c in facts]
+    return [(F.min("observation_layer_id") != F.max("observation_layer_id")).alias("several"), *own, (~same("uri")).alias("uri_conflict"), differ.alias("conflict")]
+
+
 def file_conflicts(joined: DataFrame) -> DataFrame:
     """Per file the metadata that all its versions agree on (null counts as a value), else null and a mark.
 
     Files whose versions name different places are not downloadable.
     """
-    agreed = lambda c: F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0")))
     seen = joined.where("observation_layer_id is not null")
-    out = seen.groupBy("file_id").agg(
-        F.count_distinct("observation_layer_id").alias("versions"), *[F.when(agreed(c) == 1, F.max(c)).alias(c) for c in ("file_name", "size")],
-        F.when(agreed("uri") == 1, F.max("uri")).alias("uri"), (agreed("uri") > 1).alias("uri_conflict"), (F.greatest(*[agreed(c) for c in ("file_name", "size", "uri")]) > 1).alias("conflict"), F.bool_and("has_metadata").alias("complete"),
-    )
+    out = seen.groupBy("file_id").agg(F.count_distinct("observation_layer_id").alias("versions"), *_agreed(), F.bool_and("has_metadata").alias("complete"))
+    out = out.select("file_id", "versions", *[F.col(f"v_{c}").alias(c) for c in ("file_name", "size", "uri")], "uri_conflict", "conflict", "complete")
     return out.withColumn("downloadable", public_url(F.col("uri")).isNotNull() & ~F.col("uri_conflict"))
 
 
 def download_plan(edges: DataFrame, files: DataFrame, versions: DataFrame) -> DataFrame:
-    """The files of a lookup: metadata of the first edge (by id), matches, downloadable or not, conflicts and missing metadata."""
+    """The files of a lookup: metadata of the first edge (by id), matches, downloadable or not, conflicts and missing metadata.
+
+    Edges are joined and grouped once; all that is asked of a file is one aggregate.
+    """
     joined = with_files(edges, files, versions)
-    place = locator(F.col("uri"))
-    first = joined.groupBy("file_id").agg(F.min_by(F.struct("file_name", "size", place.alias("uri"), "has_metadata"), "edge_id").alias("f"), matches().alias("matches"), F.bool_and("has_metadata").alias("complete"))
-    conflicts = file_conflicts(joined).select("file_id", "conflict", "uri_conflict", F.col("file_name").alias("n"), F.col("size").alias("z"), "versions")
-    both = first.join(conflicts, "file_id", "left")
-    several = F.coalesce(F.col("versions") > 1, F.lit(False))
+    both = joined.groupBy("file_id").agg(F.min_by(F.struct("file_name", "size", "uri"), "edge_id").alias("f"), matches().alias("matches"), F.bool_and("has_metadata").alias("complete"), *_agreed())
+    several = F.coalesce(F.col("several"), F.lit(False))
     bad_uri = several & F.col("uri_conflict")
     return both.select(
-        "file_id", F.when(several, F.col("n")).otherwise(F.col("f.file_name")).alias("file_name"), F.when(several, F.col("z")).otherwise(F.col("f.size")).alias("size"), F.when(~bad_uri, F.col("f.uri")).alias("uri"),
+        "file_id", F.when(several, F.col("v_file_name")).otherwise(F.col("f.file_name")).alias("file_name"), F.when(several, F.col("v_size")).otherwise(F.col("f.size")).alias("size"), F.when(~bad_uri, locator(F.col("f.uri"))).alias("uri"),
         (public_url(F.col("f.uri")).isNotNull() & ~bad_uri).alias("downloadable"), F.when(F.col("complete"), "complete").otherwise("missing").alias("metadata"), (several & F.col("conflict")).alias("conflict"), "matches",
     )
 
@@ -134,15 +147,15 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 3, "0"), bare(p))).otherwise(p)), "")
 
 
-def interleave(units: DataFrame, survey: str, order: list[Column | str]) -> DataFrame:
-    """`units` with `turn`: rank in the own survey. Ordered by turn and survey, every survey shows before any shows again."""
-    return units.withColumn("turn", F.row_number().over(W.partitionBy(survey).orderBy(*order)).cast("long"))
+def interleave(units: DataFrame, survey: str, key: str) -> DataFrame:
+    """`units` with `turn`: rank by the integer `key` in the own survey. Ordered by turn and survey, every survey shows before any shows again."""
+    return ranges.numbered(units, key, survey, name="turn").withColumn("turn", F.col("turn") + 1)
 
 
 def fair_preview(units: DataFrame, survey: str, key: str, size: int = 6) -> DataFrame:
-    """The first `size` units when surveys take turns."""
-    near = interleave(units, survey, [F.col(key)]).where(F.col("turn") <= size)
-    return near.orderBy("turn", survey, key).limit(size)
+    """The first `size` units when surveys take turns; each task keeps `size` units of a survey and no more."""
+    near = units.withColumn("turn", F.row_number().over(W.partitionBy(survey).orderBy(key))).where(F.col("turn") <= size)
+    return near.withColumn("turn", F.col("turn").cast("long")).orderBy("turn", survey, key).limit(size)
 
 
 def probe(edges: DataFrame, limit: int) -> DataFrame:

@@ -7,9 +7,14 @@ block's edge are stitched, two a block at most.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyweave.functions import hpx
 
@@ -125,10 +130,41 @@ def capped(cells: DataFrame, most: int, *keys: str, coarsest: int = 4) -> DataFr
 
 
 def identity(cells: DataFrame, *keys: str) -> DataFrame:
-    """A digest of each key's coverage that doesn't depend on how its cells are packed."""
+    """A digest of each key's coverage that doesn't depend on how its cells are packed.
+
+    A digest is of all ranges in order, so one task reads a key's; they stream through it a batch at a time, and no row or
+    buffer holds them all.
+    """
     merged = union(to_ranges(cells).select(*keys, "lo", "hi"), *keys)
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi"))), lambda r: F.format_string("[%d,%d]", r["lo"], r["hi"])), ","), F.lit("]"))
-    return merged.groupBy(*keys).agg(F.sha2(text, 256).alias("revision"), F.sum(F.col("hi") - F.col("lo")).alias("cells"))
+    ordered = (merged.repartition(*keys) if keys else merged.coalesce(1)).sortWithinPartitions(*keys, "lo")
+    schema = T.StructType([merged.schema[k] for k in keys] + [T.StructField("revision", T.StringType()), T.StructField("cells", T.LongType())])
+    return ordered.select(*keys, "lo", "hi").mapInArrow(lambda batches: _digests(batches, schema.names), schema)
+
+
+def _digests(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    key, digest, cells, width = None, None, 0, len(names) - 2
+
+    def done() -> pa.RecordBatch:
+        digest.update(b"]")
+        return pa.RecordBatch.from_arrays([*key, pa.array([digest.hexdigest()]), pa.array([cells], pa.int64())], names=names)
+
+    for b in batches:
+        lo, hi = b.column(width).to_pylist(), b.column(width + 1).to_pylist()
+        keys = list(zip(*[b.column(k).to_pylist() for k in range(width)], strict=True)) if width else [()] * len(lo)
+        first = 0
+        while first < len(lo):
+            last = first
+            while last < len(lo) and keys[last] == keys[first]:
+                last += 1
+            own = [b.column(k).slice(first, 1) for k in range(width)]
+            if key is None or [c.to_pylist() for c in own] != [c.to_pylist() for c in key]:
+                if key is not None:
+                    yield done()
+                key, digest, cells, mark = own, hashlib.sha256(b"["), 0, ""
+            digest.update((mark + ",".join(f"[{x},{y}]" for x, y in zip(lo[first:last], hi[first:last], strict=True))).encode())
+            cells, mark, first = cells + sum(hi[first:last]) - sum(lo[first:last]), ",", last
+    if key is not None:
+        yield done()
 
 
 def tree_identity(cells: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
@@ -146,10 +182,14 @@ def is_full_sky(cells: DataFrame, *keys: str) -> DataFrame:
 
 
 def overlapping_cells(cells: DataFrame, *keys: str) -> DataFrame:
-    """Cells that repeat or lie inside another cell of the same key."""
-    ranged = to_ranges(cells)
-    by = W.partitionBy(*keys).orderBy("lo", F.col("hi").desc(), "order").rowsBetween(W.unboundedPreceding, -1)
-    return ranged.withColumn("__before", F.max("hi").over(by)).where("lo < __before").drop("lo", "hi", "__before")
+    """Cells (keys, order, ipix) that repeat or lie inside another cell of the same key, as often as they do: by equal cells, and by a probe of each cell's ancestors."""
+    counted = cells.groupBy(*keys, "order", "ipix").agg(F.count("*").alias("n"))
+    above = counted.where("order > 0").select(*keys, F.col("order").alias("own"), F.col("ipix").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("order") - 1)).alias("order"))
+    probes = above.select(*keys, "own", "cell", "order", F.floor(F.col("cell") / F.pow(F.lit(4.0), F.col("own") - F.col("order"))).cast("long").alias("ipix"))
+    inside = probes.join(counted.select(*keys, "order", "ipix"), [*keys, "order", "ipix"], "left_semi").select(*keys, F.col("own").alias("order"), F.col("cell").alias("ipix")).distinct()
+    both = counted.join(inside.withColumn("inside", F.lit(1)), [*keys, "order", "ipix"], "left")
+    copies = F.col("n") - 1 + F.coalesce("inside", F.lit(0))
+    return both.where(copies > 0).select(*keys, "order", "ipix", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("__k")).drop("__k")
 
 
 def tiles(cells: DataFrame, *keys: str, size: int = 4096) -> DataFrame:
@@ -168,17 +208,17 @@ def tile_ranges(ranges: DataFrame, *keys: str, size: int = 4096) -> DataFrame:
     return union(ranges.select(*keys, F.floor(F.col("lo") / size).alias("lo"), F.ceil(F.col("hi") / size).alias("hi")), *keys)
 
 
-def numbered(rows: DataFrame, key: str, per: int = 4096, name: str = "number") -> DataFrame:
-    """`rows` with their place (from 0) in the order of the integer `key`, without one sort of all.
+def numbered(rows: DataFrame, key: str, *groups: str, per: int = 4096, name: str = "number") -> DataFrame:
+    """`rows` with their place (from 0) in the order of the integer `key`, of each group if any, without one sort of all.
 
     Rows are counted in blocks of `per` keys; the blocks' counts alone are summed up in order, and rows are placed inside
     their block. Equal keys are placed in any order among themselves.
     """
     placed = rows.withColumn("__block", F.floor(F.col(key) / per))
-    counts = placed.groupBy("__block").agg(F.count("*").alias("n"))
-    before = counts.select("__block", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("__block")) - F.col("n")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__block").orderBy(key)) - 1
-    return placed.withColumn("__inside", inside).join(before, "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
+    counts = placed.groupBy(*groups, "__block").agg(F.count("*").alias("n"))
+    before = counts.select(*groups, "__block", (F.sum("n").over(W.partitionBy(*(groups or [F.lit(0)])).orderBy("__block")) - F.col("n")).alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*groups, "__block").orderBy(key)) - 1
+    return placed.withColumn("__inside", inside).join(before, [*groups, "__block"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
 
 
 def project_clipped(cells: DataFrame, order: int, region: DataFrame, limit: int, *keys: str) -> DataFrame:

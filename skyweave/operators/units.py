@@ -95,12 +95,20 @@ def page_receipts(pages: DataFrame, members: DataFrame) -> DataFrame:
     return order.join(wrong, "band").join(ids, "band", "left").select("band", "pages_200", "pages_404", "missing_pages", "rows", "bad_pages", "repeats", F.coalesce("ids", F.lit(0)).alias("ids"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
-def sequence_faults(units: DataFrame, group: str, first: str = "first_ipix", last: str = "last_ipix") -> DataFrame:
-    """Inclusive ranges of each group in order, with how each follows the ones before: first, contiguous, gap or overlap."""
-    by = W.partitionBy(group).orderBy(first, last, "unit_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.max(last).over(by)
-    state = F.when(before.isNull(), "first").when(F.col(first) <= before, "overlap").when(F.col(first) == before + 1, "contiguous").otherwise("gap")
-    return units.select(group, "unit_id", state.alias("follows"))
+def sequence_faults(units: DataFrame, group: str, first: str = "first_ipix", last: str = "last_ipix", block: int = 256) -> DataFrame:
+    """Inclusive ranges of each group in order, with how each follows the ones before: first, contiguous, gap or overlap.
+
+    The farthest end before a range is that of the ranges before it in its block of `block` cells, or of the blocks before:
+    rows are sorted inside a block alone, and of the blocks only their ends are.
+    """
+    placed = units.withColumn("__block", F.floor(F.col(first) / block))
+    ends = placed.groupBy(group, "__block").agg(F.max(last).alias("end"))
+    earlier = ends.select(group, "__block", F.max("end").over(W.partitionBy(group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)).alias("__earlier"))
+    by = W.partitionBy(group, "__block").orderBy(first, last, "unit_id").rowsBetween(W.unboundedPreceding, -1)
+    before = F.greatest("__earlier", F.max(last).over(by))
+    known = placed.join(earlier, [group, "__block"]).withColumn("__before", before)
+    state = F.when(F.col("__before").isNull(), "first").when(F.col(first) <= F.col("__before"), "overlap").when(F.col(first) == F.col("__before") + 1, "contiguous").otherwise("gap")
+    return known.select(group, "unit_id", state.alias("follows"))
 
 
 def equal_counts(rows: DataFrame, key: str, locked: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyweave.operators import catalogue, evidence, ranges, units
 from skyweave.plans import snapshots
 from skyweave.plans.registry import query
+from skyweave.plans.scratch import materialize
 from skyweave.plans.views import sql, table, view
 from skyweave.sources import text
 from skyweave.streaming import quotas
@@ -275,13 +276,14 @@ def q_download_plan(spark, sf_dir):
 def q_reverse_lookup(spark, sf_dir):
     """Units, files, entrypoints and coverage of a region, each part found apart and put side by side."""
     request = view(spark, sf_dir, "request")
-    found = evidence.interleave(units.in_ranges(view(spark, sf_dir, "units"), request, 4), "survey_id", ["unit_id"])
+    edges = materialize(_requested(spark, sf_dir), "requested")
+    found = evidence.interleave(units.in_ranges(view(spark, sf_dir, "units"), request, 4), "survey_id", "unit_id")
     none = lambda kind: F.lit(None).cast(kind)
     parts = [
         found.select(F.lit("spatial-unit").alias("kind"), F.col("unit_id").cast("string").alias("id"), "survey_id", "turn", none("boolean").alias("downloadable"), none("string").alias("metadata"), none("string").alias("matches")),
-        _plan(spark, sf_dir).select(F.lit("file"), F.col("file_id").cast("string"), none("string"), none("long"), "downloadable", "metadata", _text("matches", "layer_id", "ord", "ipix", "prec")),
+        evidence.download_plan(edges, view(spark, sf_dir, "files"), view(spark, sf_dir, "versions")).select(F.lit("file"), F.col("file_id").cast("string"), none("string"), none("long"), "downloadable", "metadata", _text("matches", "layer_id", "ord", "ipix", "prec")),
         view(spark, sf_dir, "layers").where("prec = 'entrypoint-only'").withColumn("cell", F.col("layer_no") * 2654435761 % 3072).join(request, "cell", "left_semi").select(F.lit("entrypoint"), "layer_id", "survey_id", none("long"), none("boolean"), none("string"), none("string")),
-        _requested(spark, sf_dir).groupBy("layer_id").agg(F.count_distinct("ipix").alias("n")).select(F.lit("coverage-evidence"), F.col("layer_id").cast("string"), none("string"), none("long"), none("boolean"), none("string"), F.col("n").cast("string")),
+        edges.groupBy("layer_id").agg(F.count_distinct("ipix").alias("n")).select(F.lit("coverage-evidence"), F.col("layer_id").cast("string"), none("string"), none("long"), none("boolean"), none("string"), F.col("n").cast("string")),
     ]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
@@ -514,7 +516,7 @@ def prj_color(spark, sf_dir):
 
 @query("srt_interleave", f"SELECT *, row_number() OVER (ORDER BY turn, survey_id) AS place FROM (SELECT survey_id, unit_id, count(*) OVER (PARTITION BY survey_id ORDER BY unit_id) AS turn FROM {UNITS})")
 def srt_interleave(spark, sf_dir):
-    turns = evidence.interleave(view(spark, sf_dir, "units"), "survey_id", ["unit_id"])
+    turns = evidence.interleave(view(spark, sf_dir, "units"), "survey_id", "unit_id")
     # At most one unit a survey has each turn, so its place inside the turn is a small rank.
     rank = F.row_number().over(W.partitionBy("turn").orderBy("survey_id"))
     sizes = ranges.numbered(turns, "turn", per=1, name="any").groupBy("turn").agg(F.min("any").alias("start"))

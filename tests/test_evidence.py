@@ -87,7 +87,7 @@ def test_catalogue_values(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(catalogue.public_url(F.col("u"))).collect()] == ["https://a.example/x", None, None, None, None, "http://a.example"]
     cases = {
-        "http://10.1.2.3/": False, "http://010.example/": False, "http://172.15.0.1/": True, "http://172.31.0.1:80/": False, "http://172.32.0.1/": True, "https://192.168.0.9": False, "https://192.169.0.9": True, "https://169.254.1.1/x": False,
+        "http://10.1.2.3/": False, "http://010.example/": True, "http://172.15.0.1/": True, "http://172.31.0.1:80/": False, "http://172.32.0.1/": True, "https://192.168.0.9": False, "https://192.169.0.9": True, "https://169.254.1.1/x": False,
         "http://[::1]/": False, "http://[::1]:8080/x": False, "http://[2001:db8::1]/": True, "http://[::10]/": True, "http://LOCALHOST:1/": False, "http://localhost.example/": True, "http://a.local/": False, "http://local/": True, "http://x.internal:9/": False,
         "http://a.svc/": False, "http://a.svc.cluster.local/": False, "http://svc.example/": True, "http://my-minio.example/": False, "http://minios.example/": True, "http://kubernetes/": False, "https://a.example:443/p?q=@x": True, "https:///x": False, "x": False, "": False,
         "ftp://archive.noao.edu/public/hlsp/decals/dr1/coadd/x.fits": True, "ftp://archive.noao.edu:21/public/hlsp/decals/dr2/coadd/x": True, "ftp://archive.noao.edu:22/public/hlsp/decals/dr2/coadd/x": False, "ftp://archive.noao.edu/public/hlsp/decals/dr3/coadd/x": False,
