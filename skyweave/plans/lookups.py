@@ -15,7 +15,7 @@ from skyweave.plans.registry import query
 from skyweave.plans.scratch import materialize
 from skyweave.plans.views import sql, table, view
 from skyweave.sources import text
-from skyweave.streaming import quotas
+from skyweave.streaming import activity, quotas
 
 LAYERS, EDGES, FILES, VERSIONS, UNITS, MEMBERS, REQUEST, REQUEST8, PARTITIONS = (sql(n) for n in ("layers", "edges", "files", "versions", "units", "members", "request", "request8", "partitions"))
 
@@ -686,3 +686,35 @@ def q_survey_index(spark, sf_dir):
 @query("q_usage_quota", "SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS requests FROM events GROUP BY date_trunc('minute', ts), user_id")
 def q_usage_quota(spark, sf_dir):
     return quotas.quota_windows(table(spark, sf_dir, "events"), 60).select(F.col("start").alias("minute"), "user_id", "requests")
+
+
+_REQUESTS = "(SELECT event_id AS request_id, user_id, ts AS start, ts + to_seconds(event_id % 9000 - 20) AS stop, CASE WHEN event_id % 11 <> 0 THEN event_id * 31 % 14000 END AS units FROM events)"
+_ACTIVE = f"(SELECT a.request_id, a.user_id, a.start, count(*) AS active FROM {_REQUESTS} a JOIN {_REQUESTS} b ON b.user_id = a.user_id AND b.start <= a.start AND (b.stop > a.start OR b.start = a.start) GROUP BY ALL)"
+
+
+def _activity(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(k.alias("request_id"), "user_id", F.col("ts").cast("timestamp").alias("start"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=(k % 9000 - 20).cast("decimal(18,6)"))).alias("end"), F.when(k % 11 != 0, k * 31 % 14000).alias("units"))
+
+
+@query("q_active_requests", f"SELECT user_id, request_id, active FROM {_ACTIVE}")
+def q_active_requests(spark, sf_dir):
+    """How many of a user's requests are active when each of them starts."""
+    return activity.active_requests(_activity(spark, sf_dir)).select("user_id", "request_id", "active")
+
+
+@query(
+    "q_daily_quotas",
+    f"""SELECT user_id, day, u.requests, u.units, u.units > 100000 AS over_units, peak_active, over_active FROM (SELECT user_id, CAST(start AS DATE) AS day, count(*) AS requests, CAST(sum(greatest(1, least(11000, coalesce(units, 11000)))) AS BIGINT) AS units FROM {_REQUESTS} GROUP BY 1, 2) u
+    JOIN (SELECT user_id, CAST(start AS DATE) AS day, max(active) AS peak_active, count(*) FILTER (active > 2) AS over_active FROM {_ACTIVE} GROUP BY 1, 2) a USING (user_id, day)""",
+)
+def q_daily_quotas(spark, sf_dir):
+    """Units and activity of every user and day, and whether they pass the quotas."""
+    return activity.daily_quotas(_activity(spark, sf_dir)).withColumn("day", F.col("day").cast("date"))
+
+
+@query("q_new_keys", f"SELECT session_id, key, page, overflow FROM (SELECT layer_id AS session_id, file_id AS key, min(page) AS page, false AS overflow, row_number() OVER (PARTITION BY layer_id ORDER BY min(page), file_id) AS n FROM (SELECT layer_id, file_id, edge_id % 6 AS page FROM {EDGES}) GROUP BY layer_id, file_id) WHERE n <= 300 UNION ALL SELECT session_id, NULL, page, true FROM (SELECT layer_id AS session_id, min(page) AS page, row_number() OVER (PARTITION BY layer_id ORDER BY min(page), file_id) AS n FROM (SELECT layer_id, file_id, edge_id % 6 AS page FROM {EDGES}) GROUP BY layer_id, file_id) WHERE n = 301")
+def q_new_keys(spark, sf_dir):
+    """The files that continued lookups of every layer give, page by page, with room for 300 keys a session."""
+    pages = view(spark, sf_dir, "edges").select(F.col("layer_id").alias("session_id"), (F.col("edge_id") % 6).alias("page"), F.timestamp_seconds(F.col("edge_id") % 6 * 60).alias("ts"), F.col("file_id").alias("key"))
+    return activity.new_keys(pages, most=300)
