@@ -102,15 +102,15 @@ def stcs(text: Column) -> Column:
     return hpx.once(F.upper(F.regexp_replace(text, "[()]", " ")), read)
 
 
-def shape_cells(rows: DataFrame, order: int, shapes: str = "shapes", key: str = "unit_id") -> DataFrame:
-    """(key, ipix) of the cells that rows' shapes may touch; polygons that aren't convex count as the circle around them."""
+def shape_cells(rows: DataFrame, order: int, shapes: str = "shapes", key: str = "unit_id", factor: int = 1) -> DataFrame:
+    """(key, ipix) of the cells that rows' shapes may touch, by an oversampling `factor`; polygons that aren't convex count as the circle around them."""
     each = rows.select(key, F.explode(shapes).alias("s"))
     round_ = each.where("s.kind = 'circle'").select(key, "s.ra", "s.dec", F.col("s.radius").alias("radius_deg"))
     polygons = each.where("s.kind = 'polygon'").select(key, F.col("s.vertices").alias("vertices")).withColumns({"convex": convex(F.col("vertices")), "c": cap(F.col("vertices"))})
     plain = (F.col("convex")) & (F.col("c.radius") < 80)
     capped = polygons.where(~plain).select(key, "c.ra", "c.dec", F.col("c.radius").alias("radius_deg"))
-    discs = region.disc_cells(round_.unionByName(capped), order).select(key, "ipix")
-    flat = region.polygon_cells(polygons.where(plain).select(key, "vertices"), order).select(key, "ipix")
+    discs = region.disc_cells(round_.unionByName(capped), order, factor=factor).select(key, "ipix")
+    flat = region.polygon_cells(polygons.where(plain).select(key, "vertices"), order, factor=factor).select(key, "ipix")
     return discs.union(flat).distinct()
 
 

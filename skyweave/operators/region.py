@@ -128,9 +128,19 @@ def _starts(level: int, ra: Column, dec: Column) -> Column:
     return hpx.once(hpx.ang2pix(level, F.pmod(ra, F.lit(360.0)), dec), around)
 
 
-def _refine(shapes: DataFrame, order: int, near, ra: Column, dec: Column, radius: Column) -> DataFrame:
+def _levels(factor: int) -> int:
+    """Orders that an oversampling factor (a power of two) stands for."""
+    if factor < 1 or factor & (factor - 1):
+        raise ValueError("an oversampling factor is a power of two")
+    return factor.bit_length() - 1
+
+
+def _refine(shapes: DataFrame, order: int, near, inside, ra: Column, dec: Column, radius: Column, factor: int = 1) -> DataFrame:
     """`shapes` with a row for each cell at `order` that `near(level, centre)` doesn't rule out on the way down.
 
+    With a `factor`, cells that aren't `inside(level, centre)` must hold a cell of log2(factor) orders more that isn't ruled
+    out either: the inclusive test of the finer order, folded back to the cells asked for without a row for any finer one.
+
     Shapes in a circle (ra, dec, radius) of at most a fourth of a cell's side start at order 4 with the cells about its
     centre, and never meet the rest of the sky; larger ones start at the base cells.
     """
@@ -146,21 +156,29 @@ def _refine(shapes: DataFrame, order: int, near, ra: Column, dec: Column, radius
             out = out.withColumn("ipix", F.explode(deeper if level > from_level else F.when(F.col("__small"), F.array("ipix")).otherwise(deeper)))
         passes = F.element_at(F.transform(F.array(hpx.pix2ang(level, F.col("ipix"))), rule(level)), 1)
         out = out.where(passes if level >= from_level else F.col("__small") | passes)
-    return out.drop("__small")
+
+    def holds(level: int, cell: Column, left: int) -> Column:
+        some = lambda c: F.exists(hpx.children(cell), lambda k: hpx.once(hpx.pix2ang(level + 1, k), lambda d: near(level + 1, d) & (holds(level + 1, k, left - 1) if left > 1 else F.lit(True)))) | inside(level, c)
+        return hpx.once(hpx.pix2ang(level, cell), some)
+
+    deep = _levels(factor)
+    return (out.where(holds(order, F.col("ipix"), deep)) if deep else out).drop("__small")
 
 
-def disc_cells(discs: DataFrame, order: int, ra: str = "ra", dec: str = "dec", radius: str = "radius_deg") -> DataFrame:
-    """`discs` with the cells that may touch each."""
-    near = lambda level, c: hpx.angular_distance(c["ra"], c["dec"], F.col(ra), F.col(dec)) <= F.col(radius) + hpx.max_pixel_radius(level)
-    return _refine(discs, order, near, F.col(ra), F.col(dec), F.col(radius))
+def disc_cells(discs: DataFrame, order: int, ra: str = "ra", dec: str = "dec", radius: str = "radius_deg", factor: int = 1) -> DataFrame:
+    """`discs` with the cells that may touch each; an oversampling `factor` leaves out more of those that don't."""
+    off = lambda c: hpx.angular_distance(c["ra"], c["dec"], F.col(ra), F.col(dec))
+    near = lambda level, c: off(c) <= F.col(radius) + hpx.max_pixel_radius(level)
+    inside = lambda level, c: off(c) <= F.col(radius) - hpx.max_pixel_radius(level)
+    return _refine(discs, order, near, inside, F.col(ra), F.col(dec), F.col(radius), factor)
 
 
 def _unit(ra: Column, dec: Column) -> tuple[Column, Column, Column]:
     return F.cos(F.radians(dec)) * F.cos(F.radians(ra)), F.cos(F.radians(dec)) * F.sin(F.radians(ra)), F.sin(F.radians(dec))
 
 
-def polygon_cells(polygons: DataFrame, order: int, vertices: str = "vertices") -> DataFrame:
-    """`polygons` (an array of structs ra and dec, convex, smaller than a hemisphere) with the cells that may touch each."""
+def polygon_cells(polygons: DataFrame, order: int, vertices: str = "vertices", factor: int = 1) -> DataFrame:
+    """`polygons` (an array of structs ra and dec, convex, smaller than a hemisphere) with the cells that may touch each; as disc_cells() by `factor`."""
     v = F.transform(F.col(vertices), lambda p: F.struct(*[x.alias(n) for n, x in zip("xyz", _unit(p["ra"], p["dec"]), strict=True)]))
     middle = F.aggregate("__v", F.struct(*[F.lit(0.0).alias(n) for n in "xyz"]), lambda a, p: F.struct(*[(a[n] + p[n]).alias(n) for n in "xyz"]))
     made = polygons.withColumn("__v", v).withColumn("__m", middle)
@@ -175,16 +193,22 @@ def polygon_cells(polygons: DataFrame, order: int, vertices: str = "vertices") -
     m = F.col("__m")
     size = F.sqrt(m["x"] * m["x"] + m["y"] * m["y"] + m["z"] * m["z"])
     far = F.array_max(F.transform("__v", lambda p: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(p["x"] * m["x"] + p["y"] * m["y"] + p["z"] * m["z"], size)))))))
-    made = made.withColumns({"__e": F.transform("__v", edge), "__r": F.when(size > 1e-9, far).otherwise(180.0)})
+    ra, dec = F.degrees(F.atan2(m["y"], m["x"])), F.degrees(F.atan2(m["z"], F.sqrt(m["x"] * m["x"] + m["y"] * m["y"])))
+    made = made.withColumns({"__e": F.transform("__v", edge), "__r": F.when(size > 1e-9, far).otherwise(180.0), "__ra": ra, "__dec": dec})
 
     def near(level: int, c: Column) -> Column:
         x, y, z = _unit(c["ra"], c["dec"])
         slack = math.sin(math.radians(min(90.0, hpx.max_pixel_radius(level))))
-        # Edges of repeated vertices have no direction and rule nothing out.
-        return ~F.exists("__e", lambda e: F.coalesce(e["x"] * x + e["y"] * y + e["z"] * z < -slack, F.lit(False)))
+        # Edges of repeated vertices have no direction and rule nothing out. Opposite a small polygon the edges don't either: the circle around it does.
+        beside = hpx.angular_distance(c["ra"], c["dec"], F.col("__ra"), F.col("__dec")) <= F.col("__r") + hpx.max_pixel_radius(level) + 1e-9
+        return beside & ~F.exists("__e", lambda e: F.coalesce(e["x"] * x + e["y"] * y + e["z"] * z < -slack, F.lit(False)))
 
-    ra, dec = F.degrees(F.atan2(m["y"], m["x"])), F.degrees(F.atan2(m["z"], F.sqrt(m["x"] * m["x"] + m["y"] * m["y"])))
-    return _refine(made, order, near, ra, dec, F.col("__r")).drop("__v", "__m", "__e", "__r")
+    def inside(level: int, c: Column) -> Column:
+        x, y, z = _unit(c["ra"], c["dec"])
+        slack = math.sin(math.radians(min(90.0, hpx.max_pixel_radius(level))))
+        return F.forall("__e", lambda e: F.coalesce(e["x"] * x + e["y"] * y + e["z"] * z >= slack, F.lit(False))) & (hpx.angular_distance(c["ra"], c["dec"], F.col("__ra"), F.col("__dec")) <= F.col("__r"))
+
+    return _refine(made, order, near, inside, F.col("__ra"), F.col("__dec"), F.col("__r"), factor).drop("__v", "__m", "__e", "__r", "__ra", "__dec")
 
 
 def units_touching(discs: DataFrame, request: DataFrame, order: int, unit: str = "unit_id", coarse: int = 4) -> DataFrame:

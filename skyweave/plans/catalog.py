@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,10 +170,15 @@ def agg_bounds(spark, sf_dir):
     return found.select("region", "ra_wraps", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("dec_min", "dec_max")], "cells", F.round("area_deg2", 6).alias("area_deg2"), F.round(span, 6).alias("span"))
 
 
-@query("agg_cone")
+_APART = lambda ra, dec, ra2, dec2: f"degrees(acos(greatest(-1e0, least(1e0, sin(radians({dec})) * sin(radians({dec2})) + cos(radians({dec})) * cos(radians({dec2})) * cos(radians({ra} - {ra2}))))))"
+_MIDDLES = f"(SELECT region, (ra_min + CASE WHEN ra_wraps THEN 360 - ra_min + ra_max ELSE ra_max - ra_min END / 2) % 360 AS mra, (dec_min + dec_max) / 2 AS mdec FROM {_BOUNDS})"
+
+
+@query("agg_cone", f"SELECT region, round(mra, 5) AS ra, round(mdec, 5) + 0e0 AS dec, round(max({_APART('e.ra', 'e.dec', 'mra', 'mdec')}) + 0.01e0, 5) AS radius_deg FROM {_MIDDLES} JOIN {_EDGES} e USING (region) GROUP BY region, mra, mdec")
 def agg_cone(spark, sf_dir):
     """The cone of every region."""
-    return overlap.cones(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
+    found = overlap.cones(overlap.regions(_pair(spark, sf_dir), 4), 4, "region")
+    return found.select("region", F.round("ra", 5).alias("ra"), (F.round("dec", 5) + F.lit(0.0)).alias("dec"), F.round("radius_deg", 5).alias("radius_deg"))
 
 
 @query("hpx_boundaries", f"SELECT ipix, CAST(k AS INTEGER) AS corner, round(x, 9) + 0e0 AS x, round(y, 9) + 0e0 AS y, round(z, 9) + 0e0 AS z FROM {_corners(f'(SELECT DISTINCT ipix FROM {LAYERS})', 4)}")
@@ -489,20 +496,61 @@ def _discs(spark, sf_dir):
     return views.table(spark, sf_dir, "supplier").select(k.alias("unit_id"), (k * 104729 % 3600000 / F.lit(10000.0)).alias("ra"), (k * 7368787 % 1800001 / F.lit(10000.0) - 90).alias("dec"), (k % 5 + F.lit(0.5)).alias("radius_deg"))
 
 
-@query("hpx_disc_incl")
+_SMALL = math.degrees(math.sqrt(4 * math.pi / hpx.cells(4))) / 4
+_DISCS = "(SELECT s_suppkey AS unit_id, s_suppkey * 104729 % 3600000 / 10000e0 AS dra, s_suppkey * 7368787 % 1800001 / 10000e0 - 90 AS ddec, s_suppkey % 5 + 0.5e0 AS radius, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, c DOUBLE)[]) AS sides FROM supplier)"
+
+
+def _cover(shapes: str, order: int, factor: int = 1) -> str:
+    """DuckDB: (unit_id, ipix) of the cells at an order that may touch shapes (unit_id, dra, ddec, radius of the circle around each, and the
+    inward normals of a polygon's sides): from the base cells down, small shapes from order 4 on, and `factor` times as fine for the last test."""
+
+    def near(level: int) -> str:
+        r = hpx.max_pixel_radius(level)
+        beyond = f"[s FOR s IN sides IF s.a * cos(radians(dec)) * cos(radians(ra)) + s.b * cos(radians(dec)) * sin(radians(ra)) + s.c * sin(radians(dec)) < -{math.sin(math.radians(min(90.0, r)))}e0]"
+        return f"{_APART('ra', 'dec', 'dra', 'ddec')} <= radius + {r}e0 AND len({beyond}) = 0"
+
+    deep, start = factor.bit_length() - 1, min(order, 4)
+    rows = f"(SELECT s.*, j AS ipix FROM {shapes} s, (SELECT unnest(range(12)) AS j) WHERE radius > {_SMALL}e0)"
+    for level in range(order + deep + 1):
+        if level:
+            rows = f"(SELECT p.* REPLACE (p.ipix * 4 + j AS ipix) FROM {rows} p, (SELECT unnest(range(4)) AS j))"
+        if level == start:
+            every = _centres(f"(SELECT unnest(range({hpx.cells(level)})) AS ipix)", level)
+            rows = f"(SELECT * FROM {rows} UNION ALL SELECT s.*, c.ipix FROM {shapes} s, {every} c WHERE radius <= {_SMALL}e0 AND abs(c.dec - s.ddec) <= radius + {hpx.max_pixel_radius(level) + 0.01}e0)"
+        rows = f"(SELECT * EXCLUDE (ra, dec) FROM {_centres(rows, level)} WHERE {near(level)})"
+    return f"(SELECT DISTINCT unit_id, ipix // {4**deep} AS ipix FROM {rows})"
+
+
+def _polygons(source: str) -> str:
+    """DuckDB: shapes as _cover() takes them, of convex polygons (unit_id, corners: a list of [ra, dec])."""
+    vectors = f"(SELECT unit_id, [{{'x': cos(radians(p[2])) * cos(radians(p[1])), 'y': cos(radians(p[2])) * sin(radians(p[1])), 'z': sin(radians(p[2]))}} FOR p IN corners] AS v FROM {source})"
+    summed = f"(SELECT *, list_sum([p.x FOR p IN v]) AS mx, list_sum([p.y FOR p IN v]) AS my, list_sum([p.z FOR p IN v]) AS mz FROM {vectors})"
+    sided = f"(SELECT *, [{{'a': v[i].y * v[i % len(v) + 1].z - v[i].z * v[i % len(v) + 1].y, 'b': v[i].z * v[i % len(v) + 1].x - v[i].x * v[i % len(v) + 1].z, 'c': v[i].x * v[i % len(v) + 1].y - v[i].y * v[i % len(v) + 1].x}} FOR i IN range(1, len(v) + 1)] AS n, sqrt(mx * mx + my * my + mz * mz) AS size FROM {summed})"
+    unit = "sign(s.a * mx + s.b * my + s.c * mz) / sqrt(s.a * s.a + s.b * s.b + s.c * s.c)"
+    return f"(SELECT unit_id, degrees(atan2(my, mx)) AS dra, degrees(asin(mz / size)) AS ddec, list_max([degrees(acos(greatest(-1e0, least(1e0, (p.x * mx + p.y * my + p.z * mz) / size)))) FOR p IN v]) + 1e-9 AS radius, [{{'a': s.a * {unit}, 'b': s.b * {unit}, 'c': s.c * {unit}}} FOR s IN n] AS sides FROM {sided})"
+
+
+@query("hpx_disc_incl", f"SELECT * FROM {_cover(_DISCS, 5, 4)}")
 def hpx_disc_incl(spark, sf_dir):
-    return region.disc_cells(_discs(spark, sf_dir), 5).select("unit_id", "ipix")
+    """Cells at order 5 that discs may touch, by the inclusive test of order 7."""
+    return region.disc_cells(_discs(spark, sf_dir), 5, factor=4).select("unit_id", "ipix")
 
 
-@query("jn_spatial_filter_refine")
+@query("jn_spatial_filter_refine", f"SELECT unit_id, count(*) AS cells FROM {_cover(_DISCS, 6)} WHERE ipix IN (SELECT p_partkey * 2654435761 % {hpx.cells(6)} FROM part) GROUP BY unit_id")
 def jn_spatial_filter_refine(spark, sf_dir):
     request = views.table(spark, sf_dir, "part").select((F.col("p_partkey") * views.SCATTER % hpx.cells(6)).alias("ipix"))
     return region.units_touching(_discs(spark, sf_dir), request, 6)
 
 
-@query("hpx_poly_incl")
+_AT = "s_suppkey * 104729 % 3600000 / 10000e0 AS ra, s_suppkey * 7368787 % 1500001 / 10000e0 - 75 AS dec"
+_CIRCLES = f"(SELECT unit_id, ra AS dra, dec AS ddec, unit_id % 5 / 2e0 AS radius, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, c DOUBLE)[]) AS sides FROM (SELECT s_suppkey AS unit_id, {_AT} FROM supplier) WHERE unit_id % 4 IN (0, 2))"
+_BOXES = f"(SELECT unit_id, [[ra, dec], [ra + 2, dec], [ra + 2, dec + 2], [ra, dec + 2]] AS corners FROM (SELECT s_suppkey AS unit_id, {_AT} FROM supplier) WHERE unit_id % 4 IN (1, 2))"
+
+
+@query("hpx_poly_incl", f"SELECT * FROM {_cover(_CIRCLES, 5, 4)} UNION SELECT * FROM {_cover(_polygons(_BOXES), 5, 4)}")
 def hpx_poly_incl(spark, sf_dir):
-    return geometry.shape_cells(_shapes(spark, sf_dir), 5)
+    """Cells at order 5 that the shapes of STC-S texts may touch, by the inclusive test of order 7."""
+    return geometry.shape_cells(_shapes(spark, sf_dir), 5, factor=4)
 
 
 def _regions(spark, sf_dir):
@@ -525,22 +573,24 @@ def fn_stcs(spark, sf_dir):
     return shapes.select("unit_id", F.array_join(F.transform("s", lambda x: x["kind"]), ",").alias("kinds"), F.aggregate("s", F.lit(0), lambda n, x: n + F.size(x["vertices"])).alias("vertices"))
 
 
-@query("jn_stcs_match")
+@query("jn_stcs_match", f"SELECT * FROM (SELECT * FROM {_cover(_CIRCLES, 4)} UNION SELECT * FROM {_cover(_polygons(_BOXES), 4)}) WHERE ipix IN (SELECT cell FROM {views.sql('request')})")
 def jn_stcs_match(spark, sf_dir):
     return geometry.stcs_match(_regions(spark, sf_dir), views.view(spark, sf_dir, "request"), 4)
 
 
-@query("agg_centroid", "SELECT s_suppkey AS unit_id, round(((s_suppkey * 104729 % 3600000) / 10000e0 + 1) % 360, 6) AS ra FROM supplier WHERE s_suppkey % 4 IN (1, 2)")
+_CENTRES = _polygons(_BOXES)
+
+
+@query("agg_centroid", f"SELECT unit_id, round((dra + 360) % 360, 6) AS ra, round(ddec, 6) + 0e0 AS dec FROM {_CENTRES}")
 def agg_centroid(spark, sf_dir):
-    """Boxes are alike about their middle meridian, so that is where their centroid lies."""
     each = _shapes(spark, sf_dir).select("unit_id", F.explode("shapes").alias("s")).where("s.kind = 'polygon'")
-    return each.select("unit_id", F.round(geometry.centroid(F.col("s.vertices"))["ra"], 6).alias("ra"))
+    return each.select("unit_id", geometry.centroid(F.col("s.vertices")).alias("c")).select("unit_id", F.round("c.ra", 6).alias("ra"), (F.round("c.dec", 6) + F.lit(0.0)).alias("dec"))
 
 
-@query("agg_cap")
+@query("agg_cap", f"SELECT unit_id, round((dra + 360) % 360, 6) AS ra, round(ddec, 6) + 0e0 AS dec, round(radius, 6) AS radius FROM {_CENTRES}")
 def agg_cap(spark, sf_dir):
     each = _shapes(spark, sf_dir).select("unit_id", F.explode("shapes").alias("s")).where("s.kind = 'polygon'")
-    return each.select("unit_id", geometry.cap(F.col("s.vertices")).alias("c")).select("unit_id", "c.*")
+    return each.select("unit_id", geometry.cap(F.col("s.vertices")).alias("c")).select("unit_id", F.round("c.ra", 6).alias("ra"), (F.round("c.dec", 6) + F.lit(0.0)).alias("dec"), F.round("c.radius", 6).alias("radius"))
 
 
 @query("q_rect_cover")
@@ -647,7 +697,21 @@ def q_sdss_corners(spark, sf_dir):
     return good.select("field", *[(F.round(f"centre.{n}", 6) + F.lit(0.0)).alias(n) for n in ("ra", "dec")], F.size("vertices").alias("corners"))
 
 
-@query("q_frames_to_moc")
+def _on_circle(mu: str, nu: str) -> str:
+    """DuckDB: [ra, dec] of great-circle coordinates about node 95."""
+    m, v, i = f"radians({mu} - 95)", f"radians({nu})", "radians(k % 7 * 2.5e0)"
+    return f"[degrees(atan2(sin({m}) * cos({v}) * cos({i}) - sin({v}) * sin({i}), cos({m}) * cos({v}))) + 95, degrees(asin(sin({m}) * cos({v}) * sin({i}) + sin({v}) * cos({i})))]"
+
+
+_FRAMES = f"(SELECT k AS unit_id, [{_on_circle('mu', 'nu')}, {_on_circle('(mu + 0.3e0)', 'nu')}, {_on_circle('(mu + 0.3e0)', '(nu + 0.25e0)')}, {_on_circle('mu', '(nu + 0.25e0)')}] AS corners FROM (SELECT *, k * 104729 % 3600000 / 10000e0 AS mu, k * 7919 % 50000 / 10000e0 - 2.5e0 AS nu FROM (SELECT l_orderkey * 8 + l_linenumber AS k, l_suppkey % 20 AS r, l_returnflag AS band FROM lineitem)) WHERE band IN ('A', 'R') AND k % 11 <> 0 AND r < 15 AND k % 13 <> 0 AND k % 17 <> 0)"
+_FULL_PARENTS = lambda cells: f"(SELECT ipix // 4 AS ipix FROM {cells} GROUP BY ipix // 4 HAVING count(*) = 4)"
+
+
+@query(
+    "q_frames_to_moc",
+    f"""WITH c7 AS MATERIALIZED (SELECT DISTINCT ipix FROM {_cover(_polygons(_FRAMES), 7)}), c6 AS {_FULL_PARENTS("c7")}, c5 AS {_FULL_PARENTS("c6")}, c4 AS {_FULL_PARENTS("c5")}
+    SELECT 4 AS "order", ipix FROM c4 UNION ALL SELECT 5, ipix FROM c5 WHERE ipix // 4 NOT IN (SELECT ipix FROM c4) UNION ALL SELECT 6, ipix FROM c6 WHERE ipix // 4 NOT IN (SELECT ipix FROM c5) UNION ALL SELECT 7, ipix FROM c7 WHERE ipix // 4 NOT IN (SELECT ipix FROM c6)""",
+)
 def q_frames_to_moc(spark, sf_dir):
     """Canonical coverage at order 7 of the fields of two bands."""
     fields = geometry.normalized_fields(_fields(spark, sf_dir), spark.range(15).withColumnRenamed("id", "run"))

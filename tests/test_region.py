@@ -77,3 +77,25 @@ def test_small_discs_start_near_and_lose_nothing(spark):
     assert all(r.c in have[r.k] for r in found)
     cell = 41253 / hpx.cells(6)
     assert all(len(have[k]) <= 4 * 3.15 * (radius + 1.3) ** 2 / cell + 12 for k, _, _, radius in discs)
+
+
+def test_oversampled_covers_hold_the_truth_and_less_besides(spark):
+    """Cells of sampled points of a shape are in every cover; each factor's cover is inside the one before, and nearer to the truth."""
+    rnd = random.Random(14)
+    discs = [(k, rnd.random() * 360, math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.choice([0.3, 2.0, 7.0])) for k in range(12)] + [(12, 10.0, 89.5, 3.0), (13, 359.9, 0.0, 2.0)]
+    df = spark.createDataFrame(discs, "k int, ra double, dec double, radius_deg double")
+    dense = spark.range(12 * 4**9).select(hpx.pix2ang(9, F.col("id")).alias("c"), hpx.parent(F.col("id"), 4).alias("ipix"))
+    near = dense.crossJoin(F.broadcast(df)).where(hpx.angular_distance(F.col("c.ra"), F.col("c.dec"), F.col("ra"), F.col("dec")) <= F.col("radius_deg"))
+    truth = {tuple(r) for r in near.select("k", "ipix").distinct().collect()}
+    covers = [{(r.k, r.ipix) for r in region.disc_cells(df, 5, factor=f).select("k", "ipix").collect()} for f in (1, 2, 4, 8)]
+    assert all(truth <= c for c in covers) and all(b <= a for a, b in zip(covers, covers[1:], strict=False))
+    extra = [len(c - truth) for c in covers]
+    assert extra[0] > 2 * extra[2] > 2 * extra[3]
+    boxes = [(k, [(ra, dec), (ra + w, dec), (ra + w, dec + w), (ra, dec + w)]) for k, ra, dec, w in ((0, 40.0, 10.0, 5.0), (1, 359.0, -30.0, 2.0), (2, 100.0, 60.0, 0.4))]
+    shapes = spark.createDataFrame(boxes, "k int, vertices array<struct<ra:double,dec:double>>")
+    covers = [{(r.k, r.ipix) for r in region.polygon_cells(shapes, 6, factor=f).select("k", "ipix").collect()} for f in (1, 4)]
+    points = [(k, v[0][0] + a * (v[1][0] - v[0][0]), v[0][1] + b * (v[2][1] - v[0][1])) for k, v in boxes for a in (0.01, 0.2, 0.5, 0.8, 0.99) for b in (0.05, 0.3, 0.6, 0.95)]
+    inside = {(r.k, r.ipix) for r in spark.createDataFrame(points, "k int, ra double, dec double").select("k", hpx.ang2pix(6, F.col("ra") % 360, F.col("dec")).alias("ipix")).collect()}
+    assert inside <= covers[1] < covers[0]
+    with pytest.raises(ValueError, match="power of two"):
+        region.disc_cells(df, 5, factor=3)
