@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyweave.functions import hpx
-from skyweave.operators import geometry
+from skyweave.operators import geometry, wcs
 from skyweave.plans import snapshots
 from skyweave.plans.registry import query
 from skyweave.plans.scratch import shared_dir
@@ -185,6 +185,29 @@ def src_wcs_header(spark, sf_dir):
     return found.select("s_suppkey", F.when(F.col("c").isNotNull(), F.size("c")).alias("corners"), F.when(F.col("c").isNotNull(), F.round(middle, 5)).alias("dec_at_pole_side"))
 
 
+_WCS = "(SELECT s_suppkey AS k, ['TAN', 'SIN', 'ZEA', 'CAR'][s_suppkey % 4 + 1] AS kind, CAST(s_suppkey * 37 % 360 AS DOUBLE) AS ra0, CASE WHEN s_suppkey % 4 = 3 THEN 0e0 ELSE s_suppkey % 81 - 40e0 END AS dec0 FROM supplier)"
+#: DuckDB: image points as intermediate degrees (x east, y north), and as the sine and cosine of the distance from the centre.
+_PLANE = f"(SELECT *, -0.02e0 * (u - 100) AS x, 0.02e0 * (v - 80) AS y FROM {_WCS}, (VALUES (0, 0.5e0, 0.5e0), (1, 200.5e0, 0.5e0), (2, 200.5e0, 160.5e0), (3, 0.5e0, 160.5e0), (4, 60e0, 90e0)) p(point, u, v))"
+_POLAR = f"(SELECT *, sqrt(x * x + y * y) AS q, radians(sqrt(x * x + y * y)) AS r, CASE kind WHEN 'TAN' THEN atan(radians(sqrt(x * x + y * y))) WHEN 'SIN' THEN asin(radians(sqrt(x * x + y * y))) ELSE 2 * asin(radians(sqrt(x * x + y * y)) / 2) END AS c FROM {_PLANE})"
+_VECTOR = f"(SELECT *, cos(c) * cos(radians(dec0)) * cos(radians(ra0)) + sin(c) * (-x / q * sin(radians(ra0)) - y / q * sin(radians(dec0)) * cos(radians(ra0))) AS p1, cos(c) * cos(radians(dec0)) * sin(radians(ra0)) + sin(c) * (x / q * cos(radians(ra0)) - y / q * sin(radians(dec0)) * sin(radians(ra0))) AS p2, cos(c) * sin(radians(dec0)) + sin(c) * y / q * cos(radians(dec0)) AS p3 FROM {_POLAR})"
+
+
+@query("src_wcs_projections", f"SELECT k, point, round(CASE WHEN kind = 'CAR' THEN (ra0 + x + 360) % 360 ELSE (degrees(atan2(p2, p1)) + 360) % 360 END, 7) AS ra, round(CASE WHEN kind = 'CAR' THEN y ELSE degrees(asin(p3)) END, 7) + 0e0 AS dec, u, v FROM {_VECTOR}")
+def src_wcs_projections(spark, sf_dir):
+    """Corners and an inner point of images in four projections, as directions, and as the pixels that those lead back to."""
+    k = F.col("s_suppkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("TAN", "SIN", "ZEA", "CAR")]), (k % 4 + 1).cast("int"))
+    values = {"SIMPLE": "T", "NAXIS": "2", "NAXIS1": "200", "NAXIS2": "160", "RADESYS": "'ICRS'", "CRPIX1": "100.0", "CRPIX2": "80.0", "CDELT1": "-0.02", "CDELT2": "0.02"}
+    card = lambda n, v: F.rpad(F.concat(F.lit(f"{n:<8}= "), v), 80, " ")
+    quoted = lambda p: F.concat(F.lit(f"'{p}"), kind, F.lit("'"))
+    header = F.concat(*[card(n, F.lit(v)) for n, v in values.items()], card("CTYPE1", quoted("RA---")), card("CTYPE2", quoted("DEC--")), card("CRVAL1", (k * 37 % 360).cast("string")), card("CRVAL2", F.when(k % 4 == 3, "0").otherwise((k % 81 - 40).cast("string"))), F.rpad(F.lit("END"), 80, " "))
+    points = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(u).alias("u"), F.lit(v).alias("v")) for n, (u, v) in enumerate([(0.5, 0.5), (200.5, 0.5), (200.5, 160.5), (0.5, 160.5), (60.0, 90.0)])])
+    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), wcs.read(header).alias("w")).select("k", "w", F.explode(points).alias("p"))
+    placed = rows.select("k", "w", "p.point", wcs.to_sky(F.col("w"), F.col("p.u"), F.col("p.v")).alias("s"))
+    back = placed.withColumn("b", wcs.to_pixel(F.col("w"), F.col("s.ra"), F.col("s.dec")))
+    return back.select("k", "point", F.round("s.ra", 7).alias("ra"), (F.round("s.dec", 7) + F.lit(0.0)).alias("dec"), F.round("b.u", 6).alias("u"), F.round("b.v", 6).alias("v"))
+
+
 @query("snk_immutable", "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders")
 def snk_immutable(spark, sf_dir):
     """A table is written once: the same rows again are accepted."""
