@@ -104,6 +104,14 @@ def boundaries(order: int, ipix: Column) -> Column:
     return once(_placed(order, ipix), lambda s: F.array(*[_corner(2**order, s["face"], s["x"] + dx, s["y"] + dy) for dx, dy in ((1, 1), (0, 1), (0, 0), (1, 0))]))
 
 
+def outline(order: int, ipix: Column, parts: int = 4) -> Column:
+    """Points along the sides of a cell, `parts` a side, from its south corner on, as an array of structs of unit vectors."""
+    steps = range(parts)
+    around = [(k, 0) for k in steps] + [(parts, k) for k in steps] + [(parts - k, parts) for k in steps] + [(0, parts - k) for k in steps]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
+    return once(_placed(order, ipix), lambda s: F.transform(places, lambda p: _corner(2**order * parts, s["face"], s["x"] * parts + p["i"], s["y"] * parts + p["j"])))
+
+
 def _corner(n: int, face: Column, x: Column, y: Column) -> Column:
     """The direction of a lattice point of a base face."""
     row, col = F.floor(face / 4), face % 4

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import hpx
-from skyweave.operators import depth, geometry, overlap, ranges, region
+from skyweave.operators import depth, geometry, images, overlap, ranges, region
 from skyweave.plans import contracts, indexes, lookups, pages, sources, views  # noqa: F401  (they register queries)
 from skyweave.plans.registry import query
 
@@ -728,6 +728,32 @@ def q_cone_lookup(spark, sf_dir):
     return region.cone_lookup(views.objects(spark, sf_dir).where("ra < 360"), products, 120.0, 30.0, 12.0, "source_row", 50).select("source_row", "product", "truncated")
 
 
+_ASKED6 = "(SELECT unnest(range(1024, 1064)) AS ipix)"
+_AROUND = [(k, 0) for k in range(4)] + [(4, k) for k in range(4)] + [(4 - k, 4) for k in range(4)] + [(0, 4 - k) for k in range(4)]
+_POINTS = f"(SELECT ipix, k, sqrt(greatest(0, 1 - z * z)) * cos(phi) AS x, sqrt(greatest(0, 1 - z * z)) * sin(phi) AS y, z FROM {_lattice(_ASKED6, 6, ', '.join(f'({n}, {i / 4}e0, {j / 4}e0)' for n, (i, j) in enumerate(_AROUND)))})"
+_ARCS = f"(SELECT a.ipix, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS \"by\", b.z AS bz, a.y * b.z - a.z * b.y AS nx, a.z * b.x - a.x * b.z AS ny, a.x * b.y - a.y * b.x AS nz FROM {_POINTS} a JOIN {_POINTS} b ON b.ipix = a.ipix AND b.k = (a.k + 1) % 16)"
+_MEAN6 = f"(SELECT avg(cos(radians(dec)) * cos(radians(ra))) AS x, avg(cos(radians(dec)) * sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM {_centres(_ASKED6, 6)})"
+_CONE6 = f"(SELECT any_value(m.x) / sqrt(any_value(m.x * m.x + m.y * m.y + m.z * m.z)) AS x, any_value(m.y) / sqrt(any_value(m.x * m.x + m.y * m.y + m.z * m.z)) AS y, any_value(m.z) / sqrt(any_value(m.x * m.x + m.y * m.y + m.z * m.z)) AS z, max(degrees(acos(least(1e0, (m.x * c.x + m.y * c.y + m.z * c.z) / sqrt(m.x * m.x + m.y * m.y + m.z * m.z))))) + 0.1e0 AS radius FROM {_MEAN6} m, {_corners(_ASKED6, 6)} c)"
+_CIRCLES6 = f"(SELECT event_id AS obsid, ra, dec, radius, cos(radians(dec)) * cos(radians(ra)) AS x, cos(radians(dec)) * sin(radians(ra)) AS y, sin(radians(dec)) AS z FROM (SELECT event_id, round(event_id * 104729 % 3600000 / 10000e0, 4) AS ra, round(event_id * 7368787 % 1800001 / 10000e0 - 90e0, 4) AS dec, event_id % 5 / 4e0 AS radius FROM events))"
+_NEAR6 = f"(SELECT o.* FROM {_CIRCLES6} o, {_CONE6} c WHERE degrees(acos(greatest(-1e0, least(1e0, o.x * c.x + o.y * c.y + o.z * c.z)))) <= c.radius)"
+_HITS6 = f"""(SELECT DISTINCT obsid FROM {_NEAR6} o, {_ARCS} e WHERE ax * x + ay * y + az * z >= cos(radians(radius)) - 1e-15
+  OR (abs(nx * x + ny * y + nz * z) <= sin(radians(radius)) * sqrt(nx * nx + ny * ny + nz * nz) AND (ny * az - nz * ay) * x + (nz * ax - nx * az) * y + (nx * ay - ny * ax) * z >= 0 AND ("by" * nz - bz * ny) * x + (bz * nx - bx * nz) * y + (bx * ny - "by" * nx) * z >= 0 AND ax * x + ay * y + az * z > 0)
+  UNION SELECT obsid FROM {_NEAR6} o WHERE {_pixel(6)} IN (SELECT ipix FROM {_ASKED6}))"""
+_OWN6 = f"(SELECT obsid FROM {_HITS6} ORDER BY obsid LIMIT 12)"
+_SHOWN6 = f"(SELECT obsid, 'p' || CAST(n AS VARCHAR) AS product FROM {_OWN6}, (SELECT unnest(range(1, 4)) AS n) WHERE n <= obsid % 3 + 1)"
+
+
+@query("q_cone_images", f"SELECT obsid, product, (SELECT count(*) FROM {_HITS6}) > 12 AS more_observations, (SELECT count(*) FROM {_SHOWN6}) > 20 AS more_products FROM {_OWN6} LEFT JOIN (SELECT * FROM {_SHOWN6} ORDER BY obsid, product LIMIT 20) USING (obsid)")
+def q_cone_images(spark, sf_dir):
+    """The first 12 circular observations that truly meet 40 cells, with 20 products at most."""
+    events, k = views.table(spark, sf_dir, "events"), F.col("event_id")
+    ra, dec = k * 104729 % 3600000 / F.lit(10000.0), k * 7368787 % 1800001 / F.lit(10000.0) - 90
+    text = F.format_string("CIRCLE ICRS %.4f %.4f %.2f", ra, dec, k % 5 / F.lit(4.0))
+    seen = events.select(k.alias("obsid"), ra.alias("ra"), dec.alias("dec"), text.alias("s_region"))
+    products = events.select(k.alias("obsid"), F.explode(F.sequence(F.lit(1).cast("long"), k % 3 + 1)).alias("n")).select("obsid", F.concat(F.lit("p"), F.col("n").cast("string")).alias("product"))
+    return images.lookup(seen, products, spark.range(1024, 1064).withColumnRenamed("id", "ipix"), 6, 12, 20)
+
+
 @query("prt_batches", f"SELECT ipix, CAST(floor((row_number() OVER (ORDER BY ipix) - 1) / 7) AS BIGINT) AS batch FROM (SELECT DISTINCT ipix FROM {PAIR})")
 def prt_batches(spark, sf_dir):
     return region.batches(_pair(spark, sf_dir), 4)
