@@ -44,6 +44,11 @@ def regions(cells: DataFrame, order: int, budget: int | None = None) -> DataFram
     larger blocks: the number of passes depends on the order alone (one pass for what ALONE cells fit, at most six), and
     no task gets more than a block's cells or the labels on its inner edges. Above `budget` cells it is an error.
     """
+    return _named(_labelled(cells, order, budget))
+
+
+def _labelled(cells: DataFrame, order: int, budget: int | None = None) -> DataFrame:
+    """(ipix, component): each cell with the smallest cell that it is joined with through sides."""
     base = materialize(cells.select(F.col("ipix").cast("long").alias("ipix")).distinct(), "cells")
     n = base.count()
     if budget is not None and n > budget:
@@ -54,7 +59,7 @@ def regions(cells: DataFrame, order: int, budget: int | None = None) -> DataFram
     near = base.withColumn("beside", beside)
     labels = near.groupBy(F.shiftright("ipix", bits).alias("block")).applyInArrow(_label_cells, "ipix long, component long")
     if bits >= whole:
-        return _named(labels)
+        return labels
     labels = materialize(labels, "labels")
     block = lambda c, b: F.shiftright(c, b)
     over = near.select("ipix", F.explode("beside").alias("other")).where((F.col("other") < F.col("ipix")) & (block("other", bits) != block("ipix", bits)))
@@ -71,7 +76,7 @@ def regions(cells: DataFrame, order: int, budget: int | None = None) -> DataFram
         joined = materialize(up(labels, "component").select("ipix", "component"), "labels")
         discard(edges, labels, roots)
         edges, labels = after, joined
-    return _named(labels)
+    return labels
 
 
 def _named(labels: DataFrame) -> DataFrame:
@@ -208,11 +213,12 @@ class OverBudget(ValueError):
         self.action = action
 
 
-def strict_overlap(coverage: DataFrame, surveys: list[str], order: int, tiles: list[int] | None = None, budget: int = BUDGET) -> DataFrame:
+def strict_overlap(coverage: DataFrame, surveys: list[str], order: int, tiles: list[int] | None = None, budget: int | None = BUDGET) -> DataFrame:
     """(ipix, component, region) of the overlap at exactly `order`, of the regions that a view touches.
 
     `coverage` (survey_id, order, ipix) is native coverage. A view is at most 192 tiles, six orders coarser. The cells in
-    view must fit the budget (else zoom or reduce), and so must the whole regions they belong to (else reduce).
+    view must fit the budget (else zoom or reduce), and so must the whole regions they belong to (else reduce). Without a
+    budget, all shared cells are labelled and regions with a cell in view are given, however large they are.
     """
     shared = ranges.intersect_all(ranges.to_ranges(coverage.where(F.col("survey_id").isin(surveys)), order).select("survey_id", "lo", "hi"), "survey_id", len(set(surveys)))
     shared = materialize(shared, "shared")
@@ -225,10 +231,14 @@ def strict_overlap(coverage: DataFrame, surveys: list[str], order: int, tiles: l
         wanted = shared.sparkSession.createDataFrame([(t * scale, (t + 1) * scale) for t in sorted(set(tiles))], "lo long, hi long")
         view = ranges.intersect(shared, wanted)
     size = lambda df: df.agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).first().n or 0
-    if (n := size(view)) > budget:
+    if budget is not None and (n := size(view)) > budget:
         raise OverBudget(n, budget, "zoom-or-reduce-selection")
     if tiles is None:
         return regions(ranges.expand(view), order, budget)
+    if budget is None:
+        labels = materialize(_labelled(ranges.expand(shared), order), "labels")
+        seen = ranges.contained(labels, view).select("component").distinct()
+        return _named(labels.join(seen, "component", "left_semi").select("ipix", "component"))
     # Regions grow beyond the view, ring by ring, over ranges: no more than the budget's cells are ever held.
     held = materialize(ranges.expand(view), "held")
     while True:
