@@ -55,6 +55,8 @@ def _compact(value) -> bytes:
 
 def write_moc(cells: DataFrame, folder: str, max_order: int = hpx.MAX_ORDER, query_order: int = 8, preview_order: int = 4, source_sha256: str = "") -> dict[str, str]:
     """Canonical cells (order, ipix) as moc.fits, their projections as query-order and preview-order JSON, and statistics.json; the digest of each."""
+    if not cells.where((F.col("ipix") < 0) | (F.col("ipix") >= 12 * F.pow(F.lit(4.0), F.col("order")))).isEmpty():
+        raise ValueError("not cells of their order")
     own = ranges.canonical(cells.select("order", "ipix"), coarsest=0, finest=max_order)
     if (n := own.count()) > MOST_CELLS:
         raise ValueError(f"{n} cells exceed the {MOST_CELLS} of a map")
@@ -63,9 +65,11 @@ def write_moc(cells: DataFrame, folder: str, max_order: int = hpx.MAX_ORDER, que
     done = {"moc.fits": put_once(folder, "moc.fits", bintable([("UNIQ", "K", uniq.astype(">i8"))], {"ORDERING": "'NUNIQ'", "COORDSYS": "'C'", "MOCVERS": "'2.0'", "MOCORD_S": str(finest)}))}
     counts = {}
     for kind, order in (("query", query_order), ("preview", preview_order)):
-        pixels = sorted(r.ipix for r in ranges.project(own, order).collect())  # no more than the cells of an order
-        counts[kind] = len(pixels)
-        done[f"{kind}-order{order}.json"] = put_once(folder, f"{kind}-order{order}.json", _compact({"schemaVersion": 1, "order": order, "ordering": "NESTED", "pixels": pixels}))
+        held = ranges.union(ranges.to_ranges(own, order).select("lo", "hi")).toPandas().sort_values("lo")  # ranges: at most half an order's cells
+        counts[kind] = int((held["hi"] - held["lo"]).sum())
+        pixels = ",".join(",".join(map(str, range(lo, hi))) for lo, hi in zip(held["lo"].tolist(), held["hi"].tolist(), strict=True))
+        text_of = _compact({"schemaVersion": 1, "order": order, "ordering": "NESTED", "pixels": []})
+        done[f"{kind}-order{order}.json"] = put_once(folder, f"{kind}-order{order}.json", text_of[:-2] + pixels.encode() + text_of[-2:])
     orders = sorted(r.order for r in own.select("order").distinct().collect())
     facts = {"schemaVersion": 1, "coordinateFrame": "ICRS", "ordering": "NESTED", "cellCount": int(n), "availableOrders": orders, "queryOrder": query_order, "queryPixelCount": counts["query"], "previewOrder": preview_order, "previewPixelCount": counts["preview"], "sourceSha256": source_sha256}
     done["statistics.json"] = put_once(folder, "statistics.json", _compact(facts))
