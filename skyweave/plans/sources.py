@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyweave.functions import hpx
-from skyweave.operators import geometry, wcs
+from skyweave.operators import geometry, ranges, region, wcs
 from skyweave.plans import snapshots
 from skyweave.plans.registry import query
 from skyweave.plans.scratch import shared_dir
@@ -59,8 +59,7 @@ def src_fits_moc(spark, sf_dir):
     folder = _folder(spark, "moc")
     sinks.write_moc(_moc(spark, sf_dir), folder)
     cells = fits.check_moc(fits.fits_moc(spark, f"{folder}/moc.fits"))
-    low = F.when(F.col("order") >= 4, F.floor(F.col("ipix") / F.pow(F.lit(4.0), F.col("order") - 4)))
-    return cells.select(low.cast("long").alias("c")).distinct()
+    return ranges.project(cells, 4).withColumnRenamed("ipix", "c")  # a full map has cells coarser than order 4
 
 
 @query("src_moc_legacy", "SELECT DISTINCT (s_suppkey * 2654435761) % 3072 AS ipix FROM supplier")
@@ -86,8 +85,10 @@ def snk_moc(spark, sf_dir):
 def snk_path_evidence(spark, sf_dir):
     folder = _folder(spark, "paths")
     k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pixel"))
+    last = k.agg(F.max("pixel")).first()[0] or 0
+    order = next(o for o in range(5, hpx.MAX_ORDER + 1) if last < hpx.cells(o))  # 5, or the first order with a cell for every pixel
     files = k.select(F.concat(F.lit("https://archive.example/"), F.expr("pixel div 100").cast("string"), F.lit("/"), F.col("pixel").cast("string"), F.lit(".fits")).alias("url"))
-    sinks.write_path_evidence(files, "url", folder, 5, roster=k)
+    sinks.write_path_evidence(files, "url", folder, order, roster=k)
     return spark.read.parquet(f"{folder}/files.parquet").select("ipix")
 
 
@@ -122,10 +123,14 @@ def src_json_pages(spark, sf_dir):
 
 @query("src_columnar_json", "SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS name FROM supplier UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name FROM nation")
 def src_columnar_json(spark, sf_dir):
-    one = {"Tables": [{"Columns": [{"dataIndex": "k"}, {"dataIndex": "name"}], "Rows": [*_suppliers(spark, sf_dir)[["s_suppkey", "s_name"]].astype(str).values.tolist(), ["short"]]}]}
-    nations = [[str(r.n_nationkey), r.n_name] for r in table(spark, sf_dir, "nation").collect()]
-    two = {"metadata": [{"name": "k"}, {"name": "name"}], "data": nations}
-    found = text.columnar_json(spark.createDataFrame([(json.dumps(one),), (json.dumps(two),)], "value string"))
+    """Suppliers as documents of a thousand rows at most, each with a row too short, and nations as one of the other form."""
+    row = F.array(F.col("s_suppkey").cast("string"), F.col("s_name"))
+    pages = table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 1000").alias("page")).agg(F.collect_list(row).alias("rows"))
+    columns = F.array(*[F.struct(F.lit(n).alias("dataIndex")) for n in ("k", "name")])
+    one = pages.select(F.to_json(F.struct(F.array(F.struct(columns.alias("Columns"), F.concat("rows", F.array(F.array(F.lit("short")))).alias("Rows"))).alias("Tables"))).alias("value"))
+    nations = table(spark, sf_dir, "nation").agg(F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.col("n_name"))).alias("data"))
+    two = nations.select(F.to_json(F.struct(F.array(*[F.struct(F.lit(n).alias("name")) for n in ("k", "name")]).alias("metadata"), "data")))
+    found = text.columnar_json(one.union(two))
     return found.select(F.col("record")["k"].alias("k"), F.col("record")["name"].alias("name"))
 
 
@@ -180,7 +185,7 @@ def src_wcs_header(spark, sf_dir):
     values = {"SIMPLE": "T", "NAXIS": "2", "NAXIS1": "100", "NAXIS2": "100", "RADESYS": "'ICRS'", "CTYPE1": "'RA---TAN'", "CTYPE2": "'DEC--TAN'", "CRPIX1": "50.5", "CRPIX2": "50.5", "CD1_1": "-0.001", "CD1_2": "0.0", "CD2_1": "0.0", "CD2_2": "0.001 / scale"}
     card = lambda n, v: F.rpad(F.concat(F.lit(f"{n:<8}= "), v), 80, " ")
     header = F.concat(*[card(n, F.lit(v)) for n, v in values.items()], card("CRVAL1", (k % 360).cast("string")), card("CRVAL2", F.concat((k % 80).cast("string"), F.lit(".0"))), F.when(k % 4 == 0, card("PV1_1", F.lit("0.5"))).otherwise(F.lit("")), F.rpad(F.lit("END"), 80, " "))
-    found = table(spark, sf_dir, "supplier").select("s_suppkey", geometry.tan_corners(header).alias("c"))
+    found = region.dealt(table(spark, sf_dir, "supplier").select("s_suppkey")).select("s_suppkey", geometry.tan_corners(header).alias("c"))
     middle = F.degrees(F.atan(F.tan(F.radians(F.get("c", F.lit(0))["dec"])) / F.cos(F.radians(F.get("c", F.lit(0))["ra"] - k % 360))))
     return found.select("s_suppkey", F.when(F.col("c").isNotNull(), F.size("c")).alias("corners"), F.when(F.col("c").isNotNull(), F.round(middle, 5)).alias("dec_at_pole_side"))
 
@@ -202,7 +207,7 @@ def src_wcs_projections(spark, sf_dir):
     quoted = lambda p: F.concat(F.lit(f"'{p}"), kind, F.lit("'"))
     header = F.concat(*[card(n, F.lit(v)) for n, v in values.items()], card("CTYPE1", quoted("RA---")), card("CTYPE2", quoted("DEC--")), card("CRVAL1", (k * 37 % 360).cast("string")), card("CRVAL2", F.when(k % 4 == 3, "0").otherwise((k % 81 - 40).cast("string"))), F.rpad(F.lit("END"), 80, " "))
     points = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(u).alias("u"), F.lit(v).alias("v")) for n, (u, v) in enumerate([(0.5, 0.5), (200.5, 0.5), (200.5, 160.5), (0.5, 160.5), (60.0, 90.0)])])
-    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), wcs.read(header).alias("w")).select("k", "w", F.explode(points).alias("p"))
+    rows = region.dealt(table(spark, sf_dir, "supplier").select("s_suppkey")).select(k.alias("k"), wcs.read(header).alias("w")).select("k", "w", F.explode(points).alias("p"))
     placed = rows.select("k", "w", "p.point", wcs.to_sky(F.col("w"), F.col("p.u"), F.col("p.v")).alias("s"))
     back = placed.withColumn("b", wcs.to_pixel(F.col("w"), F.col("s.ra"), F.col("s.dec")))
     return back.select("k", "point", F.round("s.ra", 7).alias("ra"), (F.round("s.dec", 7) + F.lit(0.0)).alias("dec"), F.round("b.u", 6).alias("u"), F.round("b.v", 6).alias("v"))

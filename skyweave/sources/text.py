@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyweave.functions import hpx
+
 #: Bytes of one NDJSON row, and columns that hold science and must not be read.
 MOST_ROW = 256 * 1024
 FORBIDDEN = ("flux", "mag", "redshift", "spectrum", "pixels")
@@ -50,11 +52,14 @@ def columnar_json(documents: DataFrame, value: str = "value") -> DataFrame:
     Two forms: {"Tables": [{"Columns": [{"dataIndex": name}], "Rows": [[...]]}]} and {"metadata": [{"name": name}], "data": [[...]]}.
     """
     shape = "struct<Tables:array<struct<Columns:array<struct<dataIndex:string>>,Rows:array<array<string>>>>,metadata:array<struct<name:string>>,data:array<array<string>>>"
-    d = documents.select(F.from_json(value, shape).alias("d"))
-    first = F.get("d.Tables", F.lit(0))
-    names = F.coalesce(F.transform(first["Columns"], lambda c: c["dataIndex"]), F.transform("d.metadata", lambda c: c["name"]))
-    rows = F.explode(F.coalesce(first["Rows"], F.col("d.data")))
-    return d.select(names.alias("names"), rows.alias("row")).where("size(row) = size(names)").select(F.map_from_arrays("names", "row").alias("record"))
+    # A record is made inside its document, so that no exploded row carries the names or the document along.
+    def records(d: Column) -> Column:
+        first = F.get(d["Tables"], F.lit(0))
+        names = F.coalesce(F.transform(first["Columns"], lambda c: c["dataIndex"]), F.transform(d["metadata"], lambda c: c["name"]))
+        fits = lambda n: F.transform(F.filter(F.coalesce(first["Rows"], d["data"]), lambda r: F.size(r) == F.size(n)), lambda r: F.map_from_arrays(n, r))
+        return hpx.once(names, fits)
+
+    return documents.select(F.explode(hpx.once(F.from_json(value, shape), records)).alias("record"))
 
 
 def text_patches(spark: SparkSession, path: str) -> DataFrame:
@@ -62,8 +67,6 @@ def text_patches(spark: SparkSession, path: str) -> DataFrame:
 
     Corners keep their order, repeated neighbours and a closing corner are dropped, patches of fewer than three go.
     """
-    from skyweave.functions import hpx
-
     number = r"([-+\d.eE]+)"
     form = rf"^Tract:\s*(\d+)\s+Patch:\s*([0-8],[0-8])\s+(Center|Corner(\d+)) \(RA, Dec\):\s*\({number}\s*,\s*{number}\)"
     at = lambda k: F.regexp_extract("value", form, k)
