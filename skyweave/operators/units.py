@@ -16,9 +16,12 @@ MOST_UNITS, MOST_MEMBERS = 50_000, 50_000
 
 def cell_units(layers: DataFrame, geometries: DataFrame, memberships: DataFrame, request: DataFrame) -> DataFrame:
     """(layer_no, unit_id, cells) of units with a geometry that touches a requested cell; geometries are shared by layers."""
-    near = geometries.join(request.select("cell").distinct(), "cell", "left_semi")
-    found = near.join(memberships, "geometry_key").join(layers.select("layer_no"), "layer_no")
-    return found.groupBy("layer_no", "unit_id").agg(F.count_distinct("cell").alias("cells"))
+    near = geometries.join(request.select("cell").distinct(), "cell", "left_semi").select("geometry_key", "cell").distinct()
+    # Units of the same geometries have the same cells, which are counted once a set of geometries, not once a unit.
+    units = memberships.join(layers.select("layer_no"), "layer_no", "left_semi").groupBy("layer_no", "unit_id").agg(F.array_sort(F.collect_set("geometry_key")).alias("shape"))
+    shapes = units.select("shape").distinct().select("shape", F.explode("shape").alias("geometry_key"))
+    counted = shapes.join(near, "geometry_key").groupBy("shape").agg(F.count_distinct("cell").alias("cells"))
+    return units.join(counted, "shape").select("layer_no", "unit_id", "cells")
 
 
 def coarse_candidates(units: DataFrame, request: DataFrame) -> DataFrame:
