@@ -17,6 +17,8 @@ from skyweave.operators.catalogue import fold_precision, locator, public_url
 #: The precision lattice, conservative last; edges of a lookup, and of one file.
 PRECISION = {"exact": 0, "estimated": 1, "entrypoint-only": 2, "truncated": 3}
 MOST_EDGES = 50_000
+#: Rows of a part that edges are dealt into.
+PART_ROWS = 1_000_000
 KINDS = ("spatial-unit", "file", "entrypoint", "coverage-evidence")
 
 
@@ -54,6 +56,17 @@ def file_groups(edges: DataFrame) -> DataFrame:
     return edges.groupBy("file_id").agg(matches().alias("matches"), F.count("*").alias("edges"))
 
 
+def file_plans(edges: DataFrame) -> DataFrame:
+    """One row a file: its sorted distinct matches, and the common precision of its edges."""
+    rank, back = fold_precision(PRECISION)
+    return edges.groupBy("file_id").agg(matches().alias("matches"), F.max(rank).alias("rank")).select("file_id", "matches", back.alias("prec"))
+
+
+def parts_of(rows: DataFrame, per: int = PART_ROWS) -> int:
+    """Parts to deal rows into so that none has many more than `per`."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
+
+
 def _agreed() -> list[Column]:
     """Aggregates over the versions that a file's edges name: whether there are several, what they agree on (null counts as a value), and where they differ."""
     named = F.col("observation_layer_id").isNotNull()
@@ -105,16 +118,17 @@ def overlap_precision(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.when(has("truncated"), "truncated").when(has("entrypoint-only"), "entrypoint-only").when(has("estimated"), "estimated").otherwise("exact").alias("prec"))
 
 
-def merge_plans(*plans: DataFrame) -> DataFrame:
+def merge_plans(*plans: DataFrame, parts: int | None = None) -> DataFrame:
     """Plans of (file_id, size, prec, matches, truncated), earlier first, as one: later metadata, all matches, the conservative precision.
 
-    Merging is associative, so batches may be merged in any grouping that keeps their order.
+    Merging is associative, so batches may be merged in any grouping that keeps their order. Files are dealt into `parts`, if given.
     """
     every = None
     for k, p in enumerate(plans):
         p = p.select("file_id", "size", "prec", "matches", "truncated", F.lit(k).alias("turn"))
         every = p if every is None else every.unionByName(p)
     rank, back = fold_precision(PRECISION)
+    every = every if parts is None else every.repartition(parts, "file_id")
     out = every.groupBy("file_id").agg(F.max_by("size", "turn").alias("size"), F.max(rank).alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"), F.bool_or("truncated").alias("truncated"))
     return out.select("file_id", "size", back.alias("prec"), "matches", "truncated")
 

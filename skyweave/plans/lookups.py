@@ -594,13 +594,16 @@ _MERGED = f"(SELECT *, layer_id % 3 AS turn FROM {EDGES})"
     m.matches, EXISTS (SELECT 1 FROM {_MERGED} x WHERE x.file_id = m.file_id AND turn = 2) AND m.file_id % 4 = 0 AS truncated FROM {_matches_sql(EDGES)} m""",
 )
 def q_plan_merge(spark, sf_dir):
-    edges = view(spark, sf_dir, "edges")
+    # Parts don't grow with the table, whatever number of them the session sets.
+    edges = view(spark, sf_dir, "edges").select("file_id", "layer_id", "ord", "ipix", "prec")
+    parts = evidence.parts_of(edges)
+    edges = edges.repartition(parts, "file_id")
 
     def plan(turn: int) -> DataFrame:
         own = edges.where(F.col("layer_id") % 3 == turn)
-        return evidence.file_groups(own).join(evidence.folded(own, "file_id"), "file_id").select("file_id", (F.lit(turn * 10) + F.col("file_id") % 10).alias("size"), "prec", "matches", (F.lit(turn == 2) & (F.col("file_id") % 4 == 0)).alias("truncated"))
+        return evidence.file_plans(own).select("file_id", (F.lit(turn * 10) + F.col("file_id") % 10).alias("size"), "prec", "matches", (F.lit(turn == 2) & (F.col("file_id") % 4 == 0)).alias("truncated"))
 
-    return evidence.merge_plans(*(plan(t) for t in range(3))).withColumn("matches", _text("matches", "layer_id", "ord", "ipix", "prec"))
+    return evidence.merge_plans(*(plan(t) for t in range(3)), parts=parts).withColumn("matches", _text("matches", "layer_id", "ord", "ipix", "prec"))
 
 
 _URIS = f"(SELECT unit_id, CASE WHEN band IS NOT NULL THEN target END AS file_name, uri, band, CASE WHEN obsid % 2 = 0 THEN 'http' END AS access_type, CASE WHEN seq > 1 THEN 'p' || CAST(seq % 3 AS VARCHAR) END AS provider, obsid * 8 + seq AS seq FROM {MEMBERS})"
